@@ -46,7 +46,7 @@ def slab_index(regions: DataFrame, region: str, ring: str, column_width: float)
 
     Every edge goes to the columns it crosses. Within a column, the vertices cut the plane into vertical slabs in which
     edges don't cross; each region's edges in a slab, ordered by height, pair into trapezoids (even-odd rule, so rings
-    may be concave). Columns are built independently of each other. Result: col, xs (left ends of slabs, ascending) and
+    may be concave). Columns are built independently of each other. Result: col, xs (left ends of slabs, ascending), ends and
     slabs (of each, trapezoids ascending: region, and the two lines as height at 0 and slope). Rings that are null or
     have no extent give nothing; vertical edges need no trapezoid.
     """
@@ -63,9 +63,11 @@ def slab_index(regions: DataFrame, region: str, ring: str, column_width: float)
     mid = (F.col("xa") + F.col("xb")) / 2
     crossing = placed.join(slabs, "col").filter((F.col("x1") <= F.col("xa")) & (F.col("x2") >= F.col("xb"))).withColumn("at", F.col("h") + F.col("m") * mid)
     order = Window.partitionBy("col", "xa", "region").orderBy("at", "m", "i")
-    traps = crossing.select("col", "xa", "region", "at", "h", "m", F.row_number().over(order).alias("k"), F.lead("h").over(order).alias("h2"), F.lead("m").over(order).alias("m2")).filter("k % 2 = 1 and h2 is not null")
-    ordered = traps.groupBy("col", "xa").agg(F.array_sort(F.collect_list(F.struct("at", "region", "h", "m", "h2", "m2"))).alias("traps"))
-    return ordered.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("xa", "traps"))).alias("s")).select("col", F.col("s.xa").alias("xs"), F.col("s.traps").alias("slabs"))
+    # A slab that ends with its column takes all points of the column that lie right of its beginning.
+    until = F.when(F.col("xb") < (F.col("col") + 1) * w, F.col("xb")).otherwise(F.lit(float("inf")))
+    traps = crossing.select("col", "xa", until.alias("xb"), "region", "at", "h", "m", F.row_number().over(order).alias("k"), F.lead("h").over(order).alias("h2"), F.lead("m").over(order).alias("m2")).filter("k % 2 = 1 and h2 is not null")
+    ordered = traps.groupBy("col", "xa", "xb").agg(F.array_sort(F.collect_list(F.struct("at", "region", "h", "m", "h2", "m2"))).alias("traps"))
+    return ordered.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("xa", "xb", "traps"))).alias("s")).select("col", F.col("s.xa").alias("xs"), F.col("s.xb").alias("ends"), F.col("s.traps").alias("slabs"))
 
 
 def _last_at_most(values: Column, n: Column, height) -> Column:
@@ -95,7 +97,7 @@ def locate(points: DataFrame, regions: DataFrame, region: str, ring: str, lon: s
     table = cut(index.withColumnRenamed("col", "__col").join(crowd, "__col"))
     met = salted_lookup(placed, table, "__col", F.struct(*points.columns), "__n", "inner")
     x, y = F.col(lon), F.col(lat)
-    met = met.withColumn("__s", _last_at_most(F.col("xs"), F.size("xs"), lambda v: v <= x)).withColumn("__traps", F.get("slabs", F.col("__s")))
+    met = met.withColumn("__s", _last_at_most(F.col("xs"), F.size("xs"), lambda v: v <= x)).withColumn("__traps", F.when(F.get("ends", F.col("__s")) > x, F.get("slabs", F.col("__s"))))
     met = met.withColumn("__t", F.get("__traps", _last_at_most(F.col("__traps"), F.size("__traps"), lambda t: t["h"] + t["m"] * x <= y)))
     inside = F.col("__t.h2") + F.col("__t.m2") * x > y
-    return met.filter(inside).withColumn("region", F.col("__t.region")).drop("__col", "__s", "__t", "__traps", "xs", "slabs")
+    return met.filter(inside).withColumn("region", F.col("__t.region")).drop("__col", "__s", "__t", "__traps", "xs", "ends", "slabs")
