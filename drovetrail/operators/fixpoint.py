@@ -40,6 +40,15 @@ def earliest_arrivals(moves: DataFrame, backward: bool = False, sources: DataFra
     return own.unionAll(known.filter("source <> node").withColumn("t", F.col("t") * sign))
 
 
+def arrival_tree(moves: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, node, arrival, via: the earliest day of each node reached and the node it comes from then (the least of several)."""
+    known = cut(earliest_arrivals(moves, sources=sources))
+    hops = moves.filter("from_id <> to_id").select(F.col("from_id").alias("via"), F.col("to_id").alias("node"), F.unix_date("date").alias("t")).distinct()
+    last = known.filter("t is not null").join(hops, ["node", "t"])
+    before = known.select("source", F.col("node").alias("via"), F.coalesce("t", F.lit(-(2**31))).alias("had"))
+    return last.join(before, ["source", "via"]).filter("had < t").groupBy("source", "node", F.date_from_unix_date("t").alias("arrival")).agg(F.min("via").alias("via"))
+
+
 def closure(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """source, node: all pairs joined by a directed path, every node with itself. Path lengths double each round."""
     pairs = edges.filter("from_id <> to_id").select(*by, F.col("from_id").alias("source"), F.col("to_id").alias("node")).distinct()

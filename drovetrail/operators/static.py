@@ -6,7 +6,7 @@ networks apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .network import endpoints
@@ -124,3 +124,23 @@ def component_sizes(components: DataFrame, *by: str) -> DataFrame:
     """How many components, and their largest, median and 99 % size; connected: only one."""
     sizes = components.groupBy(*by, "component").agg(F.count("*").alias("size"))
     return sizes.groupBy(*by).agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.percentile("size", 0.5).alias("median"), F.percentile("size", 0.99).alias("q99"), (F.count("*") == 1).alias("connected"))
+
+
+def normalised_betweenness(measures: DataFrame, *by: str) -> DataFrame:
+    """Betweenness over the (n - 1)(n - 2) ordered pairs of other nodes; null in networks of fewer than three nodes."""
+    n = F.count("*").over(Window.partitionBy(*by))
+    return measures.withColumn("betweenness", F.try_divide(F.col("betweenness"), (n - 1) * (n - 2)))
+
+
+def distances(measures: DataFrame, *by: str) -> DataFrame:
+    """mean_distance over ordered pairs of different nodes joined by a path, and diameter; null where there is no path."""
+    return measures.groupBy(*by).agg(F.try_divide(F.sum("total"), F.sum("reached")).alias("mean_distance"), F.max("farthest").alias("diameter"))
+
+
+def random_edges(spark: SparkSession, nodes: int, edges: int, seed: int = 1) -> DataFrame:
+    """A random directed network of so many nodes and about so many distinct edges, to compare measures with: from_id, to_id, weight."""
+    if nodes < 2:
+        raise ValueError("at least two nodes are needed")
+    a = F.pmod(F.xxhash64("id", F.lit(seed), F.lit("a")), F.lit(nodes))
+    step = F.pmod(F.xxhash64("id", F.lit(seed), F.lit("b")), F.lit(nodes - 1)) + 1
+    return spark.range(edges).select(a.cast("string").alias("from_id"), F.pmod(a + step, F.lit(nodes)).cast("string").alias("to_id"), F.lit(1.0).alias("weight")).distinct()

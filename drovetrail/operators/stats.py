@@ -120,3 +120,20 @@ def magnitudes(x: float) -> list[int]:
     """5, 10, 50, 100 and so on up to the order of magnitude of x; empty below 10."""
     top = math.floor(math.log10(x)) if x >= 10 else 0
     return [v for e in range(1, top + 1) for v in (10**e // 2, 10**e)]
+
+
+def overlap_share(variants: DataFrame, true: DataFrame, ids: str, period: str, *by: str) -> DataFrame:
+    """Per variant: the share of periods in which its set of ids meets that of the true data (both as arrays)."""
+    met = variants.select(*by, period, F.col(ids).alias("a")).join(true.select(period, F.col(ids).alias("b")), period)
+    return met.groupBy(*by).agg(F.avg(F.arrays_overlap("a", "b").cast("int")).alias("overlap_share"))
+
+
+def cumulative_infected(states: DataFrame, n_nodes: int, *by: str) -> DataFrame:
+    """step and infected: rows numbered from 1 (``row``) hold a node's I and R; every n_nodes rows are a step."""
+    step = F.ceil(F.col("row") / F.lit(n_nodes))
+    return states.groupBy(*by, step.alias("step")).agg(F.sum(F.col("I") + F.col("R")).alias("infected"))
+
+
+def step_quantiles(infected: DataFrame, n_nodes: int) -> DataFrame:
+    """Over simulations, per step: min, quartiles, mean and max as percent of nodes."""
+    return box_stats(infected.withColumn("percent", F.col("infected") * 100.0 / n_nodes), "percent", "step")

@@ -125,3 +125,10 @@ def colour_domain(df: DataFrame, column: str, domain: tuple[float, float] | None
     if r["a"] is not None and (r["a"] < domain[0] or r["b"] > domain[1]):
         raise ValueError(f"{column} has values outside {domain}")
     return domain
+
+
+def popup_text(traced: DataFrame, fields: list[str]) -> DataFrame:
+    """id, direction and one text per holding for a map: its part in the chain, then its known fields."""
+    part = F.when(F.col("direction") == "root", "Root holding").when(F.col("direction") == "in", "Ingoing contact").otherwise("Outgoing contact")
+    lines = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f).cast("string"))) for f in fields]
+    return traced.select("id", "direction", F.concat_ws("<br>", part, F.col("id"), *lines).alias("text"))

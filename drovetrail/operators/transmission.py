@@ -70,3 +70,20 @@ def infected_at_start(nodes: DataFrame, key: str = "id", chosen: list | None = N
         raise ValueError("give chosen ids or a share")
     hit = F.col(key).isin(chosen) if chosen is not None else draw(F.col(key), seed, "infected") < F.lit(int(share * STEPS))
     return nodes.select(key, F.when(hit, 1).otherwise(0).alias("infected"))
+
+
+def seir_events(moves: DataFrame, key: DataFrame) -> DataFrame:
+    """Movements as external-transfer events of a compartment model: event, time (days from the first), node, dest, n, proportion, select, shift.
+
+    ``key`` (old_id, new_id) numbers the holdings.
+    """
+    first = moves.agg(F.min("date").alias("d")).first()["d"]
+    number = lambda c, name: key.select(F.col("old_id").alias(c), F.col("new_id").cast("int").alias(name))
+    day = F.date_diff("date", F.lit(first).cast("date")) + 1
+    numbered = moves.filter("from_id <> to_id").join(number("from_id", "node"), "from_id").join(number("to_id", "dest"), "to_id")
+    return numbered.select(F.lit("extTrans").alias("event"), day.alias("time"), "node", "dest", F.col("weight").cast("int").alias("n"), F.lit(0.0).alias("proportion"), F.lit(1).alias("select"), F.lit(0).alias("shift"))
+
+
+def seir_nodes(infected: DataFrame, key: DataFrame) -> DataFrame:
+    """Starting state of each numbered holding: node, S, E, I, R."""
+    return infected.join(key.withColumnRenamed("old_id", "id"), "id").select(F.col("new_id").cast("int").alias("node"), (1 - F.col("infected")).alias("S"), F.lit(0).alias("E"), F.col("infected").alias("I"), F.lit(0).alias("R"))

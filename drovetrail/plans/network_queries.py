@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dateunits import floor_date, label, periods
 from ..operators import fixpoint, kernels, nearby, network, privacy, static, stats, temporal, trace, transmission
+from ..sources.delimited import from_table, guess_types
 from ..sources.sinks import geojson
 
 QUARTER = ("1998-01-01", "1998-04-01")
@@ -123,6 +124,15 @@ def distance_components(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("metres").agg(F.max("size").alias("largest"))
 
 
+def half_year(spark: SparkSession, d: str, weighted: bool = True) -> DataFrame:
+    return kernels.path_measures(dense_edges(spark, d).filter("period >= '1998-01-01' and period < '1998-07-01'"), ["period"], weighted=weighted)
+
+
+def _max_nodes(df: DataFrame) -> DataFrame:
+    degree = temporal.temporal_degree(monthly(df), "all", "period")
+    return temporal.summarise_nodes(degree, "degree", {"most": F.max}, "period", name_nodes=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"summary_{u}": (lambda s, d, u=u: rounded(temporal.summary(moves(s, d), u))) for u in ("month", "quarter", "year")},
     **{f"summary_{n}d": (lambda s, d, n=n: rounded(temporal.grid_summary(moves(s, d), n))) for n in (1, 7, 14, 28, 84)},
@@ -197,6 +207,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_holdings": lambda s, d: moves(s, d).groupBy("to_id").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "to_id").limit(40),
     "largest_herd": lambda s, d: holdings(s, d).groupBy("type").agg(F.max_by("id", F.struct("herd_size", "id")).alias("id"), F.max("herd_size").alias("herd_size")),
     "season_counts": lambda s, d: moves(s, d).groupBy(floor_date(F.col("date"), "season").alias("season")).agg(F.count("*").alias("moves")),
+    "arrival_tree": lambda s, d: fixpoint.arrival_tree(quarter(s, d), s.createDataFrame([(r,) for r in ROOTS], "source string")),
+    "betweenness_norm": lambda s, d: static.normalised_betweenness(half_year(s, d, weighted=False), "period").select("period", "id", "betweenness"),
+    "closeness": lambda s, d: kernels.path_measures(dense_edges(s, d).filter("period >= '1998-01-01' and period < '1998-07-01'"), ["period"], directed=False, weighted=False).select("period", "id", "closeness"),
+    "distances": lambda s, d: rounded(static.distances(half_year(s, d, weighted=False), "period")),
+    "mean_weighted_distance": lambda s, d: rounded(static.distances(half_year(s, d), "period").select("period", "mean_distance")),
+    "random_reciprocity": lambda s, d: static.reciprocity(static.random_edges(s, 500, 5000).withColumn("network", F.lit("random")), "network"),
+    "max_node_overlap": lambda s, d: stats.overlap_share(_max_nodes(privacy.jitter_dates(dense(s, d), 15, "ref")).withColumn("treatment", F.lit("jittered")), _max_nodes(dense(s, d)), "max_nodes", "period", "treatment"),
+    "popup_text": lambda s, d: trace.popup_text(trace.traced_holdings(chains(s, d), holdings(s, d)), ["type"]),
+    "seir_events": lambda s, d: transmission.seir_events(quarter(s, d), privacy.pseudonym_key(network.endpoints(quarter(s, d)), "id")),
+    "seir_nodes": lambda s, d: transmission.seir_nodes(transmission.infected_at_start(holdings(s, d), share=0.1), privacy.pseudonym_key(holdings(s, d), "id")),
+    "movement_types": lambda s, d: guess_types(from_table(s.read.parquet(f"{d}/example_movement_data.parquet").select("row_id", "qty_doa", "lot_no")), ["row_id", "qty_doa", "lot_no"], "."),
     "weight_box": lambda s, d: rounded(stats.box_stats(monthly(moves(s, d)), "weight", "period")),
 }
 
@@ -276,7 +297,17 @@ _RANKS = """(SELECT period, id, rank() OVER (PARTITION BY period ORDER BY gm DES
   (SELECT period, from_id AS id, w AS o, 0.0 AS i FROM {0} UNION ALL SELECT period, to_id, 0.0, w FROM {0}) GROUP BY ALL))"""
 _ARRIVAL = _FWD + " SELECT source, node, CASE WHEN source <> node THEN min(t) END AS t FROM (SELECT source, node, t FROM r UNION ALL SELECT id, id, NULL FROM nodes) WHERE source IN ('H10', 'H55', 'H77', 'H121') GROUP BY source, node"
 
+_BFS = f"""WITH RECURSIVE {_M}, arcs AS (SELECT period, from_id AS u, to_id AS v FROM edges WHERE period >= DATE '1998-01-01' AND period < DATE '1998-07-01'), ids AS (SELECT period, u AS id FROM arcs UNION SELECT period, v FROM arcs),
+b AS (SELECT period, id AS source, id AS node, 0 AS n FROM ids UNION SELECT b.period, b.source, a.v, b.n + 1 FROM b JOIN arcs a ON b.period = a.period AND b.node = a.u WHERE b.n < 6), f AS (SELECT period, source, node, min(n) AS n FROM b WHERE source <> node GROUP BY ALL)"""
+
 ORACLE: dict[str, str] = {
+    "arrival_tree": f"""WITH RECURSIVE {_ARRIVAL[len("WITH RECURSIVE "):].replace(" SELECT source, node, CASE", ", known AS (SELECT source, node, CASE")}) SELECT k.source, k.node, DATE '1970-01-01' + k.t AS arrival, min(h.u) AS via
+FROM known k JOIN hops h ON k.node = h.v AND k.t = h.t JOIN known b ON b.source = k.source AND b.node = h.u AND coalesce(b.t, -1) < k.t WHERE k.t IS NOT NULL GROUP BY ALL""",
+    "distances": f"{_BFS} SELECT period, round(avg(n), 6) AS mean_distance, CAST(max(n) AS DOUBLE) AS diameter FROM f GROUP BY period",
+    "popup_text": f"{_TRACE}, e AS (SELECT DISTINCT root, direction, CASE WHEN direction = 'out' THEN destination ELSE source END AS id FROM found UNION SELECT DISTINCT root, 'root', root FROM found) SELECT e.id, direction, concat_ws('<br>', CASE direction WHEN 'root' THEN 'Root holding' WHEN 'in' THEN 'Ingoing contact' ELSE 'Outgoing contact' END, e.id, CASE WHEN type IS NOT NULL THEN concat('type: ', type) END) AS text FROM e LEFT JOIN holdings h ON e.id = h.id WHERE direction = 'root' OR e.id <> root",
+    "seir_events": f"WITH {_M}, {_ENDS.format('quarter')}, {_KEY.format('SELECT id FROM ends', '')} SELECT 'extTrans' AS event, CAST(date - (SELECT min(date) FROM quarter) + 1 AS INTEGER) AS time, CAST(a.new_id AS INTEGER) AS node, CAST(b.new_id AS INTEGER) AS dest, CAST(weight AS INTEGER) AS n, 0.0::DOUBLE AS proportion, 1 AS \"select\", 0 AS shift FROM quarter JOIN key a ON from_id = a.old_id JOIN key b ON to_id = b.old_id WHERE from_id <> to_id",
+    "seir_nodes": f"WITH {_M}, {_KEY.format('SELECT DISTINCT id FROM holdings', '')}, i AS (SELECT id, CASE WHEN {_u('id', 'infected')} < {int(0.1 * 2**32)} THEN 1 ELSE 0 END AS x FROM holdings) SELECT CAST(new_id AS INTEGER) AS node, 1 - x AS S, 0 AS E, x AS I, 0 AS R FROM i JOIN key ON id = old_id",
+    "movement_types": "SELECT CAST(row_id AS DOUBLE) AS row_id, CAST(qty_doa AS DOUBLE) AS qty_doa, lot_no FROM example_movement_data",
     **{f"summary_{u}": _activity(f"date_trunc('{u}', date)", True) for u in ("month", "quarter", "year")},
     **{f"summary_{n}d": _activity(f"(SELECT date_trunc('month', min(date))::DATE FROM moves) + CAST(floor((date - (SELECT date_trunc('month', min(date))::DATE FROM moves)) / {n}) AS INTEGER) * {n}", False) for n in (1, 7, 14, 28, 84)},
     "weight_sixnum": f"WITH {_M} SELECT concat('Q', quarter(date), ' ', year(date)) AS label, min(weight) AS w_min, quantile_cont(weight, 0.25) AS w_q1, quantile_cont(weight, 0.5) AS w_median, round(avg(weight), 6) AS w_mean, quantile_cont(weight, 0.75) AS w_q3, max(weight) AS w_max FROM moves GROUP BY 1",
