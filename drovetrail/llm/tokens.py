@@ -83,7 +83,7 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
 def _frequent(words: DataFrame, most: int) -> tuple[int, int]:
     """The least count that at most ``most`` words reach, as a power of two, and how many words reach less."""
     levels = {r["level"]: r["k"] for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("k")).collect()}
-    least, held = 64, 0
+    least, held = 62, 0
     for level in sorted(levels, reverse=True):
         if held + levels[level] > most:
             break
@@ -105,9 +105,8 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str | None = No
     words = cut(encode_words(word_counts(docs, text, pattern), path, pattern))
     least, rare = _frequent(words, table_words)
     hot = words.filter(F.col("n") >= least).select("word", "ids").toArrow()
-    ids = hot.column("ids").combine_chunks()
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    lengths = np.asarray(pa.compute.list_value_length(ids).fill_null(0), np.int64) if len(ids) else np.zeros(0, np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in hot.column("ids").chunks)]).astype(np.int32)
+    lengths = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in hot.column("ids").chunks)]).astype(np.int64)
     place = {w: i for i, w in enumerate(hot.column("word").to_pylist())}
     shared = docs.sparkSession.sparkContext.broadcast((place, np.append(lengths, 0), np.append(np.cumsum(lengths) - lengths, 0), flat))
 
@@ -147,7 +146,8 @@ def _fill(looked: DataFrame, rare: DataFrame) -> DataFrame:
     looked = looked.withColumn("row", F.xxhash64("doc_id", "ids", "words"))
     gaps = looked.select("doc_id", "row", F.posexplode(F.arrays_zip("at", "words")).alias("k", "w")).select("doc_id", "row", "k", "w.at", F.col("w.words").alias("word"))
     more = gaps.join(rare, "word").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("k", "at", "more"))).alias("gaps"))
-    both = looked.select("doc_id", "row", "ids").join(more, looked["doc_id"].eqNullSafe(more["doc_id"]) & (looked["row"] == more["row"])).select(looked["doc_id"], "ids", "gaps")
+    more = more.select(F.col("doc_id").alias("same_id"), "row", "gaps")
+    both = looked.select("doc_id", "row", "ids").join(more, "row").filter(F.col("doc_id").eqNullSafe(F.col("same_id"))).select("doc_id", "ids", "gaps")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
