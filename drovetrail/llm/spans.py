@@ -182,21 +182,14 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = Fals
         hashes = known.value if known is not None else None
         for block in _blocks(batches):
             a, b = block.spans(SENTENCE_WORDS, SPAN_SENTENCES)
-            if hashes is not None:
-                h = block.runs(a, b)
-                at = np.searchsorted(hashes, h)
-                hit = np.take(hashes, at, mode="clip") == h if len(hashes) else np.zeros(len(h), bool)
-                a, b = a[hit], b[hit]
-            # Windows around a span begin at most RUN_WORDS before its end and not after its first word.
-            marks = np.zeros(block.n + 1, np.int32)
-            low = np.maximum(b - RUN_WORDS, block.starts[block.doc[a]])
-            np.add.at(marks, low, 1)
-            np.add.at(marks, a + 1, -1)
-            s = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+            at = None if hashes is None else np.searchsorted(hashes, h := block.runs(a, b))
+            hit = np.ones(len(a), bool) if at is None else np.take(hashes, at, mode="clip") == h if len(hashes) else np.zeros(len(a), bool)
+            # A shared window's inner part is divided alike in both documents: it holds a span, and only repeated ones.
+            s = np.flatnonzero(_inside(block, a[hit], b[hit]) & ~_inside(block, a[~hit], b[~hit]))
             s = s[s + RUN_WORDS <= block.end[s]]
             if not len(s):
                 continue
-            h1, h2 = block.runs(s, s + RUN_WORDS), block.runs(s, s + RUN_WORDS, 1).astype(np.int32)
+            h1, h2 = block.runs(s, s + RUN_WORDS), block.runs(s, s + RUN_WORDS, 1)
             o, first = _grouped(h1)
             s, h1, h2 = s[o], h1[o], h2[o]
             ids = block.ids[block.doc[s]]
@@ -206,53 +199,66 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = Fals
             lowest = np.minimum.reduceat(ids, first)
             several = np.maximum.reduceat(ids, first) > lowest
             settled = several[group] & ((ids > lowest[group]) | (not later_only))
-            # One row for each window and block: the lowest document; its further places in that document go with it.
-            place = s - block.starts[block.doc[s]]
+            # For all documents of the block that have a window, its lowest one goes on.
             mine = np.flatnonzero(ids == lowest[group])
-            open_rows = mine[np.unique(group[mine], return_index=True)[1]]
-            extra = np.setdiff1d(mine, open_rows, assume_unique=True)
-            extra = extra[~settled[extra]]
-            more_counts = np.bincount(group[extra], minlength=len(first))
-            more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(more_counts))), pa.int32()), pa.array(place[extra], pa.int32()))
+            if not later_only:
+                mine = mine[~several[group[mine]] | np.isin(mine, mine[np.unique(group[mine], return_index=True)[1]], assume_unique=True)]
+            place = s - block.starts[block.doc[s]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1[open_rows]), pa.array(h2[open_rows]), pa.array(ids[open_rows]), pa.array(place[open_rows], pa.int32()), more, pa.array(several[group[open_rows]]), pa.nulls(len(open_rows), pa.int32())],
-                ["h1", "h2", "doc_id", "first", "more", "several", "last"],
+                [pa.array(h1[mine]), pa.array((h2[mine] << 32) | place[mine]), pa.array(ids[mine]), pa.array(np.full(len(mine), -1, np.int32), mask=~several[group[mine]])],
+                ["h1", "h2_first", "doc_id", "last"],
             )
             p = np.sort(s[settled])
             if len(p):
                 new = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (block.doc[p[1:]] != block.doc[p[:-1]])))
                 a0, b0 = p[new], p[np.concatenate((new[1:], [True]))]
                 d = block.doc[a0]
-                k = len(a0)
+                spread = _mixed((block.ids[d] * 1_000_003 + a0).astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(block.ids[d]), pa.array(a0 - block.starts[d], pa.int32()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.bool_()), pa.array(b0 - block.starts[d] + RUN_WORDS - 1, pa.int32())],
-                    ["h1", "h2", "doc_id", "first", "more", "several", "last"],
+                    [pa.array(spread), pa.array(a0 - block.starts[d]), pa.array(block.ids[d]), pa.array((b0 - block.starts[d] + RUN_WORDS - 1).astype(np.int32))],
+                    ["h1", "h2_first", "doc_id", "last"],
                 )
 
-    rows = named.mapInArrow(emit, "h1 bigint, h2 int, doc_id bigint, first int, more array<int>, several boolean, last int")
-    settled = F.col("last").isNotNull()
-    same = Window.partitionBy(F.coalesce("h1", F.xxhash64("doc_id", "first")), F.coalesce("h2", F.lit(0)), settled)
+    # last: null for a window yet to be settled, -1 if several documents of its block have it, else the end of a settled range.
+    rows = named.mapInArrow(emit, "h1 bigint, h2_first bigint, doc_id bigint, last int")
+    settled = F.coalesce(F.col("last") >= 0, F.lit(False))
+    same = Window.partitionBy("h1", F.shiftright("h2_first", 32), settled)
     lowest = F.min("doc_id").over(same)
-    elsewhere = F.col("doc_id") > lowest if later_only else F.max("several").over(same) | (F.max("doc_id").over(same) > lowest)
+    elsewhere = F.col("doc_id") > lowest if later_only else F.min("last").over(same).isNotNull() | (F.max("doc_id").over(same) > lowest)
     kept = rows.withColumn("keep", settled | elsewhere).filter("keep")
-    starts = kept.select("doc_id", "first", "last", F.explode(F.concat(F.array("first"), F.coalesce("more", F.array().cast("array<int>")))).alias("at"))
-    return starts.select("doc_id", F.col("at").alias("first"), F.coalesce("last", F.col("at") + (RUN_WORDS - 1)).alias("last"))
+    first = F.col("h2_first").bitwiseAND(2**32 - 1).cast("int")
+    return kept.select("doc_id", first.alias("first"), F.when(settled, F.col("last")).otherwise(first + (RUN_WORDS - 1)).alias("last"))
+
+
+def _inside(block: _Block, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At which words windows begin that hold one of the spans in their inner part, where sentences don't depend on what is around the window."""
+    edge = SENTENCE_WORDS - 1
+    low, high = np.maximum(b - (RUN_WORDS - 1 - edge), block.starts[block.doc[a]]), a - edge
+    ok = low <= high
+    marks = np.bincount(low[ok], minlength=block.n + 1)[: block.n + 1] - np.bincount(high[ok] + 1, minlength=block.n + 1)[: block.n + 1]
+    return np.cumsum(marks[: block.n]) > 0
 
 
 def covered_words(ranges: DataFrame, count: str) -> DataFrame:
-    """doc_id and how many word positions its ranges cover; a document's ranges are at most as many as its words."""
+    """doc_id and how many word positions its ranges cover; a document's ranges are at most as many as its words.
+
+    Single windows travel as their first words only; ranges of a document are put into lists before they are moved.
+    """
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            first, last = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            single, longer = batch.column(1), batch.column(2)
+            owner = np.concatenate([np.repeat(np.arange(len(x)), x.value_lengths().to_numpy()) for x in (single, longer)])
+            one, pair = single.flatten().to_numpy().astype(np.int64), longer.flatten().to_numpy()
+            first, last = np.concatenate((one, pair >> 32)), np.concatenate((one + RUN_WORDS - 1, pair & (2**32 - 1)))
             o = np.lexsort((first, owner))
             owner, first, last = owner[o], first[o], last[o]
             shift = owner << np.int64(40)
             reach = np.concatenate(([-1], np.maximum.accumulate(last + shift)[:-1])) if len(o) else last
             gain = np.maximum(0, last + shift - np.maximum(first + shift - 1, reach))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, gain, len(lists)).astype(np.int64))], ["doc_id", count])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, gain, batch.num_rows).astype(np.int64))], ["doc_id", count])
 
-    lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    window = F.col("last") - F.col("first") == RUN_WORDS - 1
+    pair = F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("last")
+    lists = ranges.groupBy("doc_id").agg(F.collect_list(F.when(window, F.col("first"))).alias("single"), F.collect_list(F.when(~window, pair)).alias("longer"))
     return lists.mapInArrow(cover, f"doc_id bigint, {count} bigint")
