@@ -140,7 +140,8 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             o, first = _grouped(h)
             ids = block.ids[block.doc[a]][o]
             low, high = np.minimum.reduceat(ids, first) if len(first) else ids, np.maximum.reduceat(ids, first) if len(first) else ids
-            yield pa.RecordBatch.from_arrays([pa.array(h[o][first]), pa.array(low), pa.array(high)], ["h", "low", "high"])
+            by_place = np.argsort(o[first])  # rows of a document stay together, which compresses its id
+            yield pa.RecordBatch.from_arrays([pa.array(x[by_place]) for x in (h[o][first], low, high)], ["h", "low", "high"])
 
     spans = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(emit, "h bigint, low bigint, high bigint")
     return spans.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h")
@@ -203,6 +204,7 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = Fals
             mine = np.flatnonzero(ids == lowest[group])
             if not later_only:
                 mine = mine[~several[group[mine]] | np.isin(mine, mine[np.unique(group[mine], return_index=True)[1]], assume_unique=True)]
+            mine = mine[np.argsort(s[mine])]  # rows of a document stay together, which compresses its id
             place = s - block.starts[block.doc[s]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h1[mine]), pa.array((h2[mine] << 32) | place[mine]), pa.array(ids[mine]), pa.array(np.full(len(mine), -1, np.int32), mask=~several[group[mine]])],
