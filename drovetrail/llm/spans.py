@@ -224,7 +224,9 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = Fals
     # last: null for a window yet to be settled, -1 if several documents of its block have it, else the end of a settled range.
     rows = named.mapInArrow(emit, "h1 bigint, h2_first bigint, doc_id bigint, last int")
     settled = F.coalesce(F.col("last") >= 0, F.lit(False))
-    same = Window.partitionBy("h1", F.shiftright("h2_first", 32), settled)
+    # Moved by the first hash alone, so that the second one isn't moved twice; settled ranges have hashes of their own.
+    rows = rows.repartition("h1")
+    same = Window.partitionBy("h1", F.shiftright("h2_first", 32))
     lowest = F.min("doc_id").over(same)
     elsewhere = F.col("doc_id") > lowest if later_only else F.min("last").over(same).isNotNull() | (F.max("doc_id").over(same) > lowest)
     kept = rows.withColumn("keep", settled | elsewhere).filter("keep")
