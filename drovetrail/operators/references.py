@@ -4,24 +4,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, salted_lookup
 
+#: Microseconds of the stretches of time within which spans of a key are merged first.
+MONTH = 30 * 86_400_000_000
+
 
 def validity_spans(parents: DataFrame, key: Column, start: str, end: str) -> DataFrame:
-    """One row per key and start: the span [a, b) with the latest end, b far off if the row is never deleted.
+    """The spans [a, b) in which some row of a key is valid: key, a, b, with b far off if the row is never deleted.
 
-    Copies of a key are reduced before anything is gathered. A row without start is never valid, but the key exists.
+    Copies of a key are reduced before the shuffle to one row per start, and spans of a month that overlap or touch are
+    merged by a sort, so nothing is gathered that grows with the versions of a key. A row without start is never valid,
+    but the key exists.
     """
     far = F.lit(2**62)
     spans = parents.select(
         key.alias("key"),
         F.unix_micros(start).alias("a"),
         F.coalesce(F.unix_micros(end), far).alias("b"),
-    ).filter("key is not null")
-    return spans.groupBy("key", "a").agg(F.max("b").alias("b"))
+    ).filter("key is not null").groupBy("key", "a").agg(F.max("b").alias("b"))
+    month = Window.partitionBy("key", "month").orderBy("a")
+    before = F.max("b").over(month.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("month", F.floor(F.col("a") / MONTH)).withColumn("opens", F.coalesce(before < F.col("a"), F.lit(True)).cast("int"))
+    return islands.withColumn("island", F.sum("opens").over(month)).groupBy("key", "month", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("key", "a", "b")
 
 
 def _merged(spans: Column) -> Column:
