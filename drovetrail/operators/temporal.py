@@ -8,31 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dateunits import bucket, floor_date
+from ..runtime import cut
 from .fixpoint import earliest_arrivals
 from .network import endpoints
 
 
-def totals(moves: DataFrame) -> DataFrame:
-    """One row: nodes, movements and edges of the whole network; self-moves count for nodes only."""
-    real = moves.filter("from_id <> to_id").groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
+def _totals(pairs: DataFrame) -> tuple[float, float, float]:
+    """Nodes, movements and edges of the whole network from its pairs per period; self-moves count for nodes only."""
     none = F.lit(0).cast("bigint")
-    parts = endpoints(moves).agg(F.count("*").alias("n_nodes")).select("n_nodes", none.alias("n_moves"), none.alias("n_edges")).unionAll(
-        real.agg(F.coalesce(F.sum("n"), none).alias("n_moves"), F.count("*").alias("n_edges")).select(none, "n_moves", "n_edges")
+    real = pairs.filter("from_id <> to_id").groupBy("from_id", "to_id").agg(F.sum("n").alias("n"))
+    parts = endpoints(pairs).agg(F.count("*").alias("nodes")).select("nodes", none.alias("moves"), none.alias("edges")).unionAll(
+        real.agg(F.coalesce(F.sum("n"), none).alias("moves"), F.count("*").alias("edges")).select(none, "moves", "edges")
     )
-    return parts.agg(*(F.sum(c).alias(c) for c in ("n_nodes", "n_moves", "n_edges")))
+    return tuple(float(x) for x in parts.agg(F.sum("nodes"), F.sum("moves"), F.sum("edges")).first())
 
 
 def activity(moves: DataFrame, start: Column, name: str = "period") -> DataFrame:
     """Active holdings, movements and edges of each period, with their shares of the whole and the density of edges.
 
-    Periods without movements have no row. The totals are one row.
+    The movements are read once, into one row per period and pair, from which all counts follow. Periods without
+    movements have no row; movements without date or an end don't count.
     """
-    dated = moves.filter("date is not null").withColumn(name, start)
-    nodes = endpoints(dated, name).groupBy(name).agg(F.count("*").alias("holdings_active"))
-    pairs = dated.filter("from_id <> to_id").groupBy(name, "from_id", "to_id").agg(F.count("*").alias("n"))
-    edges = pairs.groupBy(name).agg(F.sum("n").alias("movements"), F.count("*").alias("edges"))
-    t = totals(moves).first() or {}
-    n, m, e = (float(t[k] or 0) for k in ("n_nodes", "n_moves", "n_edges"))
+    dated = moves.filter("date is not null and from_id is not null and to_id is not null").withColumn(name, start)
+    pairs = cut(dated.groupBy(name, "from_id", "to_id").agg(F.count("*").alias("n")))
+    nodes = endpoints(pairs, name).groupBy(name).agg(F.count("*").alias("holdings_active"))
+    edges = pairs.filter("from_id <> to_id").groupBy(name).agg(F.sum("n").alias("movements"), F.count("*").alias("edges"))
+    n, m, e = _totals(pairs)
     share = lambda c, of: F.try_divide(F.col(c).cast("double"), F.lit(of))
     joined = nodes.join(edges, name, "left").fillna(0, ["movements", "edges"])
     return joined.select(
