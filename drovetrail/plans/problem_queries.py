@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timestamps as T
-from ..functions.digits import digits, nine_digits
+from ..functions.digits import nine_digits
 from ..operators import faults, heavy, instants, nearby, references, trailing
+from ..runtime import cut
 
 MOVEMENTS, HOLDINGS, AREAS, LINES, SWEDEN = "example_movement_data", "example_holding_data", "example_admin_areas", "movement_lines", "sweden"
 ZONES = {MOVEMENTS: "Europe/London", SWEDEN: "Europe/Stockholm"}
@@ -49,8 +50,6 @@ def _mixed_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    from ..runtime import cut
-
     values = cut(_mixed_values(spark, d))
     zones = instants.choose_zones(instants.zone_fit(values, ZONES), ZONES)
     return instants.to_instants(values, zones)
@@ -149,7 +148,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_report, p2_found, p2_zone_fit, p3_found, p3_per_holding, p4_found, p4_valid, p5_found, p5_spans, p6_found)
 }
 
-_NINE = "regexp_replace({0}, '[^0-9]', '', 'g')"
 _REFS = """refs AS (
   SELECT row_id, received_at, 'departure_cph' AS ref_field, departure_cph AS cph FROM example_movement_data WHERE departure_cph IS NOT NULL
   UNION ALL SELECT row_id, received_at, 'dest_cph', dest_cph FROM example_movement_data WHERE dest_cph IS NOT NULL),
