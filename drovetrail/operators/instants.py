@@ -31,24 +31,24 @@ def zone_fit(values: DataFrame, declared: dict[str, str], candidates: tuple[str,
     """How well each offset history aligns the zone-less values of a source with their ingestion times.
 
     Values that state their zone show how long after the instant a source's records are ingested: the shortest usual
-    lag (0.5 %) and the quartiles. A zone-less value violates a history if by it the record came in sooner than that;
+    lag (0.5 %) and the quartiles, per month, as lags may have seasons. A zone-less value violates a history if by it the record came in sooner than that;
     further violations are the rows that would have to move for the same shares to lie under the quartiles, counted for
     each month, so that a wrong summer time shows. Result: src_table, zone, n, violations; sources without ingestion
-    times or without any zoned value have no rows. Only aggregates leave the executors.
+    times, and months with fewer than 20 zoned values, count for nothing. Only aggregates leave the executors.
     """
-    timed = values.filter(F.col("timed") & F.col("seen").isNotNull())
-    stated = timed.filter(F.col("offset").isNotNull()).groupBy("src_table", "field").agg(
+    timed = values.filter(F.col("timed") & F.col("seen").isNotNull()).withColumn("month", F.date_trunc("month", F.timestamp_micros("wall")))
+    # One row for each column and month: bounded by the calendar, so small enough for every executor.
+    stated = timed.filter(F.col("offset").isNotNull()).groupBy("src_table", "field", "month").agg(
         F.percentile_approx((F.col("seen") - F.col("wall") + F.col("offset").cast("bigint") * 60_000_000), [0.005, 0.25, 0.5, 0.75], 1000).alias("q"), F.count("*").alias("n_ref")
     ).filter("n_ref >= 20")
     silent = timed.filter(F.col("offset").isNull() & F.col("named").isNull())
     zones = sorted({*candidates, *declared.values()})
     lags = silent.select(
-        "src_table", "field",
-        F.date_trunc("month", F.timestamp_micros("wall")).alias("month"),
+        "src_table", "field", "month",
         F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), (F.col("seen") - T.instant(F.col("wall"), F.lit(None).cast("int"), F.lit(None).cast("string"), z)).alias("lag")) for z in zones))).alias("c"),
     ).select("src_table", "field", "month", "c.*")
     under = lambda i: F.count_if(F.col("lag") < F.get("q", F.lit(i)))
-    months = lags.join(F.broadcast(stated), ["src_table", "field"]).groupBy("src_table", "field", "month", "zone").agg(
+    months = lags.join(F.broadcast(stated), ["src_table", "field", "month"]).groupBy("src_table", "field", "month", "zone").agg(
         F.count("*").alias("n"), (under(0) * 1.0).alias("early"), *((under(i) * 1.0).alias(f"u{i}") for i in (1, 2, 3))
     )
     moved = sum((F.abs(F.col(f"u{i}") - F.col("n") * s) for i, s in ((1, 0.25), (2, 0.5), (3, 0.75))), F.lit(0.0))
