@@ -49,6 +49,11 @@ def quarter(spark: SparkSession, d: str) -> DataFrame:
     return network.in_period(moves(spark, d), *QUARTER)
 
 
+def quarters(spark: SparkSession, d: str) -> DataFrame:
+    """All movements with a day, each in the network of its quarter (``period``)."""
+    return moves(spark, d).filter("date is not null").withColumn("period", F.trunc("date", "quarter"))
+
+
 def monthly(df: DataFrame) -> DataFrame:
     return df.withColumn("period", F.trunc("date", "month"))
 
@@ -72,13 +77,13 @@ def holding_areas(spark: SparkSession, d: str) -> DataFrame:
     return nearby.locate(holdings(spark, d).select("id", "lon", "lat"), areas, "area_id", "ring", "lon", "lat", 0.05).select("id", F.col("region").alias("area_id"))
 
 
-def area_totals(spark: SparkSession, d: str, side: str) -> DataFrame:
+def area_totals(spark: SparkSession, d: str, side: str, of: Callable[[SparkSession, str], DataFrame] = quarter) -> DataFrame:
     areas = spark.read.parquet(f"{d}/example_admin_areas.parquet").select("area_id")
-    return trace.area_totals(quarter(spark, d), holding_areas(spark, d), areas, side)
+    return trace.area_totals(of(spark, d), holding_areas(spark, d), areas, side)
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    found = trace.move_lines(quarter(spark, d), holdings(spark, d))
+def lines(spark: SparkSession, d: str, of: Callable[[SparkSession, str], DataFrame] = quarter) -> DataFrame:
+    found = trace.move_lines(of(spark, d), holdings(spark, d))
     return found.select("ref", F.round(F.col("line")[0]["lon"], 6).alias("lon_a"), F.round(F.col("line")[0]["lat"], 6).alias("lat_a"), F.round(F.col("line")[1]["lon"], 6).alias("lon_b"), F.round(F.col("line")[1]["lat"], 6).alias("lat_b"))
 
 
@@ -104,6 +109,10 @@ def reach_query(backward: bool) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: temporal.reach(quarter(s, d), backward)
 
 
+def root_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r,) for r in ROOTS], "source string")
+
+
 def local_pairs(spark: SparkSession, d: str) -> DataFrame:
     place = spark.read.parquet(f"{d}/example_holding_data.parquet").select(F.regexp_replace("cph", "[^0-9]", "").alias("id"), F.col("coordinates.lon").alias("lon"), F.col("coordinates.lat").alias("lat"))
     return place.filter("length(id) = 9 and lon between -9 and 3 and lat between 49 and 61").distinct()
@@ -191,7 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_holdings": lambda s, d: trace.traced_holdings(chains(s, d), holdings(s, d)).select("id", "root", "direction", "type"),
     "admin_in": lambda s, d: area_totals(s, d, "to_area"), "admin_out": lambda s, d: area_totals(s, d, "from_area"),
     "move_lines": lines,
-    "move_geojson": lambda s, d: geojson(trace.move_lines(quarter(s, d), holdings(s, d)), "line", ["ref", "weight"]),
+    "move_geojson": lambda s, d: geojson(trace.move_lines(moves(s, d), holdings(s, d)), "line", ["ref", "weight"]),
     "parallel_offsets": lambda s, d: trace.parallel_offsets(dense(s, d), ["date", "ref"]).select("ref", "edge_no", "width", "offset"),
     "kendall_strength": kendall,
     "pagerank": lambda s, d: kernels.page_ranks(dense_edges(s, d), ["period"]),
@@ -221,6 +230,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weight_box": lambda s, d: rounded(stats.box_stats(monthly(moves(s, d)), "weight", "period")),
 }
 
+# The whole job of the queries above that take one quarter: all movements as one network where the work grows with them,
+# and every quarter as a network of its own where the result is pairs of all nodes.
+QUERIES |= {
+    "harmonise_active_whole": lambda s, d: network.harmonise(moves(s, d), holdings(s, d)).select("id", "type", "herd_size", "active"),
+    "harmonise_all_whole": lambda s, d: network.harmonise(moves(s, d), holdings(s, d), keep_idle=True).select("id", "type", "herd_size", "active"),
+    "idle_ids_whole": lambda s, d: network.idle_ids(moves(s, d), holdings(s, d)),
+    "admin_in_whole": lambda s, d: area_totals(s, d, "to_area", moves), "admin_out_whole": lambda s, d: area_totals(s, d, "from_area", moves),
+    "move_lines_whole": lambda s, d: lines(s, d, moves),
+    "seir_events_whole": lambda s, d: transmission.seir_events(moves(s, d), privacy.pseudonym_key(network.endpoints(moves(s, d)), "id")),
+    "jaccard_whole": lambda s, d: rounded(static.jaccard(network.simplify(moves(s, d)))),
+    "weak_components_whole": lambda s, d: fixpoint.weak_components(moves(s, d)),
+    "component_sizes_whole": lambda s, d: rounded(static.component_sizes(fixpoint.weak_components(moves(s, d)).withColumn("net", F.lit(1)), "net")),
+    "earliest_arrival_whole": lambda s, d: fixpoint.earliest_arrivals(moves(s, d), sources=root_rows(s)).select("source", "node", F.date_from_unix_date("t").alias("arrival")),
+    "arrival_tree_whole": lambda s, d: fixpoint.arrival_tree(moves(s, d), root_rows(s)),
+    "fwd_reach_quarters": lambda s, d: temporal.reach(quarters(s, d), False, "period"),
+    "bwd_reach_quarters": lambda s, d: temporal.reach(quarters(s, d), True, "period"),
+    "reach_summary_quarters": lambda s, d: rounded(temporal.summarise_nodes(temporal.reach(quarters(s, d), False, "period"), "reach", {"median": lambda c: F.percentile(c, 0.5), "mean": F.avg, "most": F.max}, "period")),
+    "giant_components_quarters": lambda s, d: rounded(fixpoint.giant_components(fixpoint.closure(quarters(s, d), ("period",)), ("period",))),
+    "strong_components_quarters": lambda s, d: fixpoint.strong_components(fixpoint.closure(quarters(s, d), ("period",)), ("period",)),
+    "static_reach_quarters": lambda s, d: fixpoint.closure(quarters(s, d), ("period",)).groupBy("period", F.col("source").alias("id")).agg(F.count("*").alias("reach")),
+    "in_subcomponent_quarters": lambda s, d: fixpoint.closure(quarters(s, d), ("period",)).filter(F.col("node") == "H10").select("period", "source"),
+}
+
 _M = """moves AS (SELECT concat('H', l_partkey) AS from_id, concat('H', o_custkey) AS to_id, CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS DOUBLE) AS weight,
   l_orderkey AS batch_no, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS ref, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 real AS (SELECT * FROM moves WHERE from_id <> to_id),
@@ -409,3 +441,6 @@ SELECT i, j, CASE WHEN m < 100 THEN 0.1::DOUBLE WHEN m < 500 THEN 0.006::DOUBLE
     "season_counts": f"WITH {_M} SELECT CAST(date_trunc('quarter', date + INTERVAL 1 MONTH) - INTERVAL 1 MONTH AS DATE) AS season, count(*) AS moves FROM moves GROUP BY 1",
     "weight_box": f"WITH {_M} SELECT CAST(date_trunc('month', date) AS DATE) AS period, min(weight) AS low, quantile_cont(weight, 0.25) AS q1, quantile_cont(weight, 0.5) AS median, quantile_cont(weight, 0.75) AS q3, max(weight) AS high, round(avg(weight), 6) AS mean FROM moves GROUP BY 1",
 }
+
+# The same SQL over all movements; recursion is too slow for that, so the other whole queries are held against brute force.
+ORACLE |= {f"{n}_whole": ORACLE[n].replace("FROM quarter", "FROM moves") for n in ("harmonise_active", "harmonise_all", "idle_ids", "admin_in", "admin_out", "move_lines", "seir_events", "jaccard")}
