@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,23 +107,44 @@ def exact_matches(postings: list[np.ndarray], item: list[int], run: int) -> np.n
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def near_matches(postings: list[np.ndarray], item: list[int], rare: int, least: int, reach: int) -> np.ndarray:
-    """Document numbers in which ``least`` of the item's ``rare`` rarest words lie within ``reach`` words of one of them."""
-    held = sorted({t for t in item if len(postings[t])}, key=lambda t: (len(postings[t]), t))[:rare]
-    if len(held) < least:
+def near_matches(postings: list[np.ndarray], rare: list[int], least: int, reach: int) -> np.ndarray:
+    """Document numbers in which ``least`` of the given words, rarest first, lie within ``reach`` words of one of them."""
+    if len(rare) < least:
         return np.zeros(0, np.int64)
+    # Of so many words some are left out of a match at most, so one of the first is near; only places near those are looked at.
+    first = np.concatenate([postings[t] for t in rare[: len(rare) - least + 1]])
     found = []
-    for anchor in held[: len(held) - least + 1]:
-        at = postings[anchor]
+    for anchor in rare:
+        a, b = np.searchsorted(postings[anchor], first - reach), np.searchsorted(postings[anchor], first + reach, "right")
+        n = b - a
+        at = postings[anchor][np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))]
         near = np.zeros(len(at), int)
-        for t in held:
+        for t in rare:
             near += np.searchsorted(postings[t], at + reach, "right") > np.searchsorted(postings[t], at - reach)
         found.append(at[near >= least] >> BITS)
     return np.unique(np.concatenate(found))
 
 
-def _search(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least_words: int, match) -> DataFrame:
-    """Rows (doc_id, item_id) that ``match`` finds in the segments; items are taken in blocks of bounded size."""
+def term_counts(docs: DataFrame, text: str, terms: list[str]) -> dict[str, int]:
+    """How often each of the terms occurs in all texts; terms that don't occur are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                n.update(filter(shared.value.__contains__, words_of(t.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+    counts = docs.select(text).filter(F.col(text).isNotNull()).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in counts.collect()}
+
+
+def _search(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least_words: int, match, chosen=None) -> DataFrame:
+    """Rows (doc_id, item_id) that ``match`` finds in the segments; items are taken in blocks of bounded size.
+
+    ``chosen`` makes of a block's items, as (id, words), those words that are looked for.
+    """
     chars = items.agg(F.sum(F.length(passage)).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(chars / PASS_CHARS))
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
@@ -130,6 +152,7 @@ def _search(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id:
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).select(item_id, passage).collect()
         split = [(r[0], w) for r in rows if len(w := words_of(r[1])) >= least_words]
+        split = chosen(split) if chosen else split
         terms = sorted({w for _, ws in split for w in ws})
         number = {t: i for i, t in enumerate(terms)}
         shared = docs.sparkSession.sparkContext.broadcast([(i, [number[w] for w in ws]) for i, ws in split])
@@ -161,6 +184,14 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
 def near_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, rare: int = 10, least: int = 9, reach: int = 60) -> DataFrame:
     """doc_id, item_id: documents with at least ``least`` of an item's ``rare`` rarest words within ``reach`` words of one of them.
 
-    Rarity is that within the document's segment of the index.
+    Rarity is how often a word occurs in all texts (repeated rows count repeatedly), of equal ones the lesser word is the
+    rarer; words that occur in no text don't count. The words of a block's items are counted in a pass of its own, so the
+    choice doesn't depend on partitions or segments.
     """
-    return _search(docs, doc_id, text, items, item_id, passage, least, lambda postings, item: near_matches(postings, item, rare, least, reach))
+
+    def chosen(split: list[tuple]) -> list[tuple]:
+        n = term_counts(docs, text, sorted({w for _, ws in split for w in ws}))
+        rarest = lambda ws: sorted({w for w in ws if w in n}, key=lambda w: (n[w], w))[:rare]
+        return [(i, r) for i, ws in split if len(r := rarest(ws)) >= least]
+
+    return _search(docs, doc_id, text, items, item_id, passage, least, lambda postings, item: near_matches(postings, item, least, reach), chosen)

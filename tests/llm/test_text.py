@@ -1,5 +1,6 @@
 """The text operators against brute force and exact round trips."""
 
+import itertools
 import random
 import re
 import unicodedata
@@ -73,6 +74,36 @@ def test_leaks_by_brute_force(spark):
     assert near
 
 
+@pytest.mark.parametrize(("parts", "segment"), [(1, 1 << 21), (7, 1 << 21), (3, 200), (1, 1)])
+def test_near_items_by_brute_force(spark, monkeypatch, parts, segment):
+    """Rarity is that of all texts, whichever texts share a partition or a segment, and any of the rare words may be the middle."""
+    monkeypatch.setattr(leaks, "SEGMENT_WORDS", segment)
+    rnd = random.Random(12)
+    common = [f"c{i}" for i in range(12)]
+    items = [(i, " ".join(rnd.sample(common, 6) + [f"r{i}x{k}" for k in range(10)])) for i in range(8)] + [(90, "few words"), (91, " ".join(f"nowhere{k}" for k in range(12)))]
+    docs = []
+    for _ in range(150):
+        i = rnd.randrange(8)
+        words = [f"r{i}x{k}" for k in rnd.sample(range(10), rnd.choice([2, 8, 9, 10]))] + rnd.sample(common, rnd.randrange(12))
+        rnd.shuffle(words)
+        gap = rnd.choice([0, 5, 9, 12, 15])
+        docs.append(" ".join(x for w in words for x in [w, *rnd.choices(common[:3] + ["fill"], k=gap)]))
+    docs += [None, "", " ".join(common) * 3]
+    lists, n = [(d or "").split() for d in docs], {}
+    for w in itertools.chain(*lists):
+        n[w] = n.get(w, 0) + 1
+    want = set()
+    for i, p in items:
+        rare = sorted({w for w in p.split() if w in n}, key=lambda w: (n[w], w))[:10]
+        for d, ws in enumerate(lists):
+            at = [k for k, w in enumerate(ws) if w in rare]
+            if any(len({ws[k] for k in at if abs(k - m) <= 60}) >= 9 for m in at):
+                want.add((d, i))
+    df, it = table(spark, docs).repartition(parts), spark.createDataFrame(items, "item_id bigint, passage string")
+    got = [tuple(r) for r in leaks.near_items(df, "doc_id", "text", it, "item_id", "passage").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 20 < len(want) < 150
+
+
 def brute_shared(rows, later_only=False):
     where, kept = {}, []
     for i, t in enumerate(rows):
