@@ -59,13 +59,15 @@ def slab_index(regions: DataFrame, region: str, ring: str, column_width: float)
     placed = edges.withColumn("col", F.explode(F.sequence(F.floor(F.col("x1") / w), F.floor(F.col("x2") / w))))
     left, right = F.col("col") * w, (F.col("col") + 1) * w
     cuts = placed.select("col", F.explode(F.array(F.greatest("x1", left), F.least("x2", right))).alias("xa")).distinct()
-    slabs = cuts.withColumn("xb", F.lead("xa").over(Window.partitionBy("col").orderBy("xa"))).filter("xb is not null")
+    slabs = cuts.withColumns({"xb": F.lead("xa").over(Window.partitionBy("col").orderBy("xa")), "nth": F.row_number().over(Window.partitionBy("col").orderBy("xa"))}).filter("xb is not null")
     mid = (F.col("xa") + F.col("xb")) / 2
     crossing = placed.join(slabs, "col").filter((F.col("x1") <= F.col("xa")) & (F.col("x2") >= F.col("xb"))).withColumn("at", F.col("h") + F.col("m") * mid)
     order = Window.partitionBy("col", "xa", "region").orderBy("at", "m", "i")
-    # A slab that ends with its column takes all points of the column that lie right of its beginning.
+    # A slab that ends with its column takes all points of the column that lie right of its beginning, and one that begins
+    # with its column all that lie left of its end: a product of the width may be rounded past points of the column.
     until = F.when(F.col("xb") < (F.col("col") + 1) * w, F.col("xb")).otherwise(F.lit(float("inf")))
-    traps = crossing.select("col", "xa", until.alias("xb"), "region", "at", "h", "m", F.row_number().over(order).alias("k"), F.lead("h").over(order).alias("h2"), F.lead("m").over(order).alias("m2")).filter("k % 2 = 1 and h2 is not null")
+    since = F.when((F.col("nth") == 1) & (F.col("xa") <= F.col("col") * w), F.lit(float("-inf"))).otherwise(F.col("xa"))
+    traps = crossing.select("col", since.alias("xa"), until.alias("xb"), "region", "at", "h", "m", F.row_number().over(order).alias("k"), F.lead("h").over(order).alias("h2"), F.lead("m").over(order).alias("m2")).filter("k % 2 = 1 and h2 is not null")
     ordered = traps.groupBy("col", "xa", "xb").agg(F.array_sort(F.collect_list(F.struct("at", "region", "h", "m", "h2", "m2"))).alias("traps"))
     return ordered.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("xa", "xb", "traps"))).alias("s")).select("col", F.col("s.xa").alias("xs"), F.col("s.xb").alias("ends"), F.col("s.traps").alias("slabs"))
 

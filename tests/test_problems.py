@@ -172,3 +172,14 @@ def test_locate_in_concave_regions_with_junctions(spark):
     got = {(r["pid"], r["region"]) for r in nearby.locate(df, regions, "area", "ring", "lon", "lat", 0.7).collect()}
     assert got == {(i, k) for i, x, y in pts for k, ring in rings if ring and inside(x, y, ring)}
     assert nearby.locate(df.limit(0), regions, "area", "ring", "lon", "lat", 0.7).count() == 0
+
+
+def test_locate_where_a_multiple_of_the_width_is_rounded_up(spark):
+    """17, 34 and 39 times 0.05 lie right of 0.85, 1.7 and 1.95, which are in those columns."""
+    square = lambda a, b: [{"lon": x, "lat": y} for x, y in ((a, 50.0), (b, 50.0), (b, 52.0), (a, 52.0), (a, 50.0))]
+    regions = spark.createDataFrame([(1, square(-1.0, 0.85)), (2, square(0.85, 1.9)), (3, square(1.9, 3.0))], "area int, ring array<struct<lon:double,lat:double>>")
+    rnd = random.Random(6)
+    xs = [0.85, 1.7, 1.95, *(k / 100 for k in range(-120, 320)), *(rnd.uniform(-1.2, 3.2) for _ in range(200))]
+    pts = spark.createDataFrame([(i, x, 51.0) for i, x in enumerate(xs)], "pid int, lon double, lat double")
+    got = {(r["pid"], r["region"]) for r in nearby.locate(pts, regions, "area", "ring", "lon", "lat", 0.05).collect()}
+    assert got == {(i, k) for i, x in enumerate(xs) for k, a, b in ((1, -1.0, 0.85), (2, 0.85, 1.9), (3, 1.9, 3.0)) if a <= x < b}
