@@ -23,27 +23,26 @@ def _graph(g: pd.DataFrame, directed: bool = True) -> tuple[list[str], list[list
     return ids, [sorted(n.items()) for n in near]
 
 
-def shortest_paths(near: list[list[tuple[int, float]]], s: int) -> tuple[list[int], list[float | None], list[float], list[list[int]]]:
-    """From s: nodes by distance, distances, numbers of shortest paths and predecessors on them (Dijkstra)."""
-    dist: list[float | None] = [None] * len(near)
-    best, paths, before = {s: 0.0}, [0.0] * len(near), [[] for _ in near]
+def shortest_paths(near: list[list[tuple[int, float]]], s: int) -> tuple[list[int], dict[int, float], dict[int, float], dict[int, list[int]]]:
+    """From s: nodes by distance, distances, numbers of shortest paths and predecessors on them (Dijkstra), of reached nodes only."""
+    dist: dict[int, float] = {}
+    best, paths, before = {s: 0.0}, {s: 1.0}, {s: []}
     order, heap = [], [(0.0, s)]
-    paths[s] = 1.0
     while heap:
         d, u = heapq.heappop(heap)
-        if dist[u] is not None:
+        if u in dist:
             continue
         dist[u] = d
         order.append(u)
         for v, w in near[u]:
             new = d + w
-            if dist[v] is not None and dist[v] < new - TIE * max(new, 1.0):
+            if v in dist and dist[v] < new - TIE * max(new, 1.0):
                 continue
             old = best.get(v)
             if old is None or new < old - TIE * max(old, 1.0):
                 best[v], paths[v], before[v] = new, paths[u], [u]
                 heapq.heappush(heap, (new, v))
-            elif abs(new - old) <= TIE * max(old, 1.0) and dist[v] is None:
+            elif abs(new - old) <= TIE * max(old, 1.0) and v not in dist:
                 paths[v] += paths[u]
                 before[v].append(u)
     return order, dist, paths, before
@@ -55,7 +54,7 @@ def centralities(g: pd.DataFrame, directed: bool = True) -> pd.DataFrame:
     between, rows = [0.0] * len(ids), []
     for s in range(len(ids)):
         order, dist, paths, before = shortest_paths(near, s)
-        share = [0.0] * len(ids)
+        share = dict.fromkeys(order, 0.0)
         for v in reversed(order):
             for u in before[v]:
                 share[u] += paths[u] / paths[v] * (1 + share[v])

@@ -87,9 +87,9 @@ def lines(spark: SparkSession, d: str, of: Callable[[SparkSession, str], DataFra
     return found.select("ref", F.round(F.col("line")[0]["lon"], 6).alias("lon_a"), F.round(F.col("line")[0]["lat"], 6).alias("lat_a"), F.round(F.col("line")[1]["lon"], 6).alias("lon_b"), F.round(F.col("line")[1]["lat"], 6).alias("lat_b"))
 
 
-def kendall(spark: SparkSession, d: str) -> DataFrame:
-    ranks = static.strength_rank(dense_edges(spark, d), "period").select("period", "id", F.col("rank").alias("x"))
-    other = static.strength_rank(network.simplify(monthly(privacy.round_weights(dense(spark, d), 20.0)), "period"), "period").select("period", "id", F.col("rank").alias("y"))
+def kendall(spark: SparkSession, d: str, of: Callable[[SparkSession, str], DataFrame] = dense) -> DataFrame:
+    ranks = static.strength_rank(network.simplify(monthly(of(spark, d)), "period"), "period").select("period", "id", F.col("rank").alias("x"))
+    other = static.strength_rank(network.simplify(monthly(privacy.round_weights(of(spark, d), 20.0)), "period"), "period").select("period", "id", F.col("rank").alias("y"))
     return rounded(stats.kendall(ranks.join(other, ["period", "id"]), ["period"], "x", "y"))
 
 
@@ -133,8 +133,22 @@ def distance_components(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("metres").agg(F.max("size").alias("largest"))
 
 
-def half_year(spark: SparkSession, d: str, weighted: bool = True) -> DataFrame:
-    return kernels.path_measures(dense_edges(spark, d).filter("period >= '1998-01-01' and period < '1998-07-01'"), ["period"], weighted=weighted)
+def half_year(spark: SparkSession, d: str) -> DataFrame:
+    """Six months of the folded network, which is what the SQL of ``distances`` has."""
+    return kernels.path_measures(dense_edges(spark, d).filter("period >= '1998-01-01' and period < '1998-07-01'"), ["period"], weighted=False)
+
+
+def all_months(spark: SparkSession, d: str, directed: bool = True, weighted: bool = True) -> DataFrame:
+    return kernels.path_measures(dense_edges(spark, d), ["period"], directed, weighted)
+
+
+def holding_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The network of every month between holdings as they are."""
+    return network.simplify(monthly(moves(spark, d)), "period")
+
+
+def holding_paths(spark: SparkSession, d: str, directed: bool = True, weighted: bool = True) -> DataFrame:
+    return kernels.path_measures(holding_edges(spark, d), ["period"], directed, weighted)
 
 
 def _max_nodes(df: DataFrame) -> DataFrame:
@@ -204,7 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parallel_offsets": lambda s, d: trace.parallel_offsets(dense(s, d), ["date", "ref"]).select("ref", "edge_no", "width", "offset"),
     "kendall_strength": kendall,
     "pagerank": lambda s, d: kernels.page_ranks(dense_edges(s, d), ["period"]),
-    "path_measures": lambda s, d: kernels.path_measures(dense_edges(s, d).filter("period >= '1998-01-01' and period < '1998-07-01'"), ["period"]),
+    "path_measures": lambda s, d: all_months(s, d),
     "avg_daily_weight": lambda s, d: transmission.average_daily_weight(dense(s, d)).withColumn("daily", F.round("daily", 9)),
     "movement_spread": lambda s, d: moves_spread(s, d).withColumn("p", F.round("p", 9)),
     "local_spread": lambda s, d: transmission.local_spread(local_pairs(s, d)),
@@ -217,10 +231,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_herd": lambda s, d: holdings(s, d).groupBy("type").agg(F.max_by("id", F.struct("herd_size", "id")).alias("id"), F.max("herd_size").alias("herd_size")),
     "season_counts": lambda s, d: moves(s, d).groupBy(floor_date(F.col("date"), "season").alias("season")).agg(F.count("*").alias("moves")),
     "arrival_tree": lambda s, d: fixpoint.arrival_tree(quarter(s, d), s.createDataFrame([(r,) for r in ROOTS], "source string")),
-    "betweenness_norm": lambda s, d: static.normalised_betweenness(half_year(s, d, weighted=False), "period").select("period", "id", "betweenness"),
-    "closeness": lambda s, d: kernels.path_measures(dense_edges(s, d).filter("period >= '1998-01-01' and period < '1998-07-01'"), ["period"], directed=False, weighted=False).select("period", "id", "closeness"),
-    "distances": lambda s, d: rounded(static.distances(half_year(s, d, weighted=False), "period")),
-    "mean_weighted_distance": lambda s, d: rounded(static.distances(half_year(s, d), "period").select("period", "mean_distance")),
+    "betweenness_norm": lambda s, d: static.normalised_betweenness(all_months(s, d, weighted=False), "period").select("period", "id", "betweenness"),
+    "closeness": lambda s, d: all_months(s, d, directed=False, weighted=False).select("period", "id", "closeness"),
+    "distances": lambda s, d: rounded(static.distances(half_year(s, d), "period")),
+    "mean_weighted_distance": lambda s, d: rounded(static.distances(all_months(s, d), "period").select("period", "mean_distance")),
     "random_reciprocity": lambda s, d: static.reciprocity(static.random_edges(s, 500, 5000).withColumn("network", F.lit("random")), "network"),
     "max_node_overlap": lambda s, d: stats.overlap_share(_max_nodes(privacy.jitter_dates(dense(s, d), 15, "ref")).withColumn("treatment", F.lit("jittered")), _max_nodes(dense(s, d)), "max_nodes", "period", "treatment"),
     "popup_text": lambda s, d: trace.popup_text(trace.traced_holdings(chains(s, d), holdings(s, d)), ["type"]),
@@ -250,6 +264,14 @@ QUERIES |= {
     "giant_components_quarters": lambda s, d: rounded(fixpoint.giant_components(fixpoint.closure(quarters(s, d), ("period",)), ("period",))),
     "strong_components_quarters": lambda s, d: fixpoint.strong_components(fixpoint.closure(quarters(s, d), ("period",)), ("period",)),
     "static_reach_quarters": lambda s, d: fixpoint.closure(quarters(s, d), ("period",)).groupBy("period", F.col("source").alias("id")).agg(F.count("*").alias("reach")),
+    "distances_whole": lambda s, d: rounded(static.distances(all_months(s, d, weighted=False), "period")),
+    "path_measures_holdings": lambda s, d: holding_paths(s, d),
+    "betweenness_norm_holdings": lambda s, d: static.normalised_betweenness(holding_paths(s, d, weighted=False), "period").select("period", "id", "betweenness"),
+    "closeness_holdings": lambda s, d: holding_paths(s, d, directed=False, weighted=False).select("period", "id", "closeness"),
+    "distances_holdings": lambda s, d: rounded(static.distances(holding_paths(s, d, weighted=False), "period")),
+    "mean_weighted_distance_holdings": lambda s, d: rounded(static.distances(holding_paths(s, d), "period").select("period", "mean_distance")),
+    "pagerank_holdings": lambda s, d: kernels.page_ranks(holding_edges(s, d), ["period"]),
+    "kendall_strength_holdings": lambda s, d: kendall(s, d, moves),
     "in_subcomponent_quarters": lambda s, d: fixpoint.closure(quarters(s, d), ("period",)).filter(F.col("node") == "H10").select("period", "source"),
 }
 

@@ -6,6 +6,7 @@ import random
 import __spark_entry__ as entry
 import duckdb
 import pytest
+from test_network import floyd
 from test_oracles import rows_of
 
 LINE = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate date, l_quantity double"
@@ -114,3 +115,48 @@ def test_whole_query_equals_sql(spark, tables, name):
     cur = con.execute(entry.oracle_sql()[f"{name}_whole"])
     want = cur.fetchall()
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], want) and want
+
+
+def monthly_lengths(rows, fold):
+    """Every month's edges between different holdings with their summed weights."""
+    out = {}
+    for a, b, day, w in rows:
+        u, v = (f"H{int(x[1:]) % 50}" if fold else x for x in (a, b))
+        if u != v:
+            edges = out.setdefault(day.replace(day=1), {})
+            edges[u, v] = edges.get((u, v), 0.0) + w
+    return out
+
+
+def both_ways(edges):
+    return sorted({e for a, b, w in edges for e in ((a, b, w), (b, a, w))})
+
+
+@pytest.mark.parametrize("fold", [True, False])
+def test_path_measures_of_every_month(spark, tables, fold):
+    d, rows = tables
+    months, name = monthly_lengths(rows, fold), (lambda n: n if fold else f"{n}_holdings")
+    assert len(months) > 12
+    want, between, near, apart, weighted = set(), set(), set(), set(), set()
+    for month, edges in months.items():
+        ids, mean = sorted({x for e in edges for x in e}), sum(edges.values()) / len(edges)
+        long, through = floyd([(a, b, mean / w) for (a, b), w in edges.items()], ids)
+        hops, passed = floyd([(a, b, 1.0) for a, b in edges], ids)
+        around, _ = floyd(both_ways([(a, b, 1.0) for a, b in edges]), ids)
+        total = lambda dist, v: sum(x for (s, _), x in dist.items() if s == v)
+        want |= {(month, v, round(through[v], 6), round(total(long, v), 6)) for v in ids}
+        between |= {(month, v, round(passed[v] / ((len(ids) - 1) * (len(ids) - 2)), 6)) for v in ids}
+        near |= {(month, v, round(1 / total(around, v), 6)) for v in ids}
+        apart.add((month, round(sum(hops.values()) / len(hops), 6), max(hops.values())))
+        weighted.add((month, round(sum(long.values()) / len(long), 6)))
+    read = lambda q, *cols: {tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in cols) for r in entry.queries()[q](spark, d).collect()}
+    assert read(name("path_measures"), "period", "id", "betweenness", "total") == want
+    assert read(name("betweenness_norm"), "period", "id", "betweenness") == between
+    assert read(name("closeness"), "period", "id", "closeness") == near
+    assert read("distances_whole" if fold else "distances_holdings", "period", "mean_distance", "diameter") == apart
+    assert read(name("mean_weighted_distance"), "period", "mean_distance") == weighted
+    ranks = {}
+    for r in entry.queries()[name("pagerank")](spark, d).collect():
+        ranks[r["period"]] = ranks.get(r["period"], 0) + r["pagerank"]
+    assert set(ranks) == set(months) and all(abs(x - 1) < 1e-9 for x in ranks.values())
+    assert read(name("kendall_strength"), "period") == {(m,) for m in months}
