@@ -29,7 +29,7 @@ def earliest_arrivals(moves: DataFrame, backward: bool = False, sources: DataFra
     first = hops.join(nodes.withColumnRenamed("source", "u"), [*by, "u"]).groupBy(*by, F.col("u").alias("source"), F.col("v").alias("node")).agg(F.min("t").alias("t"))
     known = cut(first)
     front = known
-    for _ in range(ROUNDS):
+    while True:  # ends: arrivals only get earlier, and there are as many days as movements have
         near = front.select(*by, "source", F.col("node").alias("u"), F.col("t").alias("at"))
         found = near.join(hops, [*by, "u"]).filter((F.col("t") >= F.col("at") + step) & (F.col("v") != F.col("source"))).groupBy(*by, "source", F.col("v").alias("node")).agg(F.min("t").alias("new"))
         merged = cut(known.join(found, [*by, "source", "node"], "full").select(*by, "source", "node", F.least("t", "new").alias("t"), (F.col("new") < F.coalesce("t", F.lit(2**31 - 1))).alias("better")))

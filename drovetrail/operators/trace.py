@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-ROUNDS = 100
-
 
 def windows(t_end: list | None = None, days: list | None = None, in_begin=None, in_end=None, out_begin=None, out_end=None) -> list[tuple]:
     """(in_begin, in_end, out_begin, out_end) of each root: from {t_end, days} or from four dates, never both.
@@ -52,7 +50,7 @@ def trace(moves: DataFrame, roots: DataFrame, max_distance: int | None = None) -
     Outgoing from a root within its window: all movements from a node to nodes not yet on the path, not before the
     path's arrival there; the earliest one carries the path on. Same-day movements follow each other. Ingoing is the
     mirror image in time. A movement may come out at several distances. Paths of equal nodes, end and arrival count once;
-    without ``max_distance`` paths end by themselves, as no node is visited twice.
+    without ``max_distance`` (0 allows no movement) paths are followed until they end by themselves, as no node is visited twice.
     """
     found = []
     for direction, a, b, sign in (("out", "from_id", "to_id", 1), ("in", "to_id", "from_id", -1)):
@@ -60,7 +58,7 @@ def trace(moves: DataFrame, roots: DataFrame, max_distance: int | None = None) -
         begin, end = (f"{direction}_begin", f"{direction}_end") if sign == 1 else ("in_end", "in_begin")
         front = roots.select("root", F.col("root").alias("node"), (F.unix_date(begin) * sign).alias("at"), (F.unix_date(end) * sign).alias("until"), F.array("root").alias("path")).distinct()
         distance = 1
-        while distance <= (max_distance or ROUNDS):
+        while max_distance is None or distance <= max_distance:
             step = front.join(hops, front["node"] == hops["u"]).filter((F.col("t") >= F.col("at")) & (F.col("t") <= F.col("until")) & ~F.array_contains("path", F.col("v")))
             step = cut(step.select("root", "u", "v", "t", "until", "path"))
             if step.isEmpty():

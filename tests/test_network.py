@@ -177,3 +177,15 @@ def test_transmission(spark):
     assert {(r["i"], r["j"]): r["p"] for r in transmission.combine_routes([a, b]).collect()} == {("x", "y"): 0.75, ("y", "z"): 1.0}
     m = transmission.contact_matrix(moves(spark, [("x", "y", 0, 31)]), spark.createDataFrame([("x", 0.0, 50.0), ("y", 0.0, 50.0005), ("far", 1.0, 50.0)], "id string, lon double, lat double"), q=0.5)
     assert {(r["i"], r["j"]): round(r["p"], 6) for r in m.collect()} == {("x", "y"): 0.55, ("y", "x"): 0.1}
+
+
+def test_chains_are_followed_to_their_end(spark, monkeypatch):
+    """However long: no number of rounds (there was one, here made small) cuts them."""
+    monkeypatch.setattr(trace, "ROUNDS", 3, raising=False)
+    monkeypatch.setattr(fixpoint, "ROUNDS", 3, raising=False)
+    m = moves(spark, [(f"n{i}", f"n{i + 1}", 0, 1) for i in range(7)])
+    roots = trace.roots_table(spark, ["n0"], trace.windows(t_end=["2020-01-10"], days=[30]))
+    assert sorted(r["distance"] for r in trace.trace(m, roots).collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert trace.trace(m, roots, 0).count() == 0
+    m = moves(spark, [(f"n{i}", f"n{i + 1}", i, 1) for i in range(7)])
+    assert {r["id"]: r["reach"] for r in temporal.reach(m).collect()} == {f"n{i}": 8 - i for i in range(8)}
