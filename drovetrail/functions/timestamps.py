@@ -44,8 +44,6 @@ _READERS = [re.compile(f, re.ASCII | re.IGNORECASE) for f in _FORMS]
 _SIX = re.compile(r"(?P<y>\d\d)(?P<m>\d\d)(?P<d>\d\d)", re.ASCII)
 _EPOCH = re.compile(r"\d{10}(?:\d{3})?", re.ASCII)
 _DAY0 = datetime.date(1970, 1, 1).toordinal()
-#: No form is longer; longer texts are invalid without being searched.
-LONGEST = 80
 
 Reading = tuple[str, int | None, int | None, str | None, bool | None]
 _BAD: Reading = (INVALID, None, None, None, None)
@@ -97,8 +95,6 @@ def read_text(text: str | None, six_digits: bool) -> Reading:
     if text is None or text in ("", "NA"):
         return (MISSING, None, None, None, None)
     text = text.strip(" \t\r\n")
-    if len(text) > LONGEST:
-        return _BAD
     if _EPOCH.fullmatch(text):
         return (VALID, int(text) * (1_000_000 if len(text) == 10 else 1000), 0, None, True)
     found = next((m for r in (*_READERS, *([_SIX] if six_digits else ())) if (m := r.fullmatch(text))), None)

@@ -59,3 +59,10 @@ def test_quantities(spark):
     rows = [("12", 12), (" 7 ", 7), ("3.0", 3), ("0001", 1), ("3.", None), ("1,277", None), ("-4", None), ("NaN", None), ("1e2", None), ("", None), (None, None), ("9" * 30, None), ("٣", None), ("5.50", None)]
     got = spark.createDataFrame(rows, "v string, want bigint").withColumn("q", T.quantity(F.col("v"))).collect()
     assert [(r["v"], r["q"]) for r in got] == rows
+
+
+def test_values_of_any_length_are_read():
+    short = T.read_text("2024-03-05T10:20:30.123456Z", False)
+    assert short[0] == T.VALID
+    assert T.read_text("2024-03-05T10:20:30.123456" + "7" * 200 + "Z", False) == short
+    assert T.read_text("2024-03-05" + "x" * 200, False)[0] != T.VALID
