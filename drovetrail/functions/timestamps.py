@@ -8,7 +8,9 @@ instants is built-in again.
 from __future__ import annotations
 
 import datetime
+import functools
 import re
+import zoneinfo
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,11 +27,15 @@ MONTH = (
     r"|aug(?:ust|usti)?|sep(?:t|tember)?|o[ck]t(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 )
 ZONE_LETTERS = {"Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "WET": 0, "BST": 60, "WEST": 60, "CET": 60, "MEZ": 60, "CEST": 120, "MESZ": 120, "EET": 120, "EEST": 180}
-REGIONS = ("Europe/London", "Europe/Stockholm", "Europe/Dublin", "Europe/Berlin", "Europe/Paris", "Europe/Copenhagen", "Europe/Oslo", "Europe/Helsinki", "Europe/Amsterdam", "Europe/Brussels", "Europe/Madrid", "Europe/Rome", "Europe/Vienna", "Europe/Zurich", "Europe/Prague", "Europe/Warsaw", "Europe/Lisbon", "UTC", "GMT", "Etc/UTC", "Etc/GMT")
+# Names of weekdays, English and Swedish, full and short.
+WEEKDAY = (
+    "mon(?:day)?|tue(?:s(?:day)?)?|wed(?:nesday)?|thu(?:r(?:s(?:day)?)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?"
+    "|m[åÅ]n(?:dag)?|tis(?:dag)?|ons(?:dag)?|tors?(?:dag)?|fre(?:dag)?|l[öÖ]r(?:dag)?|s[öÖ]n(?:dag)?"
+)
 
 _TIME = r"(?:(?:T|,?[ ]+(?:at[ ]+|kl\.?[ ]*)?)(?P<h>\d{1,2})[:.](?P<mi>\d{2})(?:[:.](?P<s>\d{2})(?:[.,](?P<us>\d+))?)?(?:[ ]?(?P<half>[ap])\.?m\.?)?)?"
-_ZONE = rf"(?:[ ]?(?P<z>{'|'.join(sorted(ZONE_LETTERS, key=len, reverse=True))}|[+-]\d\d(?::?\d\d)?))?(?:[ ]?\[(?P<region>[A-Za-z]+(?:/[A-Za-z_+-]+)*)\])?"
-_WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?[ ]+)?"
+_ZONE = rf"(?:[ ]?(?P<z>{'|'.join(sorted(ZONE_LETTERS, key=len, reverse=True))}|[+-]\d\d(?::?\d\d)?))?(?:[ ]?\[(?P<region>[A-Za-z][\w+/-]*)\])?"
+_WEEKDAY = rf"(?:(?:{WEEKDAY})\.?,?[ ]+)?"
 _FORMS = (
     rf"(?P<y>\d{{4}})(?P<sep>[-/.])(?P<m>\d{{1,2}})(?P=sep)(?P<d>\d{{1,2}}){_TIME}{_ZONE}",
     rf"(?P<d>\d{{1,2}})[-/.](?P<m>\d{{1,2}})[-/. ](?P<y>\d{{4}}|\d{{2}}){_TIME}{_ZONE}",
@@ -90,6 +96,21 @@ def _offset(zone: str) -> int:
     return -minutes if zone[0] == "-" else minutes
 
 
+@functools.cache
+def _region(name: str) -> zoneinfo.ZoneInfo | None:
+    """The region of that name in the time zone database, None if there is none."""
+    try:
+        return zoneinfo.ZoneInfo(name) if name in zoneinfo.available_timezones() else None
+    except (ValueError, OSError):
+        return None
+
+
+def local_offset(wall: int, zone: datetime.tzinfo) -> int:
+    """Seconds east of UTC of a wall-clock time (microseconds as if in UTC): the earlier instant of two, the offset before a gap."""
+    at = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=wall)
+    return round(at.replace(tzinfo=zone).utcoffset().total_seconds())
+
+
 def read_text(text: str | None, six_digits: bool) -> Reading:
     """State, wall-clock microseconds as if in UTC, minutes east of UTC, named region, whether there is a time of day."""
     if text is None or text in ("", "NA"):
@@ -107,8 +128,13 @@ def read_text(text: str | None, six_digits: bool) -> Reading:
     except ValueError:
         return _BAD
     region = g.get("region")
-    if region and region not in REGIONS:
-        return _BAD
+    if region:
+        zone = _region(region)
+        if zone is None:
+            return _BAD
+        if offset is None:  # offsets before standard time have seconds, which go into the time
+            seconds = local_offset(wall, zone)
+            wall, offset = wall - seconds % 60 * 1_000_000, seconds // 60
     return (VALID, wall, offset, region, g.get("h") is not None)
 
 
@@ -116,7 +142,7 @@ def read_instants(df: DataFrame, value: str, prefix: str, zone: str, six_digits:
     """Add what a text column says about time.
 
     New columns, all named after ``prefix``: ``_state`` (missing, valid, invalid), ``_wall`` (wall-clock microseconds as
-    if in UTC), ``_offset`` (minutes east of UTC if the value says so), ``_named`` (the region it names, if any),
+    if in UTC), ``_offset`` (minutes east of UTC if the value says so or names a region of the time zone database), ``_named`` (that region),
     ``_timed`` (whether it has a time of day) and ``_micros`` (the instant: microseconds since 1970 UTC, null unless
     valid). A value without zone is wall-clock time of ``zone``: of two possible instants the earlier one, of a skipped
     time the one by the offset before the change. No time of day means midnight there. Digits beyond the microsecond
@@ -135,13 +161,13 @@ def read_instants(df: DataFrame, value: str, prefix: str, zone: str, six_digits:
 
     out = df.mapInArrow(read, T.StructType([*df.schema.fields, *added]))
     c = lambda n: F.col(f"{prefix}_{n}")
-    return out.withColumn(f"{prefix}_micros", F.when(c("state") == VALID, instant(c("wall"), c("offset"), c("named"), zone)))
+    return out.withColumn(f"{prefix}_micros", F.when(c("state") == VALID, instant(c("wall"), c("offset"), zone)))
 
 
-def instant(wall: Column, offset: Column, named: Column, zone: str) -> Column:
-    """Microseconds since 1970 UTC of a wall-clock time, by its own offset, else its region, else the given zone."""
-    local = lambda z: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), z))
-    return F.when(offset.isNotNull(), wall - offset.cast("bigint") * 60_000_000).when(named.isNull(), local(zone)).otherwise(local(named))
+def instant(wall: Column, offset: Column, zone: str) -> Column:
+    """Microseconds since 1970 UTC of a wall-clock time, by its own offset, else by the given zone."""
+    local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone))
+    return F.when(offset.isNotNull(), wall - offset.cast("bigint") * 60_000_000).otherwise(local)
 
 
 def quantity(value: Column) -> Column:

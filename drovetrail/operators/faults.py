@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timestamps as T
-from ..runtime import cut, salted_lookup
+from ..runtime import SENT_ROWS, cut, salted_lookup
 
-#: Stands for the delimiter of a record's file while records of all files are read by one pattern.
-MARK = "\u0001"
+#: Stands for the delimiter of a record's file while records of all files are read by one pattern, and what stands for
+#: that character itself and for its stand-in (two characters, so that it can be put back).
+MARK, ESCAPED = "\u0001", {"\u0002": "\u0002b", "\u0001": "\u0002a"}
 _FIELD = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{MARK}]*+)'
 _RECORD = rf"\A{_FIELD}(?:{MARK}{_FIELD})*+\z"
 
@@ -23,7 +22,11 @@ def structure(raw: Column, delim: Column, columns: int, wanted: dict[str, int])
     delimiters and line breaks may stand inside. The patterns are possessive: they read texts of any length without
     backtracking. A null record has no columns. Wanted fields are unquoted, and null where the structure is wrong.
     """
-    line = F.when(delim == MARK, raw).otherwise(F.replace(F.replace(raw, F.lit(MARK), F.lit("\u0002")), delim, F.lit(MARK)))
+    escaped = raw
+    for c, stand_in in ESCAPED.items():
+        escaped = F.replace(escaped, F.lit(c), F.lit(stand_in))
+    own = delim.isin(*ESCAPED)  # rare, and as it is: the stand-ins would hold it
+    line = F.when(own, F.replace(raw, delim, F.lit(MARK))).otherwise(F.replace(escaped, delim, F.lit(MARK)))
     bare = F.regexp_replace(line, '"[^"]*+"', "")
     sound = F.when(raw.contains('"'), line.rlike(_RECORD)).otherwise(True)
     count = F.length(bare) - F.length(F.replace(bare, F.lit(MARK), F.lit(""))) + 1
@@ -32,46 +35,44 @@ def structure(raw: Column, delim: Column, columns: int, wanted: dict[str, int])
     for name, i in wanted.items():
         field = F.regexp_extract(line, rf"\A(?:{_FIELD}{MARK}){{{i - 1}}}({_FIELD})", 1)
         plain = F.when(field.startswith('"'), F.replace(field.substr(F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))).otherwise(field)
-        out[name] = F.when(fault.isNull(), F.replace(plain, F.lit(MARK), delim))
+        back = F.replace(plain, F.lit(MARK), delim)
+        for c, stand_in in reversed(ESCAPED.items()):
+            back = F.when(own, back).otherwise(F.replace(back, F.lit(stand_in), F.lit(c)))
+        out[name] = F.when(fault.isNull(), back)
     return out
 
 
-def invalid_values(rows: DataFrame, checks: list[str], zone: str) -> DataFrame:
+def long_values(rows: DataFrame) -> DataFrame:
+    """check (date or quantity) and value of the records of sound structure, missing values left out."""
+    pairs = F.array(F.struct(F.lit("date").alias("check"), F.col("date").alias("value")), F.struct(F.lit("quantity").alias("check"), F.col("quantity").alias("value")))
+    return rows.filter("fault is null").select(F.explode(pairs).alias("p")).select("p.*").filter(~T.is_missing(F.col("value")))
+
+
+def invalid_values(values: DataFrame, zone: str) -> DataFrame:
     """The dictionary of invalid values: check, value, reason and how many rows hold it.
 
-    ``rows`` has the columns check (date or quantity) and value. Every distinct value is cast once; rows are counted
+    ``values`` has the columns check (date or quantity) and value. Every distinct value is cast once; rows are counted
     before the shuffle, so a value that fills a third of all rows is one partial row per task.
     """
-    distinct = rows.filter(~T.is_missing(F.col("value"))).groupBy("check", "value").agg(F.count("*").alias("n"))
-    out = []
-    if "date" in checks:
-        dates = T.read_instants(distinct.filter("check = 'date'"), "value", "t", zone)
-        out.append(dates.filter(F.col("t_state") == T.INVALID).select("check", "value", "n", F.lit("bad_date").alias("reason")))
-    if "quantity" in checks:
-        out.append(distinct.filter("check = 'quantity'").filter(~T.is_quantity(F.col("value"))).select("check", "value", "n", F.lit("bad_quantity").alias("reason")))
-    return reduce(DataFrame.unionAll, out)
+    distinct = values.groupBy("check", "value").agg(F.count("*").alias("n"))
+    read = T.read_instants(distinct.withColumn("date", F.when(F.col("check") == "date", F.col("value"))), "date", "t", zone)
+    bad_date = (F.col("check") == "date") & (F.col("t_state") == T.INVALID)
+    bad_quantity = (F.col("check") == "quantity") & ~T.is_quantity(F.col("value"))
+    return read.filter(bad_date | bad_quantity).select("check", "value", F.when(F.col("check") == "date", "bad_date").otherwise("bad_quantity").alias("reason"), "n")
 
 
-def faulty_rows(rows: DataFrame, zone: str) -> DataFrame:
-    """src_table, rec_id, reason of faulty records: the first that applies of quoting, column_count, bad_date, bad_quantity.
+def judged_rows(rows: DataFrame, zone: str, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """All records with a ``reason``: the first that applies of quoting, column_count, bad_date, bad_quantity; null if they are usable.
 
-    ``rows``: src_table, rec_id, fault (from ``structure``, null if sound or not raw), date, quantity. Distinct values
-    are cast once into a dictionary of invalid ones, which is joined back to the rows; values that are frequent among
-    them are spread over several tasks. Null, the empty string and NA are missing, never faults. Repeated rows come out
-    repeatedly; of several faults the first counts.
+    ``rows``: src_table, rec_id, fault (from ``structure``, null if sound or not raw), date, quantity. Each distinct
+    value is cast once, into a dictionary of the invalid ones, which is joined back to the rows: from a copy on each
+    executor if it has at most ``sent_rows`` entries, else by a lookup that spreads frequent values over tasks. Null, the empty string
+    and NA are missing, never faults. Repeated rows come out repeatedly; of several faults the first counts.
     """
-    pairs = F.array(F.struct(F.lit("date").alias("check"), F.col("date").alias("value")), F.struct(F.lit("quantity").alias("check"), F.col("quantity").alias("value")))
-    sound = rows.filter("fault is null")
-    long = sound.select("src_table", "rec_id", F.explode(pairs).alias("p")).select("src_table", "rec_id", "p.*")
-    # What is certainly right needs no dictionary: eight digits that name a day, short plain counts.
-    day = F.concat_ws("-", F.substring("value", 1, 4), F.substring("value", 5, 2), F.substring("value", 7, 2))
-    certain = F.when(F.col("check") == "quantity", F.col("value").rlike(r"^[0-9]{1,9}$")).otherwise(
-        F.col("value").rlike(r"^[0-9]{8}$") & day.try_cast("date").isNotNull() & (F.col("value") >= "00010101")
-    )
-    doubtful = long.filter(~T.is_missing(F.col("value")) & ~certain)
-    bad = cut(invalid_values(doubtful, ["date", "quantity"], zone))
-    key = F.concat(F.substring("check", 1, 1), F.col("value"))
-    hits = salted_lookup(doubtful.select("src_table", "rec_id", key.alias("key")), bad.select(key.alias("key"), "n", "reason"), "key", F.col("rec_id"), "n", "inner")
-    order = F.when(F.col("reason") == "bad_date", 0).otherwise(1)
-    first = hits.groupBy("src_table", "rec_id").agg(F.min_by("reason", order).alias("reason"))
-    return rows.filter("fault is not null").select("src_table", "rec_id", F.col("fault").alias("reason")).unionAll(first)
+    bad = cut(invalid_values(long_values(rows), zone))
+    parts = {check: bad.filter(F.col("check") == check).select(F.col("value").alias(check), F.col("reason").alias(f"{check}_reason"), "n") for check in ("date", "quantity")}
+    small = bad.count() <= sent_rows
+    for check, part in parts.items():
+        rows = rows.join(F.broadcast(part.drop("n")), check, "left") if small else salted_lookup(rows, part, check, F.col("rec_id"), "n")
+    reason = F.coalesce("fault", "date_reason", "quantity_reason")
+    return rows.select("src_table", "rec_id", "date", "quantity", reason.alias("reason"))

@@ -1,13 +1,29 @@
-"""Iteration to a fixpoint over tables: reachability, components, closures."""
+"""Iteration to a fixpoint over tables: reachability, components, closures.
+
+Every loop ends when a round changes nothing; none has a number of rounds. Only what a round adds is written to the
+shared folder; what is known is the union of these deltas, compacted now and then.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from .network import endpoints
+
+#: Deltas that are kept apart before they are merged into one table.
+DELTAS = 8
+
 
-ROUNDS = 200
+def _compact(deltas: list[DataFrame], keys: list[str], least: str | None = None) -> list[DataFrame]:
+    """The same deltas, merged into one table if they have become many; of equal keys the least value counts."""
+    if len(deltas) < DELTAS:
+        return deltas
+    every = reduce(DataFrame.unionAll, deltas)
+    return [cut(every.groupBy(*keys).agg(F.min(least).alias(least)) if least else every)]
 
 
 def earliest_arrivals(moves: DataFrame, backward: bool = False, sources: DataFrame | None = None, by: tuple[str, ...] = (), step: int = 1) -> DataFrame:
@@ -22,22 +38,20 @@ def earliest_arrivals(moves: DataFrame, backward: bool = False, sources: DataFra
     a, b = ("to_id", "from_id") if backward else ("from_id", "to_id")
     hops = moves.filter("from_id <> to_id and date is not null").select(*by, F.col(a).alias("u"), F.col(b).alias("v"), (F.unix_date("date") * sign).alias("t")).distinct()
     hops = cut(hops)
-    nodes = moves.select(*by, F.explode(F.array("from_id", "to_id")).alias("source")).filter("source is not null").distinct()
+    nodes = endpoints(moves, *by).withColumnRenamed("id", "source")
     if sources is not None:
         nodes = nodes.join(sources.select("source").distinct(), "source", "left_semi").select(*by, "source")
     own = nodes.select(*by, "source", F.col("source").alias("node"), F.lit(None).cast("int").alias("t"))
-    first = hops.join(nodes.withColumnRenamed("source", "u"), [*by, "u"]).groupBy(*by, F.col("u").alias("source"), F.col("v").alias("node")).agg(F.min("t").alias("t"))
-    known = cut(first)
-    front = known
-    while True:  # ends: arrivals only get earlier, and there are as many days as movements have
+    pair = [*by, "source", "node"]
+    front = cut(hops.join(nodes.withColumnRenamed("source", "u"), [*by, "u"]).groupBy(*by, F.col("u").alias("source"), F.col("v").alias("node")).agg(F.min("t").alias("t")))
+    deltas = [front]
+    known = lambda: reduce(DataFrame.unionAll, deltas).groupBy(*pair).agg(F.min("t").alias("t"))
+    while not front.isEmpty():  # ends: arrivals only get earlier, and there are as many days as movements have
         near = front.select(*by, "source", F.col("node").alias("u"), F.col("t").alias("at"))
         found = near.join(hops, [*by, "u"]).filter((F.col("t") >= F.col("at") + step) & (F.col("v") != F.col("source"))).groupBy(*by, "source", F.col("v").alias("node")).agg(F.min("t").alias("new"))
-        merged = cut(known.join(found, [*by, "source", "node"], "full").select(*by, "source", "node", F.least("t", "new").alias("t"), (F.col("new") < F.coalesce("t", F.lit(2**31 - 1))).alias("better")))
-        front = merged.filter("better").select(*by, "source", "node", "t")
-        known = merged.select(*by, "source", "node", "t")
-        if front.isEmpty():
-            break
-    return own.unionAll(known.filter("source <> node").withColumn("t", F.col("t") * sign))
+        front = cut(found.join(known(), pair, "left").filter(F.col("t").isNull() | (F.col("new") < F.col("t"))).select(*pair, F.col("new").alias("t")))
+        deltas = _compact([*deltas, front], pair, "t")
+    return own.unionAll(known().filter("source <> node").withColumn("t", F.col("t") * sign))
 
 
 def arrival_tree(moves: DataFrame, sources: DataFrame) -> DataFrame:
@@ -49,65 +63,127 @@ def arrival_tree(moves: DataFrame, sources: DataFrame) -> DataFrame:
     return last.join(before, ["source", "via"]).filter("had < t").groupBy("source", "node", F.date_from_unix_date("t").alias("arrival")).agg(F.min("via").alias("via"))
 
 
+def _arcs(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, u, v: distinct directed edges between different nodes."""
+    return edges.filter("from_id <> to_id").select(*by, F.col("from_id").alias("u"), F.col("to_id").alias("v")).distinct()
+
+
 def closure(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """source, node: all pairs joined by a directed path, every node with itself. Path lengths double each round."""
-    pairs = edges.filter("from_id <> to_id").select(*by, F.col("from_id").alias("source"), F.col("to_id").alias("node")).distinct()
-    nodes = edges.select(*by, F.explode(F.array("from_id", "to_id")).alias("source")).filter("source is not null").distinct()
-    known = cut(pairs.unionAll(nodes.select(*by, "source", F.col("source").alias("node"))).distinct())
-    n = known.count()
-    for _ in range(ROUNDS):
-        step = known.select(*by, F.col("source"), F.col("node").alias("mid")).join(known.select(*by, F.col("source").alias("mid"), "node"), [*by, "mid"]).select(*by, "source", "node").distinct()
-        known = cut(step)
-        m = known.count()
-        if m == n:
-            break
-        n = m
-    return known
+    """source, node: all pairs joined by a directed path, every node with itself.
+
+    The result is pairs by its nature. Semi-naive: a round joins only the pairs that the last one added with what is
+    known, so path lengths double each round and no pair is extended twice.
+    """
+    pairs = _arcs(edges, by).select(*by, F.col("u").alias("source"), F.col("v").alias("node"))
+    nodes = endpoints(edges, *by)
+    front = cut(pairs)
+    deltas = [front]
+    while not front.isEmpty():
+        known = reduce(DataFrame.unionAll, deltas)
+        ahead = front.select(*by, "source", F.col("node").alias("mid")).join(known.select(*by, F.col("source").alias("mid"), "node"), [*by, "mid"])
+        behind = known.select(*by, "source", F.col("node").alias("mid")).join(front.select(*by, F.col("source").alias("mid"), "node"), [*by, "mid"])
+        both = [d.select(*by, "source", "node").filter("source <> node") for d in (ahead, behind)]
+        front = cut(both[0].unionAll(both[1]).distinct().join(known, [*by, "source", "node"], "left_anti"))
+        deltas = _compact([*deltas, front], [*by, "source", "node"])
+    return reduce(DataFrame.unionAll, deltas).unionAll(nodes.select(*by, F.col("id").alias("source"), F.col("id").alias("node")))
+
+
+def reachable(arcs: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), backward: bool = False) -> DataFrame:
+    """by, root, id: what each root reaches along arcs (by, u, v), or what reaches it; roots (by, root) themselves included."""
+    u, v = ("v", "u") if backward else ("u", "v")
+    hops = arcs.select(*by, F.col(u).alias("id"), F.col(v).alias("next"))
+    front = cut(seeds.select(*by, "root", F.col("root").alias("id")).distinct())
+    deltas = [front]
+    while not front.isEmpty():
+        found = front.join(hops, [*by, "id"]).select(*by, "root", F.col("next").alias("id")).distinct()
+        front = cut(found.join(reduce(DataFrame.unionAll, deltas), [*by, "root", "id"], "left_anti"))
+        deltas = _compact([*deltas, front], [*by, "root", "id"])
+    return reduce(DataFrame.unionAll, deltas)
 
 
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """id, component (its least id): connected when directions don't count.
 
-    Every node is pointed at the least label of its neighbourhood; labels then jump along pointers, so the number of
-    rounds is about the logarithm of the longest path. Nodes without edges are components of their own.
+    Contraction: every node is hooked to the neighbour of least hash (itself, if none is lower), trees of hooks become
+    single nodes, and the edges left between those go into the next round. The graph shrinks by a share each round, so
+    all rounds together cost little more than the first, and hooks by hash keep the trees shallow whatever the ids.
+    Nodes without edges are components of their own.
     """
-    ends = edges.filter("from_id is not null and to_id is not null")
-    both = ends.select(*by, F.col("from_id").alias("u"), F.col("to_id").alias("v")).unionAll(ends.select(*by, F.col("to_id").alias("u"), F.col("from_id").alias("v"))).filter("u <> v").distinct()
-    both = cut(both)
-    ids = both.select(*by, F.col("u").alias("id")).distinct()
-    every = edges.select(*by, F.explode(F.array("from_id", "to_id")).alias("id")).filter("id is not null").distinct()
-    ids = every if nodes is None else every.unionAll(nodes.select(*by, "id")).distinct()
-    labels = cut(ids.withColumn("component", F.col("id")))
-    for _ in range(ROUNDS):
-        near = both.join(labels.select(*by, F.col("id").alias("v"), "component"), [*by, "v"]).groupBy(*by, F.col("u").alias("id")).agg(F.min("component").alias("least"))
-        hooked = labels.join(near, [*by, "id"], "left").select(*by, "id", F.col("component").alias("old"), F.least("component", "least").alias("component"))
-        jump = hooked.select(*by, F.col("id").alias("component"), F.col("component").alias("root"))
-        jumped = cut(hooked.join(jump, [*by, "component"], "left").select(*by, "id", "old", F.least("component", "root").alias("component")))
-        labels = jumped.select(*by, "id", "component")
-        if jumped.filter("old <> component").isEmpty():
+    every = endpoints(edges, *by)
+    every = every if nodes is None else every.unionAll(nodes.select(*by, "id")).distinct()
+    arcs = edges.filter("from_id <> to_id").select(*by, F.least("from_id", "to_id").alias("u"), F.greatest("from_id", "to_id").alias("v")).distinct()
+    live, maps = cut(arcs), []
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("c"))
+    while not live.isEmpty():
+        both = live.select(*by, "u", "v").unionAll(live.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        hooks = both.groupBy(*by, F.col("u").alias("id")).agg(F.min(rank("v")).alias("low"))
+        roots = cut(hooks.select(*by, "id", F.least(F.col("low"), rank("id"))["c"].alias("root")))
+        moved = roots
+        while not moved.isEmpty():  # pointers are followed two at a time until all are at a root
+            for _ in range(2):
+                up = roots.select(*by, F.col("id").alias("root"), F.col("root").alias("higher"))
+                roots = roots.join(up, [*by, "root"]).select(*by, "id", F.col("higher").alias("root"), (F.col("root") != F.col("higher")).alias("moved"))
+            roots = cut(roots)
+            moved, roots = roots.filter("moved"), roots.drop("moved")
+        maps.append(roots)
+        ends = [roots.select(*by, F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "uv"]
+        live = cut(live.join(ends[0], [*by, "u"]).join(ends[1], [*by, "v"]).select(*by, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).filter("u <> v").distinct())
+    roots = None
+    for m in reversed(maps):  # from the smallest graph to the whole one
+        roots = m if roots is None else m.join(roots.select(*by, F.col("id").alias("root"), F.col("root").alias("last")), [*by, "root"], "left").select(*by, "id", F.coalesce("last", "root").alias("root"))
+    if roots is None:
+        return every.select(*by, "id", F.col("id").alias("component"))
+    placed = cut(every.join(roots, [*by, "id"], "left").select(*by, "id", F.coalesce("root", "id").alias("root")))
+    least = placed.groupBy(*by, "root").agg(F.min("id").alias("component"))
+    return placed.join(least, [*by, "root"]).select(*by, "id", "component")
+
+
+def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """id, component (its least id): nodes that reach each other.
+
+    Nodes without an edge in or out are components of their own and are trimmed until none is left. Of the others each
+    takes the least node that reaches it as its colour; of a colour, those that reach that node are a component. They
+    are taken out and the rest, edges within a colour only, goes round again. No pairs of nodes are made.
+    """
+    live, done = cut(_arcs(edges, by)), []
+    colour_of = lambda colours, c: colours.select(*by, F.col("id").alias(c), F.col("colour").alias(f"{c}_colour"))
+    while not live.isEmpty():
+        size = -1
+        while size != (size := live.count()):
+            live = cut(live.join(live.select(*by, F.col("u").alias("v")).distinct(), [*by, "v"], "left_semi").join(live.select(*by, F.col("v").alias("u")).distinct(), [*by, "u"], "left_semi").select(*by, "u", "v"))
+        if not size:
             break
-    return labels
-
-
-def strong_components(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """id, component (its least id) from a closure: nodes that reach each other."""
-    back = pairs.select(*by, F.col("node").alias("source"), F.col("source").alias("node"))
-    return pairs.join(back, [*by, "source", "node"], "left_semi").groupBy(*by, F.col("source").alias("id")).agg(F.min("node").alias("component"))
-
-
-def giant_components(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        nodes = live.select(*by, F.explode(F.array("u", "v")).alias("id")).distinct()
+        colours = cut(nodes.withColumn("colour", F.col("id")))
+        front = colours
+        while not front.isEmpty():
+            sent = front.select(*by, F.col("id").alias("u"), "colour").join(live, [*by, "u"]).groupBy(*by, F.col("v").alias("id")).agg(F.min("colour").alias("low"))
+            step = cut(colours.join(sent, [*by, "id"], "left").select(*by, "id", F.least("colour", "low").alias("colour"), F.coalesce(F.col("low") < F.col("colour"), F.lit(False)).alias("moved")))
+            colours, front = step.drop("moved"), step.filter("moved").drop("moved")
+        within = cut(live.join(colour_of(colours, "u"), [*by, "u"]).join(colour_of(colours, "v"), [*by, "v"]).filter("u_colour = v_colour").select(*by, "u", "v"))
+        found = cut(reachable(within, colours.filter("id = colour").select(*by, F.col("id").alias("root")), by, backward=True))
+        done.append(found.select(*by, "id", F.col("root").alias("component")))
+        gone = found.select(*by, "id")
+        live = cut(within.join(gone.withColumnRenamed("id", "u"), [*by, "u"], "left_anti").join(gone.withColumnRenamed("id", "v"), [*by, "v"], "left_anti").select(*by, "u", "v"))
+    every = endpoints(edges, *by)
+    if not done:
+        return every.select(*by, "id", F.col("id").alias("component"))
+    large = reduce(DataFrame.unionAll, done)
+    return every.join(large, [*by, "id"], "left").select(*by, "id", F.coalesce("component", "id").alias("component"))
+
+
+def giant_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Sizes of the largest strong component (of equal ones that with the least id), and of what reaches it or is reached from it from outside."""
     if not by:
-        return giant_components(pairs.withColumn("__all", F.lit(1)), ("__all",)).drop("__all")
-    strong = strong_components(pairs, by)
+        return giant_components(edges.withColumn("__all", F.lit(1)), ("__all",)).drop("__all")
+    strong = cut(strong_components(edges, by))
     sizes = strong.groupBy(*by, "component").agg(F.count("*").alias("size"))
-    giant = sizes.groupBy(*by).agg(F.max("size").alias("most"))
-    largest = sizes.join(giant, list(by)).filter("size = most")
-    root = largest.groupBy(*by).agg(F.min("component").alias("root"), F.max("size").alias("gscc"))
+    # The largest and, of equal ones, the least.
+    root = cut(sizes.groupBy(*by).agg(F.max("size").alias("gscc")).join(sizes, list(by)).filter("size = gscc").groupBy(*by, "gscc").agg(F.min("component").alias("root")))
     # Whoever reaches the root reaches the whole component, and the other way round.
-    keys = [*by, "root"]
-    into = pairs.select(*by, "source", F.col("node").alias("root")).join(root, keys).groupBy(*by).agg(F.count("*").alias("reaching"))
-    outof = pairs.select(*by, F.col("source").alias("root"), "node").join(root, keys).groupBy(*by).agg(F.count("*").alias("reached"))
+    arcs = cut(_arcs(edges, by))
+    into = reachable(arcs, root, by, backward=True).groupBy(*by).agg(F.count("*").alias("reaching"))
+    outof = reachable(arcs, root, by).groupBy(*by).agg(F.count("*").alias("reached"))
     active = strong.groupBy(*by).agg(F.count("*").alias("active"))
     joined = root.join(into, list(by)).join(outof, list(by)).join(active, list(by))
     size = lambda c: (F.col(c) / F.col("active")).alias

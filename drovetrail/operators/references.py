@@ -2,44 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, salted_lookup
 
-#: Microseconds of the stretches of time within which spans of a key are merged first.
-MONTH = 30 * 86_400_000_000
+#: Microseconds of the stretches of time into which the versions of a key are split.
+DAY = 86_400_000_000
+#: Spans that travel with their key as a list; keys with more are looked up by key and day, row by row.
+INLINE = 64
+_FAR = 2**62
 
 
 def validity_spans(parents: DataFrame, key: Column, start: str, end: str) -> DataFrame:
-    """The spans [a, b) in which some row of a key is valid: key, a, b, with b far off if the row is never deleted.
+    """The spans [a, b) in which some row of a key is valid, disjoint: key, a, b, versions (how many starts the key has).
 
-    Copies of a key are reduced before the shuffle to one row per start, and spans of a month that overlap or touch are
-    merged by a sort, so nothing is gathered that grows with the versions of a key. A row without start is never valid,
-    but the key exists.
+    Copies of a key are reduced before the shuffle to one row per start. A key is valid from a start up to the greatest
+    end so far, or the next start: running maxima, taken within each day of a key and carried over its days, so that
+    neither a list nor a task holds all versions of a key. A row without start is never valid and gives no span.
     """
-    far = F.lit(2**62)
-    spans = parents.select(
-        key.alias("key"),
-        F.unix_micros(start).alias("a"),
-        F.coalesce(F.unix_micros(end), far).alias("b"),
-    ).filter("key is not null").groupBy("key", "a").agg(F.max("b").alias("b"))
-    month = Window.partitionBy("key", "month").orderBy("a")
-    before = F.max("b").over(month.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("month", F.floor(F.col("a") / MONTH)).withColumn("opens", F.coalesce(before < F.col("a"), F.lit(True)).cast("int"))
-    return islands.withColumn("island", F.sum("opens").over(month)).groupBy("key", "month", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("key", "a", "b")
-
-
-def _merged(spans: Column) -> Column:
-    """Merge sorted spans that overlap or touch."""
-    last = lambda acc: F.element_at(acc, -1)
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.coalesce(last(acc)["b"], F.lit(-(2**62))) >= x["a"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], x["b"]).alias("b")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(spans, F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), step)
+    spans = parents.select(key.alias("key"), F.unix_micros(start).alias("a"), F.coalesce(F.unix_micros(end), F.lit(_FAR)).alias("b")).filter("key is not null and a is not null")
+    spans = spans.groupBy("key", "a").agg(F.max("b").alias("b")).withColumn("day", F.floor(F.col("a") / DAY))
+    days = spans.groupBy("key", "day").agg(F.max("b").alias("top"), F.min("a").alias("first"), F.count("*").alias("n"))
+    over_days = Window.partitionBy("key").orderBy("day")
+    carried = days.select(
+        "key", "day", F.max("top").over(over_days.rowsBetween(Window.unboundedPreceding, -1)).alias("base"),
+        F.lead("first").over(over_days).alias("next_day"), F.sum("n").over(Window.partitionBy("key")).alias("versions"),
+    )
+    in_day = Window.partitionBy("key", "day").orderBy("a")
+    running = spans.withColumn("top", F.max("b").over(in_day.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("a").over(in_day))
+    full = running.join(carried, ["key", "day"])
+    until = F.least(F.greatest("top", "base"), F.coalesce("next", "next_day", F.lit(_FAR)))
+    return full.select("key", "a", until.alias("b"), "versions").filter("b > a")
 
 
 def orphan_references(
@@ -56,40 +50,43 @@ def orphan_references(
     """References for which no parent row of the same key is valid when the child is seen.
 
     Parent and child keys are put into one long form with a tag and grouped by key. Each group gets a parent flag, the
-    parent's validity spans and the number of its references (pre-aggregated before the shuffle, so a key that holds a
+    parent's first start and the number of its references (pre-aggregated before the shuffle, so a key that holds a
     third of all rows is one partial row per task). Groups without parent flag are orphans whole; in the others each
-    reference is held against the spans. The groups come back to the references through a lookup that spreads frequent
-    keys over many tasks.
+    reference is held against the spans in which the key is valid. The groups come back to the references through a
+    lookup that spreads frequent keys over many tasks; up to INLINE spans of a key travel with it, references to keys
+    with more versions meet their spans by key and day.
 
     Result: row_id, ref_field, key, period (UTC month of seen_at), reason (missing, later, deleted). A null reference is
     no reference. A reference whose key can't be read (``key_of`` gives null) is missing. A row never seen (null time)
     has a null period and is ``missing`` or, if its key exists, ``deleted``. Repeated rows come out repeatedly, an empty
     parent table makes every reference missing; further columns are ignored, whatever their names.
     """
-    long = reduce(
-        DataFrame.unionAll,
-        (
-            children.filter(F.col(r).isNotNull()).select(
-                F.col(row_id).alias("row_id"), F.lit(r).alias("ref_field"), key_of(F.col(r)).alias("key"), F.unix_micros(seen_at).alias("at")
-            )
-            for r in refs
-        ),
-    )
+    pairs = F.array(*(F.when(F.col(r).isNotNull(), F.struct(F.lit(r).alias("ref_field"), key_of(F.col(r)).alias("key"))) for r in refs))
+    long = children.select(F.col(row_id).alias("row_id"), F.unix_micros(seen_at).alias("at"), F.explode(F.array_compact(pairs)).alias("r")).select("row_id", "at", "r.*")
     spans = validity_spans(parents, parent_key, start, end)
-    null = F.lit(None).cast("bigint")
-    tagged = long.groupBy("key").agg(F.count("*").alias("n")).filter("key is not null").select("key", "n", null.alias("a"), null.alias("b"), F.lit(False).alias("parent")).unionAll(
-        spans.select("key", F.lit(0).cast("bigint").alias("n"), "a", "b", F.lit(True).alias("parent"))
+    null, few = F.lit(None).cast("bigint"), F.col("versions") <= INLINE
+    child = long.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    own = parents.select(parent_key.alias("key"), F.unix_micros(start).alias("first")).filter("key is not null").groupBy("key").agg(F.min("first").alias("first"))
+    tagged = child.select("key", "n", F.lit(False).alias("parent"), null.alias("first"), null.alias("a"), null.alias("b"), F.lit(False).alias("many"))
+    tagged = tagged.unionAll(own.select("key", F.lit(0).cast("bigint"), F.lit(True), "first", null, null, F.lit(False)))
+    tagged = tagged.unionAll(spans.filter(few).select("key", F.lit(0).cast("bigint"), F.lit(True), null, "a", "b", F.lit(False)))
+    tagged = tagged.unionAll(spans.filter(~few).select("key", F.lit(0).cast("bigint"), F.lit(True), null, null, null, F.lit(True)).distinct())
+    groups = cut(
+        tagged.groupBy("key").agg(
+            F.sum("n").alias("n"), F.max("parent").alias("parent"), F.min("first").alias("first"), F.max("many").alias("many"),
+            F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("spans"),
+        ).filter("n > 0")
     )
-    groups = tagged.groupBy("key").agg(
-        F.sum("n").alias("n"),
-        F.max("parent").alias("parent"),
-        F.min("a").alias("first"),
-        F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b")))).alias("spans"),
-    ).filter("n > 0").withColumn("spans", F.when(F.size("spans") > 1, _merged(F.col("spans"))).otherwise(F.col("spans")))
-    groups = cut(groups)
     found = salted_lookup(long, groups, "key", F.col("row_id"), "n")
     within = F.exists("spans", lambda s: (s["a"] <= F.col("at")) & (F.col("at") < s["b"]))
-    return found.filter(~F.coalesce(within, F.lit(False))).select(
+    orphans = found.filter(~F.coalesce(within, F.lit(False))).drop("spans")
+    if not groups.filter("many").isEmpty():
+        last = F.floor(F.greatest(F.col("a"), F.least(F.col("b"), F.lit(children.agg(F.max(F.unix_micros(seen_at))).first()[0] or 0)) - 1) / DAY)
+        by_day = spans.filter(~few).select("key", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / DAY), last)).alias("day"))
+        dated = orphans.filter("many").withColumn("day", F.floor(F.col("at") / DAY)).alias("r")
+        inside = (F.col("r.key") == F.col("s.key")) & (F.col("r.day") == F.col("s.day")) & (F.col("s.a") <= F.col("r.at")) & (F.col("r.at") < F.col("s.b"))
+        orphans = orphans.filter(~F.coalesce("many", F.lit(False))).unionAll(dated.join(by_day.alias("s"), inside, "left_anti").drop("day"))
+    return orphans.select(
         "row_id",
         "ref_field",
         "key",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timestamps as T
@@ -41,39 +41,38 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed_values(spark: SparkSession, d: str) -> DataFrame:
-    moves, swedish = table(spark, d, MOVEMENTS), table(spark, d, SWEDEN)
-    return (
-        instants.read_values(moves, MOVEMENTS, "lot_date", "row_id", "received_at", ZONES[MOVEMENTS], r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$")
-        .unionAll(instants.read_values(moves, MOVEMENTS, "departure_date", "row_id", "received_at", ZONES[MOVEMENTS], r"^[0-9]{8}$"))
-        .unionAll(instants.read_values(swedish, SWEDEN, "Avfärdsdatum", "row_id", None, ZONES[SWEDEN], r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", six_digits=True))
-    )
+    moved = {"lot_date": r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "departure_date": r"^[0-9]{8}$"}
+    swedish = {"Avfärdsdatum": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"}
+    return instants.union([
+        instants.read_values(table(spark, d, MOVEMENTS), MOVEMENTS, moved, "row_id", "received_at", ZONES[MOVEMENTS]),
+        instants.read_values(table(spark, d, SWEDEN), SWEDEN, swedish, "row_id", None, ZONES[SWEDEN], six_digits=True),
+    ])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    values = cut(_mixed_values(spark, d))
-    zones = instants.choose_zones(instants.zone_fit(values, ZONES), ZONES)
-    return instants.to_instants(values, zones)
+    return instants.align(cut(_mixed_values(spark, d)), ZONES)
 
 
 def p2_zone_fit(spark: SparkSession, d: str) -> DataFrame:
-    return instants.zone_fit(_mixed_values(spark, d), ZONES)
+    """Of each source, month and offset history: zone-less values and how many of them the history leaves out of line."""
+    return instants.zone_fit(cut(_mixed_values(spark, d)), ZONES)
 
 
-def _holding_states(spark: SparkSession, d: str) -> DataFrame:
-    long = heavy.long_keys(table(spark, d, MOVEMENTS), REFS, nine_digits, F.col("qty_pigs"), F.col("received_at"))
-    return heavy.tree_aggregate(long, ["ref_field", "key"], {"n": ("count", F.lit(1)), "pigs": ("sum", T.quantity(F.col("qty_pigs"))), "last_received": ("max", F.col("received_at"))})
+def _holding_states(spark: SparkSession, d: str, *others: Column, **states: tuple[str, Column]) -> tuple[DataFrame, int]:
+    """States per field and holding, and the number of movements (from the tables' footers)."""
+    moves = table(spark, d, MOVEMENTS)
+    total = moves.count()
+    long = heavy.long_keys(moves, REFS, nine_digits, *others)
+    return heavy.tree_aggregate(long, ["ref_field", "key"], {"n": ("count", F.lit(1)), **states}, len(REFS) * total), total
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    total = table(spark, d, MOVEMENTS).count()
-    long = heavy.long_keys(table(spark, d, MOVEMENTS), REFS, nine_digits)
-    states = heavy.tree_aggregate(long, ["ref_field", "key"], {"n": ("count", F.lit(1))})
+    states, total = _holding_states(spark, d)
     return heavy.heavy_keys(states, total, SHARE).select("ref_field", F.col("key").alias("cph"))
 
 
 def p3_per_holding(spark: SparkSession, d: str) -> DataFrame:
-    total = table(spark, d, MOVEMENTS).count()
-    states = _holding_states(spark, d)
+    states, total = _holding_states(spark, d, F.col("qty_pigs"), pigs=("sum", T.quantity(F.col("qty_pigs"))))
     return states.select("ref_field", F.col("key").alias("cph"), "n", "pigs", (F.col("n") >= F.lit(total * SHARE)).alias("heavy"))
 
 
@@ -86,27 +85,32 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return faults.faulty_rows(_records(spark, d), ZONES[MOVEMENTS]).select("src_table", "rec_id", "reason")
+    return faults.judged_rows(_records(spark, d), ZONES[MOVEMENTS]).filter("reason is not null").select("src_table", "rec_id", "reason")
 
 
 def p4_valid(spark: SparkSession, d: str) -> DataFrame:
     """The records that stay usable, with what was read of them."""
-    records = _records(spark, d)
-    bad = faults.faulty_rows(records, ZONES[MOVEMENTS]).select("src_table", "rec_id")
-    return records.join(bad, ["src_table", "rec_id"], "left_anti").select("src_table", "rec_id", F.trim("date").alias("departure_date"), T.quantity(F.col("quantity")).alias("qty_pigs"))
+    good = faults.judged_rows(_records(spark, d), ZONES[MOVEMENTS]).filter("reason is null")
+    return good.select("src_table", "rec_id", F.trim("date").alias("departure_date"), T.quantity(F.col("quantity")).alias("qty_pigs"))
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of invalid values with their reasons and how many sound records hold them."""
+    return faults.invalid_values(faults.long_values(_records(spark, d)), ZONES[MOVEMENTS]).select("check", "value", "reason", "n")
 
 
 def _daily_pigs(spark: SparkSession, d: str) -> DataFrame:
-    """Pigs sent off: cph, day, pigs, each movement_reference once (its copy of lowest row_id)."""
-    moves = table(spark, d, MOVEMENTS).select("row_id", "movement_reference", nine_digits(F.col("departure_cph")).cast("bigint").alias("k"), "departure_date", T.quantity(F.col("qty_pigs")).alias("pigs"))
-    moves = moves.filter("k is not null and pigs is not null").filter(~T.is_missing(F.col("departure_date")))
-    plain = F.col("departure_date").rlike(r"^[0-9]{8}$")
-    iso = F.concat_ws("-", F.substring("departure_date", 1, 4), F.substring("departure_date", 5, 2), F.substring("departure_date", 7, 2))
-    simple = moves.filter(plain & (F.col("departure_date") >= "00010101")).withColumn("day", iso.try_cast("date"))
-    mixed = T.read_instants(moves.filter(~plain), "departure_date", "t", ZONES[MOVEMENTS])
+    """Pigs sent off: cph, day, pigs, each movement_reference once (its copy of lowest row_id). The movements are read once."""
+    at = F.col("departure_date")
+    moves = table(spark, d, MOVEMENTS).filter(~T.is_missing(at)).select("row_id", "movement_reference", nine_digits(F.col("departure_cph")).cast("bigint").alias("k"), "departure_date", T.quantity(F.col("qty_pigs")).alias("pigs"))
+    moves = moves.filter("k is not null and pigs is not null")
+    # Days written in plain form are read by a built-in; only other values are looked at in Python.
+    iso = F.concat_ws("-", F.substring(at, 1, 4), F.substring(at, 5, 2), F.substring(at, 7, 2))
+    plain = at.rlike(r"^[0-9]{8}$")
+    moves = moves.select("row_id", "movement_reference", "k", "pigs", F.when(plain & (at >= "00010101"), iso.try_cast("date")).alias("day"), F.when(~plain, at).alias("other"))
+    read = T.read_instants(moves, "other", "t", ZONES[MOVEMENTS])
     local = F.to_date(F.from_utc_timestamp(F.timestamp_micros("t_micros"), ZONES[MOVEMENTS]))
-    cols = ["row_id", "movement_reference", "k", "day", "pigs"]
-    both = simple.select(*cols).unionAll(mixed.withColumn("day", F.when(F.col("t_state") == T.VALID, local)).select(*cols)).filter("day is not null")
+    both = read.select("row_id", "movement_reference", "k", "pigs", F.coalesce("day", local).alias("day")).filter("day is not null")
     once = both.groupBy("movement_reference", F.when(F.col("movement_reference").isNull(), F.col("row_id")).alias("own")).agg(*(F.min_by(c, "row_id").alias(c) for c in ("k", "day", "pigs")))
     return once.select("k", "day", "pigs")
 
@@ -119,7 +123,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_spans(spark: SparkSession, d: str) -> DataFrame:
     """Totals of all holdings and days, as spans of days of equal totals."""
     spans = trailing.trailing_spans(_daily_pigs(spark, d), "k", "day", "pigs", [7, 30])
-    return spans.select(F.lpad(F.col("k").cast("string"), 9, "0").alias("cph"), "first_day", "last_day", "total_7", "total_30")
+    return spans.select(F.lpad(F.col("k").cast("string"), 9, "0").alias("cph"), "first_day", "last_day", "total_7", "total_30", *(F.round(f"average_{n}", 6).alias(f"average_{n}") for n in (7, 30)))
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +149,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_zone_fit, p3_found, p3_per_holding, p4_found, p4_valid, p5_found, p5_spans, p6_found)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_zone_fit, p3_found, p3_per_holding, p4_found, p4_valid, p4_reasons, p5_found, p5_spans, p6_found)
 }
 
 _REFS = """refs AS (

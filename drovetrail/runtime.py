@@ -9,9 +9,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A lookup key held by at least this share of the probing rows is spread over several tasks. At most 1/HOT_SHARE
-#: keys can be that frequent, which bounds the table of them that is broadcast.
-HOT_SHARE = 0.001
+#: Most rows of one key that a lookup gives to a task; keys with more are spread over several.
+ROWS_PER_TASK = 1 << 19
+#: Most keys that can count as frequent, whatever the number of rows: it bounds the table of them that is broadcast.
+HOT_KEYS = 100_000
+#: Most rows of a table that is sent to every executor; larger ones take the other way, a shuffle.
+SENT_ROWS = 1 << 17
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -46,30 +49,33 @@ def salted_lookup(
     row_id: Column,
     weight: str,
     how: str = "left",
-    hot_share: float = HOT_SHARE,
-    chunks: int = 64,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join rows to a table that is unique by key, without one task getting all rows of a frequent key.
 
-    ``weight`` is a column of the table that counts the probing rows of the key. Keys with at least ``hot_share`` of all
-    of them get a number of salts in proportion; only the list of those keys (at most 1 / hot_share) is broadcast. All
-    other keys go through one ordinary shuffle join on (key, 0). Null keys of rows match nothing and are spread evenly.
-    The weight column is dropped from the result.
+    ``weight`` is a column of the table that counts the probing rows of the key. A key with more than ``rows_per_task`` of
+    them gets as many salts as it takes, without limit; only the list of those keys is broadcast. It has at most HOT_KEYS
+    entries: where rows are so many that it could have more, tasks get more rows instead. All other keys go through one
+    ordinary shuffle join on (key, 0). Null keys of rows match nothing and are spread evenly. The weight column is dropped
+    from the result.
     """
     total = table.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    most = max(rows_per_task, math.ceil(total / HOT_KEYS))
     salt, salts = fresh("salt"), fresh("salts")
-    floor = max(1.0, total * hot_share)
-    n_salts = F.least(F.lit(chunks), F.ceil(F.col(weight) / F.lit(floor)).cast("int") * 2)
-    hot = table.filter(F.col(weight) >= F.lit(floor)).select(key, n_salts.alias(salts))
+    n_salts = F.ceil(F.col(weight) / F.lit(most)).cast("int")
+    hot = table.filter(F.col(weight) > F.lit(most)).select(key, n_salts.alias(salts))
     spread = F.pmod(F.xxhash64(row_id), F.coalesce(F.col(salts), F.lit(1))).cast("int")
     probe = rows.join(F.broadcast(hot), key, "left").withColumn(
-        salt, F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(row_id), F.lit(chunks)).cast("int")).otherwise(spread)
+        salt, F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(row_id), F.lit(2**30)).cast("int")).otherwise(spread)
     ).drop(salts)
-    many = F.when(F.col(weight) >= F.lit(floor), n_salts).otherwise(F.lit(1))
+    many = F.when(F.col(weight) > F.lit(most), n_salts).otherwise(F.lit(1))
     build = table.withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop(weight)
     return probe.join(build, [key, salt], how).drop(salt)
 
 
 def rounds_needed(pieces: int, fan_in: int) -> int:
     """Rounds of combining fan_in states into one until a single one is left."""
-    return max(1, math.ceil(math.log(max(pieces, 2), fan_in)))
+    rounds, left = 1, max(pieces, 1)
+    while left > fan_in:
+        rounds, left = rounds + 1, math.ceil(left / fan_in)
+    return rounds

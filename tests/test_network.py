@@ -56,7 +56,7 @@ def test_reach_takes_a_day_per_move(spark):
 
 def test_components_of_a_bowtie(spark):
     m = moves(spark, [("i", "a", 0, 1), ("a", "b", 0, 1), ("b", "c", 0, 1), ("c", "a", 0, 1), ("c", "o", 0, 1), ("o", "p", 0, 1), ("x", "y", 0, 1)])
-    r = fixpoint.giant_components(fixpoint.closure(m)).first()
+    r = fixpoint.giant_components(m).first()
     assert (r["active"], r["gscc"], r["gic"], r["goc"]) == (8, 3, 1, 2)
     weak = {x["id"]: x["component"] for x in fixpoint.weak_components(m).collect()}
     assert weak == dict.fromkeys("iabcop", "a") | dict.fromkeys("xy", "x")
@@ -179,13 +179,45 @@ def test_transmission(spark):
     assert {(r["i"], r["j"]): round(r["p"], 6) for r in m.collect()} == {("x", "y"): 0.55, ("y", "x"): 0.1}
 
 
-def test_chains_are_followed_to_their_end(spark, monkeypatch):
-    """However long: no number of rounds (there was one, here made small) cuts them."""
-    monkeypatch.setattr(trace, "ROUNDS", 3, raising=False)
-    monkeypatch.setattr(fixpoint, "ROUNDS", 3, raising=False)
-    m = moves(spark, [(f"n{i}", f"n{i + 1}", 0, 1) for i in range(7)])
-    roots = trace.roots_table(spark, ["n0"], trace.windows(t_end=["2020-01-10"], days=[30]))
-    assert sorted(r["distance"] for r in trace.trace(m, roots).collect()) == [1, 2, 3, 4, 5, 6, 7]
+@pytest.mark.parametrize("n", [7, 250])
+def test_chains_are_followed_to_their_end(spark, n):
+    """However long: no number of rounds cuts them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    m = moves(spark, [(f"n{i:03d}", f"n{i + 1:03d}", i, 1) for i in range(n)]).coalesce(1)
+    some = spark.createDataFrame([("n000",)], "source string")
+    assert fixpoint.earliest_arrivals(m, sources=some).count() == n + 1
+    assert fixpoint.closure(m).count() == (n + 1) * (n + 2) // 2
+    assert {r["component"] for r in fixpoint.weak_components(m).collect()} == {"n000"}
+    roots = trace.roots_table(spark, ["n000"], trace.windows(t_end=["2021-01-10"], days=[400]))
+    assert sorted(r["distance"] for r in trace.trace(m, roots).collect()) == list(range(1, n + 1))
     assert trace.trace(m, roots, 0).count() == 0
-    m = moves(spark, [(f"n{i}", f"n{i + 1}", i, 1) for i in range(7)])
-    assert {r["id"]: r["reach"] for r in temporal.reach(m).collect()} == {f"n{i}": 8 - i for i in range(8)}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_components_by_brute_force(spark):
+    rnd = random.Random(4)
+    for n, k in ((25, 30), (40, 40), (6, 0)):
+        rows = [(f"v{rnd.randrange(n)}", f"v{rnd.randrange(n)}", 0, 1) for _ in range(k)] + [("x", "x", 0, 1)]
+        near = {v: {v} for r in rows for v in r[:2]}
+        for a, b, *_ in rows:
+            near[a].add(b)
+        for m in near:  # Warshall
+            for a in near:
+                if m in near[a]:
+                    near[a] |= near[m]
+        m = moves(spark, rows).withColumn("p", F.lit(1)).coalesce(1)
+        assert {(r["source"], r["node"]) for r in fixpoint.closure(m, ("p",)).collect()} == {(a, b) for a in near for b in near[a]}
+        strong = {a: min(b for b in near[a] if a in near[b]) for a in near}
+        assert {r["id"]: r["component"] for r in fixpoint.strong_components(m, ("p",)).collect()} == strong
+        weak = {a: {b for b in near if b in near[a] or a in near[b]} for a in near}
+        for m_ in weak:
+            for a in weak:
+                if m_ in weak[a]:
+                    weak[a] |= weak[m_]
+        assert {r["id"]: r["component"] for r in fixpoint.weak_components(m, by=("p",)).collect()} == {a: min(c) for a, c in weak.items()}
+        most = max(sorted(strong.values()), key=lambda c: (list(strong.values()).count(c), [-ord(x) for x in c]))
+        r = fixpoint.giant_components(m, ("p",)).first()
+        size = list(strong.values()).count(most)
+        assert (r["active"], r["gscc"]) == (len(near), size)
+        best = min(c for c in strong.values() if list(strong.values()).count(c) == size)
+        assert (r["gic"], r["goc"]) == (sum(best in near[a] for a in near) - size, len(near[best]) - size)

@@ -15,9 +15,10 @@ LONDON = {
     "den 3 maj 2023 kl 10:20": "2023-05-03T09:20", "2023-01-05 kl. 10.20": "2023-01-05T10:20", "Thu, 05 Jan 2023 23:15:50 +0000": "2023-01-05T23:15:50", "2023-01-01T14:25:22+0200": "2023-01-01T12:25:22",
     "2022-12-31 19:42:29 -05:00": "2023-01-01T00:42:29", "20230101T025224Z": "2023-01-01T02:52:24", "202301010916": "2023-01-01T09:16", "20230101124326": "2023-01-01T12:43:26",
     "1672531794": "2023-01-01T00:09:54", "1672534251820": "2023-01-01T00:50:51.820", "2023-01-01T00:36:57.419335493Z": "2023-01-01T00:36:57.419335", "2023-07-01T05:02:21[Europe/Stockholm]": "2023-07-01T03:02:21",
-    "23/8 2023": "2023-08-22T23:00", "2024-02-29": "2024-02-29T00:00", " 20230105 ": "2023-01-05T00:00",
+    "23/8 2023": "2023-08-22T23:00", "2024-01-05T10:00:00[Europe/Budapest]": "2024-01-05T09:00", "2024-07-05 10:00[America/New_York]": "2024-07-05T14:00", "2024-01-05 10:00[Etc/GMT+5]": "2024-01-05T15:00",
+    "Monday 5 january 2024": "2024-01-05T00:00", "tors. 5 januari 2023": "2023-01-05T00:00", "Måndag den 5 juni 2023 kl 10:00": "2023-06-05T09:00", "lördag 7 januari 2023": "2023-01-07T00:00", "2024-02-29": "2024-02-29T00:00", " 20230105 ": "2023-01-05T00:00",
 }
-INVALID = ["20230230", "2023-02-29", "31/06/2023", "2O230101", "2023-01-01T25:31:52Z", "202301016", "2023011", "230101", "pending", "??/01/2023", "2023-W54-1", "2023-366", "01 Smarch 2023", "0000-01-01", "2023-01-01 10:61", "13:00 PM", "2023-01-01 10:00 +99:00", " ", "x" * 100_000, "01/01/2023 13:05 PM", "1234567890123456"]
+INVALID = ["20230230", "2023-02-29", "31/06/2023", "2O230101", "2023-01-01T25:31:52Z", "202301016", "2023011", "230101", "pending", "??/01/2023", "2023-W54-1", "2023-366", "01 Smarch 2023", "0000-01-01", "2023-01-01 10:61", "13:00 PM", "2023-01-01 10:00 +99:00", " ", "x" * 100_000, "01/01/2023 13:05 PM", "1234567890123456", "monkey 5 january 2024", "2024-01-05 10:00[Europe/Atlantis]", "2024-01-05 10:00[posixrules]"]
 
 
 def test_forms(spark):
@@ -39,20 +40,49 @@ def test_missing_six_digits_and_empty(spark):
     assert T.read_instants(df.limit(0), "v", "t", "UTC").count() == 0
 
 
-@pytest.mark.parametrize("zone", ["UTC", "Europe/Stockholm"])
-def test_zone_is_estimated_from_ingestion(spark, zone):
-    """Zone-less times of a source that really follow another history than the declared one are found out."""
-    base = spark.range(4000).select(F.col("id").alias("row_id"), (F.col("id") * 7_800_000_000 + 1_672_531_200_000_000).alias("at"), (F.pmod(F.xxhash64("id"), F.lit(20_000_000_000)) + 3_600_000_000).alias("lag"))
-    said = F.date_format(F.from_utc_timestamp(F.timestamp_micros("at"), zone), "yyyy-MM-dd HH:mm:ss")
+def source(spark, said, n=4000, step=7_800_000_000):
+    """Rows whose odd values state their zone and whose even ones are local by ``said`` (a column of the instant), received up to hours later."""
+    base = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") * step + 1_672_531_200_000_000).alias("at"), (F.pmod(F.xxhash64("id"), F.lit(20_000_000_000)) + 3_600_000_000).alias("lag"))
+    local = F.date_format(said(F.timestamp_micros("at")), "yyyy-MM-dd HH:mm:ss")
     zoned = F.concat(F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd HH:mm:ss"), F.lit("Z"))
-    df = base.select("row_id", F.when(F.col("row_id") % 2 == 0, said).otherwise(zoned).alias("v"), F.timestamp_micros(F.col("at") + F.col("lag")).alias("seen"))
-    values = instants.read_values(df, "s", "v", "row_id", "seen", "Europe/London", None)
+    return base, base.select("row_id", F.when(F.col("row_id") % 2 == 0, local).otherwise(zoned).alias("v"), F.timestamp_micros(F.col("at") + F.col("lag")).alias("seen"))
+
+
+@pytest.mark.parametrize("ingested", ["seen", None])
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Stockholm", "America/Sao_Paulo", "Asia/Kathmandu"])
+def test_zone_is_estimated(spark, zone, ingested):
+    """Zone-less times of a source that really follow another history than the declared one are found out, by ingestion times or by sequence."""
+    # Neighbours in sequence tell offsets apart by no more than the time between them.
+    base, df = source(spark, lambda t: F.from_utc_timestamp(t, zone), *(() if ingested else (60_000, 600_000_000)))
+    values = instants.read_values(df, "s", {"v": None}, "row_id", ingested, "Europe/London").cache()
     declared = {"s": "Europe/London"}
     chosen = instants.choose_zones(instants.zone_fit(values, declared), declared)
-    assert chosen == {"s": zone}
+    assert len(chosen["s"]) == 1
     off = instants.to_instants(values, chosen).join(base, "row_id").filter(F.abs(F.col("utc_micros") - F.col("at")) >= 1_000_000)
     # Only local times that occur twice are ambiguous.
-    assert off.count() <= 2
+    assert off.count() <= 6
+
+
+def test_zone_that_changes_in_time_and_declared_zone_that_holds(spark):
+    early = F.timestamp_micros(F.lit(1_688_169_600_000_000))  # 2023-07-01
+    _, changed = source(spark, lambda t: F.when(t < early, F.from_utc_timestamp(t, "Europe/London")).otherwise(F.from_utc_timestamp(t, "Asia/Tokyo")))
+    base, right = source(spark, lambda t: F.from_utc_timestamp(t, "Europe/London"))
+    declared = {"s": "Europe/London", "r": "Europe/London", "none": "UTC"}
+    values = instants.read_values(changed, "s", {"v": None}, "row_id", "seen", "UTC").unionAll(instants.read_values(right, "r", {"v": None}, "row_id", "seen", "UTC"))
+    chosen = instants.choose_zones(instants.zone_fit(values, declared), declared)
+    assert chosen["r"] == [(None, "Europe/London")] and chosen["none"] == [(None, "UTC")]
+    assert [first for first, _ in chosen["s"]] == [None, datetime.date(2023, 7, 1)] and chosen["s"][0][1] == "Europe/London"  # the second is any zone like Tokyo's
+    off = instants.to_instants(values.filter("src_table = 's'"), chosen).join(base, "row_id").filter(F.abs(F.col("utc_micros") - F.col("at")) >= 1_000_000)
+    assert off.count() <= 8
+
+
+def test_sequence_without_order_keeps_the_declared_zone(spark):
+    base, df = source(spark, lambda t: F.from_utc_timestamp(t, "Europe/Stockholm"))
+    shuffled = df.withColumn("row_id", F.pmod(F.xxhash64("row_id"), F.lit(10**6)))
+    declared = {"s": "Europe/Stockholm"}
+    values = instants.read_values(shuffled, "s", {"v": None}, "row_id", None, "UTC")
+    assert instants.choose_zones(instants.zone_fit(values, declared), declared) == {"s": [(None, "Europe/Stockholm")]}
+    assert instants.choose_zones(instants.zone_fit(values.limit(0), declared), declared) == {"s": [(None, "Europe/Stockholm")]}
 
 
 def test_quantities(spark):
