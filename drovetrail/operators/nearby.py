@@ -7,9 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, salted_lookup
+from ..runtime import cut, fresh, salted_lookup
 
 EARTH_RADIUS = 6_371_000.0
+#: Places of one grid cell that are compared in one task; cells with more are divided among several.
+CELL_PLACES = 2048
+#: Corners of regions that share a column of the map, on average: columns are as narrow as that takes.
+COLUMN_CORNERS = 4
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -18,37 +22,61 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def near_places(places: DataFrame, lon: str, lat: str, metres: float, max_lat: float, cell_places: int = CELL_PLACES) -> DataFrame:
+    """xa, ya, xb, yb of different places at most so many metres apart, each pair once; ``max_lat`` bounds the latitude's absolute value.
+
+    ``places`` are distinct. They are put into grid cells at least as wide as the distance, whose columns go round the
+    globe; each place meets its own cell and half of its neighbours. The places of a crowded cell are divided into parts
+    of about ``cell_places``, and those of the cells around it meet every part, so no task gets a cell's square.
+    """
+    step = math.degrees(metres / EARTH_RADIUS) * 1.0001
+    n_columns = max(1, math.floor(360 / (step / max(math.cos(math.radians(max_lat)), 1e-9) * 1.0001)))
+    wrap = lambda c: F.pmod(c, F.lit(n_columns))
+    at = places.select(F.col(lon).alias("x"), F.col(lat).alias("y")).withColumns({"cx": wrap(F.floor((F.col("x") + 180) / (360 / n_columns))), "cy": F.floor(F.col("y") / step)})
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
+    left = at.select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(around).alias("o"), "cx", "cy").select("xa", "ya", wrap(F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    right = at.select(F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")
+    crowded = cut(at.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > cell_places).select("cx", "cy", F.ceil(F.col("n") / cell_places).cast("int").alias("parts")))
+    cell = ["cx", "cy"]
+    if not crowded.isEmpty():
+        parts = F.coalesce("parts", F.lit(1))
+        left = left.join(crowded, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        right = right.join(crowded, cell, "left").withColumn("part", F.pmod(F.xxhash64("xb", "yb"), parts).cast("int")).drop("parts")
+        cell = [*cell, "part"]
+    close = great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= metres
+    # A pair of one cell meets both ways round; so do pairs of neighbours where few columns go round the globe.
+    before = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (F.col("ya") < F.col("yb")))
+    first, second = F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y"))
+    met = left.join(right, cell).filter(((F.col("xa") != F.col("xb")) | (F.col("ya") != F.col("yb"))) & close)
+    ordered = met.select(F.when(before, first).otherwise(second).alias("a"), F.when(before, second).otherwise(first).alias("b"))
+    return ordered.select(F.col("a.x").alias("xa"), F.col("a.y").alias("ya"), F.col("b.x").alias("xb"), F.col("b.y").alias("yb")).distinct()
+
+
 def near_pairs(points: DataFrame, key: str, lon: str, lat: str, metres: float, max_lat: float) -> DataFrame:
     """key_a < key_b of points at most so many metres apart; ``max_lat`` bounds the latitude's absolute value.
 
-    Distinct places are put into grid cells at least as wide as the distance; each place meets its own cell and half of
-    its neighbours, so a pair of places is compared once. Members of a place come in after that, so copies of a place
-    cost nothing while distances are measured. Null keys or coordinates don't count, repeated points count once.
+    Distinct places are compared (``near_places``); the points of a place come in after that, so copies of a place cost
+    nothing while distances are measured. Null keys or coordinates don't count, repeated points count once.
     """
-    step = math.degrees(metres / EARTH_RADIUS) * 1.0001
-    wide = step / math.cos(math.radians(max_lat)) * 1.0001
     members = points.select(F.col(key).alias("k"), F.col(lon).alias("x"), F.col(lat).alias("y")).dropna().distinct()
-    places = members.groupBy("x", "y").agg(F.count("*").alias("n")).withColumns({"cx": F.floor(F.col("x") / wide), "cy": F.floor(F.col("y") / step)})
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
-    left = places.select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(around).alias("o"), "cx", "cy").select("xa", "ya", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"))
-    right = places.select(F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy", "n")
-    apart = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (F.col("ya") < F.col("yb")))
-    same = (F.col("xa") == F.col("xb")) & (F.col("ya") == F.col("yb")) & (F.col("n") > 1)
-    pairs = left.join(right, ["cx", "cy"]).filter((~F.col("own") | apart | same) & (great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= metres)).select("xa", "ya", "xb", "yb")
+    places = members.select("x", "y").distinct()
+    pairs = near_places(places, "x", "y", metres, max_lat)
+    shared = members.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     a = members.select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("k").alias("ka"))
     b = members.select(F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("k").alias("kb"))
-    met = pairs.join(a, ["xa", "ya"]).join(b, ["xb", "yb"]).filter("ka <> kb")
+    met = pairs.unionAll(shared).join(a, ["xa", "ya"]).join(b, ["xb", "yb"]).filter("ka <> kb")
     return met.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 
-def slab_index(regions: DataFrame, region: str, ring: str, column_width: float) -> DataFrame:
-    """Trapezoidal decomposition of region boundaries: one row per column of the map with its ordered slabs.
+def trapezoids(regions: DataFrame, region: str, ring: str, column_width: float) -> DataFrame:
+    """Trapezoidal decomposition of region boundaries: one row per slab, with its trapezoids in ascending order.
 
-    Every edge goes to the columns it crosses. Within a column, the vertices cut the plane into vertical slabs in which
-    edges don't cross; each region's edges in a slab, ordered by height, pair into trapezoids (even-odd rule, so rings
-    may be concave). Columns are built independently of each other. Result: col, xs (left ends of slabs, ascending), ends and
-    slabs (of each, trapezoids ascending: region, and the two lines as height at 0 and slope). Rings that are null or
-    have no extent give nothing; vertical edges need no trapezoid.
+    Every edge goes to the columns of the map that it crosses, which are built independently of each other. Within a
+    column, the corners cut the plane into vertical slabs in which edges don't cross; each region's edges in a slab,
+    ordered by height, pair into trapezoids (even-odd rule, so rings may be concave). An edge's ends are cuts themselves,
+    so it finds the numbers of its first and last slab and is spread over just those. Result: col, nth (number of the slab
+    in its column), xa, xb (where it begins and ends) and traps (region, and the two lines as height at 0 and slope). Rings
+    that are null or have no extent give nothing; vertical edges need no trapezoid.
     """
     w = F.lit(column_width)
     corners = regions.filter(F.col(region).isNotNull()).select(F.col(region).alias("region"), F.posexplode(F.arrays_zip(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))).alias("p"), F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))).alias("q"))).alias("i", "e"))
@@ -57,19 +85,19 @@ def slab_index(regions: DataFrame, region: str, ring: str, column_width: float)
     edges = corners.filter(p.isNotNull() & q.isNotNull() & (p["lon"] != q["lon"])).select("region", "i", ends[0]("lon").alias("x1"), ends[0]("lat").alias("y1"), ends[1]("lon").alias("x2"), ends[1]("lat").alias("y2"))
     edges = edges.withColumn("m", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).withColumn("h", F.col("y1") - F.col("m") * F.col("x1"))
     placed = edges.withColumn("col", F.explode(F.sequence(F.floor(F.col("x1") / w), F.floor(F.col("x2") / w))))
-    left, right = F.col("col") * w, (F.col("col") + 1) * w
-    cuts = placed.select("col", F.explode(F.array(F.greatest("x1", left), F.least("x2", right))).alias("xa")).distinct()
-    slabs = cuts.withColumns({"xb": F.lead("xa").over(Window.partitionBy("col").orderBy("xa")), "nth": F.row_number().over(Window.partitionBy("col").orderBy("xa"))}).filter("xb is not null")
-    mid = (F.col("xa") + F.col("xb")) / 2
-    crossing = placed.join(slabs, "col").filter((F.col("x1") <= F.col("xa")) & (F.col("x2") >= F.col("xb"))).withColumn("at", F.col("h") + F.col("m") * mid)
-    order = Window.partitionBy("col", "xa", "region").orderBy("at", "m", "i")
-    # A slab that ends with its column takes all points of the column that lie right of its beginning, and one that begins
-    # with its column all that lie left of its end: a product of the width may be rounded past points of the column.
-    until = F.when(F.col("xb") < (F.col("col") + 1) * w, F.col("xb")).otherwise(F.lit(float("inf")))
-    since = F.when((F.col("nth") == 1) & (F.col("xa") <= F.col("col") * w), F.lit(float("-inf"))).otherwise(F.col("xa"))
-    traps = crossing.select("col", since.alias("xa"), until.alias("xb"), "region", "at", "h", "m", F.row_number().over(order).alias("k"), F.lead("h").over(order).alias("h2"), F.lead("m").over(order).alias("m2")).filter("k % 2 = 1 and h2 is not null")
-    ordered = traps.groupBy("col", "xa", "xb").agg(F.array_sort(F.collect_list(F.struct("at", "region", "h", "m", "h2", "m2"))).alias("traps"))
-    return ordered.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("xa", "xb", "traps"))).alias("s")).select("col", F.col("s.xa").alias("xs"), F.col("s.xb").alias("ends"), F.col("s.traps").alias("slabs"))
+    # A column reaches a little beyond its own points, as a product of the width may be rounded past some of them.
+    edge = max(column_width * 1e-9, 1e-12)
+    left, right = F.col("col") * w - edge, (F.col("col") + 1) * w + edge
+    start, end = F.when(F.floor(F.col("x1") / w) < F.col("col"), left).otherwise(F.col("x1")), F.when(F.floor(F.col("x2") / w) > F.col("col"), right).otherwise(F.col("x2"))
+    placed = cut(placed.withColumns({"from": start, "to": end}))
+    ordered = Window.partitionBy("col").orderBy("xa")
+    cuts = placed.select("col", F.explode(F.array("from", "to")).alias("xa")).distinct().withColumns({"xb": F.lead("xa").over(ordered), "nth": F.row_number().over(ordered)})
+    number = lambda c: cuts.select("col", F.col("xa").alias(c), F.col("nth").alias(f"nth_{c}"))
+    spread = placed.join(number("from"), ["col", "from"]).join(number("to"), ["col", "to"]).filter("nth_from < nth_to").withColumn("nth", F.explode(F.sequence(F.col("nth_from"), F.col("nth_to") - 1)))
+    crossing = spread.join(cuts, ["col", "nth"]).withColumn("at", F.col("h") + F.col("m") * (F.col("xa") + F.col("xb")) / 2)
+    pairs = Window.partitionBy("col", "nth", "region").orderBy("at", "m", "i")
+    traps = crossing.select("col", "nth", "xa", "xb", "region", "at", "h", "m", F.row_number().over(pairs).alias("k"), F.lead("h").over(pairs).alias("h2"), F.lead("m").over(pairs).alias("m2")).filter("k % 2 = 1 and h2 is not null")
+    return traps.groupBy("col", "nth", "xa", "xb").agg(F.array_sort(F.collect_list(F.struct("at", "region", "h", "m", "h2", "m2"))).alias("traps"))
 
 
 def _last_at_most(values: Column, n: Column, height) -> Column:
@@ -85,21 +113,33 @@ def _last_at_most(values: Column, n: Column, height) -> Column:
     return F.aggregate(rounds, start, halve)["lo"] - 1
 
 
-def locate(points: DataFrame, regions: DataFrame, region: str, ring: str, lon: str, lat: str, column_width: float) -> DataFrame:
+def column_width(regions: DataFrame, ring: str) -> float:
+    """A width of columns in which COLUMN_CORNERS corners lie on average."""
+    lon = F.transform(ring, lambda p: p["lon"])
+    r = regions.agg(F.sum(F.size(ring)).alias("n"), F.min(F.array_min(lon)).alias("a"), F.max(F.array_max(lon)).alias("b")).first()
+    return (r["b"] - r["a"]) * COLUMN_CORNERS / r["n"] if r["n"] and r["a"] is not None and r["b"] > r["a"] else 1.0
+
+
+def locate(points: DataFrame, regions: DataFrame, region: str, ring: str, lon: str, lat: str, width: float | None = None) -> DataFrame:
     """Points (all columns) with the ``region`` whose ring contains them; points in none are left out.
 
-    Columns of slabs are distributed and meet their points by a lookup that spreads crowded columns over tasks; each
-    point finds its slab, then its trapezoid, by binary search. A point on a shared border belongs to the region above or
-    to the right. Null coordinates are in no region.
+    Slabs are rows, distributed by column and number. A point finds its slab among the few of its column, whose
+    beginnings alone travel for that, and then meets the trapezoids of just that slab, among which it finds its own by
+    binary search. Both lookups spread crowded columns and slabs over tasks. A point on a shared border belongs to the
+    region above or to the right. Null coordinates are in no region. ``width`` is that of a column of the map in degrees;
+    by default it follows from the number of corners.
     """
-    index = slab_index(regions, region, ring, column_width)
-    col = F.floor(F.col(lon) / F.lit(column_width))
-    placed = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("__col", col)
-    crowd = placed.groupBy("__col").agg(F.count("*").alias("__n"))
-    table = cut(index.withColumnRenamed("col", "__col").join(crowd, "__col"))
-    met = salted_lookup(placed, table, "__col", F.struct(*points.columns), "__n", "inner")
+    width = width or column_width(regions, ring)
     x, y = F.col(lon), F.col(lat)
-    met = met.withColumn("__s", _last_at_most(F.col("xs"), F.size("xs"), lambda v: v <= x)).withColumn("__traps", F.when(F.get("ends", F.col("__s")) > x, F.get("slabs", F.col("__s"))))
-    met = met.withColumn("__t", F.get("__traps", _last_at_most(F.col("__traps"), F.size("__traps"), lambda t: t["h"] + t["m"] * x <= y)))
-    inside = F.col("__t.h2") + F.col("__t.m2") * x > y
-    return met.filter(inside).withColumn("region", F.col("__t.region")).drop("__col", "__s", "__t", "__traps", "xs", "ends", "slabs")
+    col, slab, own = fresh("col"), fresh("slab"), list(points.columns)
+    placed = points.filter(x.isNotNull() & y.isNotNull()).withColumn(col, F.floor(x / F.lit(width)))
+    crowd = placed.groupBy(F.col(col).alias("col")).agg(F.count("*").alias("n"))
+    slabs = cut(trapezoids(regions, region, ring, width).join(crowd, "col").withColumn("slab", F.struct("col", "nth")))
+    beginnings = slabs.groupBy(F.col("col").alias(col), "n").agg(F.array_sort(F.collect_list(F.struct("xa", "xb", F.col("slab").alias("id")))).alias("slabs"))
+    met = salted_lookup(placed, beginnings, col, F.struct(*own), "n", "inner")
+    met = met.withColumn(slab, F.try_element_at(F.filter("slabs", lambda s: (s["xa"] <= x) & (s["xb"] > x)), F.lit(-1))["id"]).select(*own, slab)
+    # A slab has at most the points of its column, so it is spread at least as wide as it needs.
+    met = salted_lookup(met.filter(F.col(slab).isNotNull()), slabs.select(F.col("slab").alias(slab), "traps", "n"), slab, F.struct(*own), "n", "inner")
+    trap = fresh("trap")
+    met = met.withColumn(trap, F.get("traps", _last_at_most(F.col("traps"), F.size("traps"), lambda t: t["h"] + t["m"] * x <= y)))
+    return met.filter(F.col(trap)["h2"] + F.col(trap)["m2"] * x > y).select(*own, F.col(trap)["region"].alias("region"))

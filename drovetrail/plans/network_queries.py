@@ -74,7 +74,7 @@ def chains(spark: SparkSession, d: str, max_distance: int | None = None) -> Data
 
 def holding_areas(spark: SparkSession, d: str) -> DataFrame:
     areas = spark.read.parquet(f"{d}/example_admin_areas.parquet")
-    return nearby.locate(holdings(spark, d).select("id", "lon", "lat"), areas, "area_id", "ring", "lon", "lat", 0.05).select("id", F.col("region").alias("area_id"))
+    return nearby.locate(holdings(spark, d).select("id", "lon", "lat"), areas, "area_id", "ring", "lon", "lat").select("id", F.col("region").alias("area_id"))
 
 
 def area_totals(spark: SparkSession, d: str, side: str, of: Callable[[SparkSession, str], DataFrame] = quarter) -> DataFrame:

@@ -17,8 +17,8 @@ ZONES = {MOVEMENTS: "Europe/London", SWEDEN: "Europe/Stockholm"}
 REFS = ["departure_cph", "dest_cph"]
 SHARE = 0.03
 NEAR_M = 150.0
-#: Usable coordinates (degrees) and the width of a column of the slab index.
-LON, LAT, COLUMN = (-9.0, 3.0), (49.0, 61.0), 0.05
+#: Usable coordinates (degrees).
+LON, LAT = (-9.0, 3.0), (49.0, 61.0)
 #: Fields of a raw record: how many, and the places of departure_date and qty_pigs.
 COLUMNS, DATE_AT, QUANTITY_AT = 19, 5, 7
 
@@ -134,22 +134,41 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _near(places: DataFrame) -> DataFrame:
+    return nearby.near_pairs(places, "cph", "lon", "lat", NEAR_M, LAT[1])
+
+
+def _inside(places: DataFrame, areas: DataFrame) -> DataFrame:
+    return nearby.locate(places, areas, "area_id", "ring", "lon", "lat").select("cph", F.col("region").alias("area_id")).distinct()
+
+
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    return nearby.near_pairs(_places(spark, d), "cph", "lon", "lat", NEAR_M, LAT[1])
+    return _near(cut(_places(spark, d)))
+
+
+def p6_near_places(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of places close together, without their holdings: those are in p6_place_members."""
+    return nearby.near_places(cut(_places(spark, d)).select("lon", "lat").distinct(), "lon", "lat", NEAR_M, LAT[1])
+
+
+def p6_place_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each holding with its place and how many holdings share it."""
+    places = _places(spark, d)
+    return places.join(places.groupBy("lon", "lat").agg(F.count("*").alias("holdings")), ["lon", "lat"])
 
 
 def p6_inside(spark: SparkSession, d: str) -> DataFrame:
-    inside = nearby.locate(_places(spark, d), table(spark, d, AREAS), "area_id", "ring", "lon", "lat", COLUMN)
-    return inside.select("cph", F.col("region").alias("area_id")).distinct()
+    return _inside(cut(_places(spark, d)), table(spark, d, AREAS))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p6_near(spark, d).select(F.lit("near").alias("kind"), "key_a", "key_b")
-    return near.unionAll(p6_inside(spark, d).select(F.lit("inside").alias("kind"), F.col("cph").alias("key_a"), F.col("area_id").cast("string").alias("key_b")))
+    places = cut(_places(spark, d))
+    near = _near(places).select(F.lit("near").alias("kind"), "key_a", "key_b")
+    return near.unionAll(_inside(places, table(spark, d, AREAS)).select(F.lit("inside").alias("kind"), F.col("cph").alias("key_a"), F.col("area_id").cast("string").alias("key_b")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_zone_fit, p3_found, p3_per_holding, p4_found, p4_valid, p4_reasons, p5_found, p5_spans, p6_found)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_zone_fit, p3_found, p3_per_holding, p4_found, p4_valid, p4_reasons, p5_found, p5_spans, p6_found, p6_near, p6_near_places, p6_place_members, p6_inside)
 }
 
 _REFS = """refs AS (
@@ -167,6 +186,13 @@ orphans AS (SELECT row_id, ref_field, k, strftime(received_at AT TIME ZONE 'UTC'
 _PLACES = """places AS (SELECT DISTINCT regexp_replace(cph, '[^0-9]', '', 'g') AS cph, coordinates.lon AS lon, coordinates.lat AS lat FROM example_holding_data
   WHERE length(regexp_replace(cph, '[^0-9]', '', 'g')) = 9 AND coordinates.lon BETWEEN -9 AND 3 AND coordinates.lat BETWEEN 49 AND 61)"""
 
+_METRES = "2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+_NEAR = f"pairs AS (SELECT DISTINCT a.cph AS key_a, b.cph AS key_b FROM places a JOIN places b ON a.cph < b.cph AND b.lat BETWEEN a.lat - 0.00136 AND a.lat + 0.00136 AND {_METRES} <= 150)"
+_INSIDE = """corners AS (SELECT area_id, unnest(range(1, len(ring))) AS i, ring FROM example_admin_areas),
+edges AS (SELECT area_id, ring[i].lon AS x1, ring[i].lat AS y1, ring[i + 1].lon AS x2, ring[i + 1].lat AS y2 FROM corners),
+inside AS (SELECT p.cph, p.lon, p.lat, e.area_id FROM places p JOIN edges e ON (e.x1 <= p.lon) <> (e.x2 <= p.lon) AND e.y1 + (e.y2 - e.y1) / (e.x2 - e.x1) * (p.lon - e.x1) <= p.lat
+  GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_REFS} SELECT row_id, ref_field, period, reason FROM orphans",
     "p1_report": f"WITH {_REFS} SELECT 'example_holding_data' AS parent_table, ref_field, period, reason, count(*) AS n_refs, count(DISTINCT k) AS n_keys FROM orphans GROUP BY ALL",
@@ -174,12 +200,10 @@ ORACLE: dict[str, str] = {
     "p3_per_holding": """WITH q AS (SELECT *, CASE WHEN regexp_full_match(qty_pigs, '[ \\t]*[0-9]+([.]0+)?[ \\t]*') THEN CAST(regexp_extract(qty_pigs, '[0-9]+') AS BIGINT) END AS pigs FROM example_movement_data),
 r AS (SELECT 'departure_cph' AS ref_field, regexp_replace(departure_cph, '[^0-9]', '', 'g') AS cph, pigs FROM q UNION ALL SELECT 'dest_cph', regexp_replace(dest_cph, '[^0-9]', '', 'g'), pigs FROM q)
 SELECT ref_field, cph, count(*) AS n, CAST(sum(pigs) AS BIGINT) AS pigs, count(*) >= 0.03 * (SELECT count(*) FROM example_movement_data) AS heavy FROM r WHERE length(cph) = 9 GROUP BY ALL""",
-    "p6_found": f"""WITH {_PLACES},
-pairs AS (SELECT DISTINCT a.cph AS key_a, b.cph AS key_b FROM places a JOIN places b ON a.cph < b.cph AND b.lat BETWEEN a.lat - 0.00136 AND a.lat + 0.00136
-  AND 2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 150),
-corners AS (SELECT area_id, unnest(range(1, len(ring))) AS i, ring FROM example_admin_areas),
-edges AS (SELECT area_id, ring[i].lon AS x1, ring[i].lat AS y1, ring[i + 1].lon AS x2, ring[i + 1].lat AS y2 FROM corners),
-inside AS (SELECT p.cph, p.lon, p.lat, e.area_id FROM places p JOIN edges e ON (e.x1 <= p.lon) <> (e.x2 <= p.lon) AND e.y1 + (e.y2 - e.y1) / (e.x2 - e.x1) * (p.lon - e.x1) <= p.lat
-  GROUP BY ALL HAVING count(*) % 2 = 1)
-SELECT 'near' AS kind, key_a, key_b FROM pairs UNION ALL SELECT DISTINCT 'inside', cph, CAST(area_id AS VARCHAR) FROM inside""",
+    "p6_found": f"WITH {_PLACES}, {_NEAR}, {_INSIDE} SELECT 'near' AS kind, key_a, key_b FROM pairs UNION ALL SELECT DISTINCT 'inside', cph, CAST(area_id AS VARCHAR) FROM inside",
+    "p6_near": f"WITH {_PLACES}, {_NEAR} SELECT * FROM pairs",
+    "p6_inside": f"WITH {_PLACES}, {_INSIDE} SELECT DISTINCT cph, area_id FROM inside",
+    "p6_near_places": f"""WITH {_PLACES}, spots AS (SELECT DISTINCT lon, lat FROM places)
+SELECT a.lon AS xa, a.lat AS ya, b.lon AS xb, b.lat AS yb FROM spots a JOIN spots b ON (a.lon, a.lat) < (b.lon, b.lat) AND b.lat BETWEEN a.lat - 0.00136 AND a.lat + 0.00136 AND {_METRES} <= 150""",
+    "p6_place_members": f"WITH {_PLACES} SELECT cph, lon, lat, count(*) OVER (PARTITION BY lon, lat) AS holdings FROM places",
 }

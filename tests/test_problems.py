@@ -6,6 +6,7 @@ import io
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from drovetrail.functions.digits import nine_digits
 from drovetrail.operators import faults, heavy, nearby, references, trailing
 from drovetrail.runtime import salted_lookup
@@ -183,13 +184,16 @@ def test_trailing_totals(spark):
     assert {(r[0], r[1]) for r in some.collect()} == {k for k, v in want.items() if v[0] >= 9}
 
 
-def test_near_pairs(spark):
+@pytest.mark.parametrize(("x0", "metres", "cell"), [(-2.0, 150.0, 2048), (-2.0, 150.0, 3), (179.99, 150.0, 2048), (179.0, 9_000_000.0, 2048)])
+def test_near_pairs(spark, monkeypatch, x0, metres, cell):
+    """Also with crowded cells, across the 180th meridian, and where few columns go round the globe."""
     import math
 
+    monkeypatch.setattr(nearby.near_places, "__defaults__", (cell,))
     rnd = random.Random(4)
-    pts = [(f"p{i}", -2 + rnd.random() * 0.02, 60.9 + rnd.random() * 0.01) for i in range(300)]
-    pts += [("twin1", -2.0, 60.9), ("twin2", -2.0, 60.9), ("twin2", -2.0, 60.9), (None, -2.0, 60.9), ("nowhere", None, 60.9)]
-    got = {tuple(r) for r in nearby.near_pairs(spark.createDataFrame(pts, "k string, x double, y double"), "k", "x", "y", 150.0, 61.0).collect()}
+    pts = [(f"p{i}", (x0 + rnd.random() * 0.02 + 180) % 360 - 180, 60.9 + rnd.random() * 0.01) for i in range(300)]
+    pts += [("twin1", x0, 60.9), ("twin2", x0, 60.9), ("twin2", x0, 60.9), (None, x0, 60.9), ("nowhere", None, 60.9), ("west", -179.999, 60.9), ("east", 179.9999, 60.9)]
+    got = [tuple(r) for r in nearby.near_pairs(spark.createDataFrame(pts, "k string, x double, y double"), "k", "x", "y", metres, 61.0).collect()]
 
     def far(a, b):
         (x, y), (u, v) = (map(math.radians, p[1:]) for p in (a, b))
@@ -197,7 +201,7 @@ def test_near_pairs(spark):
         return 2 * 6371000 * math.asin(math.sqrt(h))
 
     good = [p for p in pts if None not in p]
-    assert got == {(a[0], b[0]) for a in good for b in good if a[0] < b[0] and far(a, b) <= 150}
+    assert len(got) == len(set(got)) and set(got) == {(a[0], b[0]) for a in good for b in good if a[0] < b[0] and far(a, b) <= metres}
 
 
 def test_locate_in_concave_regions_with_junctions(spark):
@@ -212,6 +216,8 @@ def test_locate_in_concave_regions_with_junctions(spark):
     df = spark.createDataFrame([*pts, (9000, None, 1.0)], "region int, lon double, lat double").withColumnRenamed("region", "pid")
     got = {(r["pid"], r["region"]) for r in nearby.locate(df, regions, "area", "ring", "lon", "lat", 0.7).collect()}
     assert got == {(i, k) for i, x, y in pts for k, ring in rings if ring and inside(x, y, ring)}
+    assert {(r["pid"], r["region"]) for r in nearby.locate(df, regions, "area", "ring", "lon", "lat").collect()} == got
+    assert nearby.locate(df, regions.limit(0), "area", "ring", "lon", "lat").count() == 0
     assert nearby.locate(df.limit(0), regions, "area", "ring", "lon", "lat", 0.7).count() == 0
 
 
