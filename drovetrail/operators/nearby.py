@@ -25,15 +25,25 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 def near_places(places: DataFrame, lon: str, lat: str, metres: float, max_lat: float, cell_places: int = CELL_PLACES) -> DataFrame:
     """xa, ya, xb, yb of different places at most so many metres apart, each pair once; ``max_lat`` bounds the latitude's absolute value.
 
-    ``places`` are distinct. They are put into grid cells at least as wide as the distance, whose columns go round the
-    globe; each place meets its own cell and half of its neighbours. The places of a crowded cell are divided into parts
-    of about ``cell_places``, and those of the cells around it meet every part, so no task gets a cell's square.
+    ``places`` are distinct. They are put into grid cells twice as wide as the distance, whose columns go round the
+    globe; each place meets its own cell and, of half of its neighbours, those whose border is near. The places of a
+    crowded cell are divided into parts of about ``cell_places``, and those of the cells around it meet every part, so no
+    task gets a cell's square.
     """
-    step = math.degrees(metres / EARTH_RADIUS) * 1.0001
-    n_columns = max(1, math.floor(360 / (step / max(math.cos(math.radians(max_lat)), 1e-9) * 1.0001)))
+    angle = metres / EARTH_RADIUS
+    step = math.degrees(angle) * 1.0001
+    # How far apart in longitude two places of that distance can be, at the highest latitude.
+    bound = math.sin(min(angle, math.pi / 2)) / max(math.cos(math.radians(max_lat)), 1e-9)
+    wide = math.degrees(math.asin(bound)) * 1.0001 if bound < 1 else 180.0
+    n_columns = max(1, math.floor(180 / wide))
+    column, row = 360 / n_columns, 2 * step
     wrap = lambda c: F.pmod(c, F.lit(n_columns))
-    at = places.select(F.col(lon).alias("x"), F.col(lat).alias("y")).withColumns({"cx": wrap(F.floor((F.col("x") + 180) / (360 / n_columns))), "cy": F.floor(F.col("y") / step)})
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
+    at = places.select(F.col(lon).alias("x"), F.col(lat).alias("y"))
+    gx, gy = (F.col("x") + 180) / column, F.col("y") / row
+    at = at.withColumns({"cx": wrap(F.floor(gx)), "cy": F.floor(gy)})
+    east, north, south = (F.floor(gx) + 1 - gx) * column <= wide, (F.floor(gy) + 1 - gy) * row <= step, (gy - F.floor(gy)) * row <= step
+    near = ((0, 0, F.lit(True)), (1, -1, east & south), (1, 0, east), (1, 1, east & north), (0, 1, north))
+    around = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, c in near)))
     left = at.select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(around).alias("o"), "cx", "cy").select("xa", "ya", wrap(F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     right = at.select(F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")
     crowded = cut(at.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > cell_places).select("cx", "cy", F.ceil(F.col("n") / cell_places).cast("int").alias("parts")))
@@ -43,7 +53,8 @@ def near_places(places: DataFrame, lon: str, lat: str, metres: float, max_lat: f
         left = left.join(crowded, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         right = right.join(crowded, cell, "left").withColumn("part", F.pmod(F.xxhash64("xb", "yb"), parts).cast("int")).drop("parts")
         cell = [*cell, "part"]
-    close = great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= metres
+    # The difference in latitude alone rules out most candidates, without trigonometry.
+    close = (F.abs(F.col("ya") - F.col("yb")) <= step) & (great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= metres)
     # A pair of one cell meets both ways round; so do pairs of neighbours where few columns go round the globe.
     before = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (F.col("ya") < F.col("yb")))
     first, second = F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y"))
@@ -100,17 +111,13 @@ def trapezoids(regions: DataFrame, region: str, ring: str, column_width: float)
     return traps.groupBy("col", "nth", "xa", "xb").agg(F.array_sort(F.collect_list(F.struct("at", "region", "h", "m", "h2", "m2"))).alias("traps"))
 
 
-def _last_at_most(values: Column, n: Column, height) -> Column:
-    """Binary search: the 0-based index of the last entry whose height is at most 0 more than asked; -1 if none."""
-    rounds = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
-    start = F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi"))
+def _last_at_most(values: Column, longest: int, height) -> Column:
+    """Binary search: the 0-based index of the last entry whose height is at most 0 more than asked; -1 if none.
 
-    def halve(acc: Column, _: Column) -> Column:
-        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        up = height(F.get(values, middle))
-        return F.when(acc["lo"] >= acc["hi"], acc).when(up, F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
-
-    return F.aggregate(rounds, start, halve)["lo"] - 1
+    Goes ahead by powers of two, from the greatest that the ``longest`` list takes down to 1.
+    """
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(longest.bit_length()))))
+    return F.aggregate(steps, F.lit(-1), lambda at, k: F.when((at + k < F.size(values)) & height(F.get(values, at + k)), at + k).otherwise(at))
 
 
 def column_width(regions: DataFrame, ring: str) -> float:
@@ -140,6 +147,7 @@ def locate(points: DataFrame, regions: DataFrame, region: str, ring: str, lon: s
     met = met.withColumn(slab, F.try_element_at(F.filter("slabs", lambda s: (s["xa"] <= x) & (s["xb"] > x)), F.lit(-1))["id"]).select(*own, slab)
     # A slab has at most the points of its column, so it is spread at least as wide as it needs.
     met = salted_lookup(met.filter(F.col(slab).isNotNull()), slabs.select(F.col("slab").alias(slab), "traps", "n"), slab, F.struct(*own), "n", "inner")
-    trap = fresh("trap")
-    met = met.withColumn(trap, F.get("traps", _last_at_most(F.col("traps"), F.size("traps"), lambda t: t["h"] + t["m"] * x <= y)))
+    trap, traps = fresh("trap"), F.col("traps")
+    longest = slabs.agg(F.max(F.size("traps")).alias("n")).first()["n"] or 1
+    met = met.withColumn(trap, F.get(traps, _last_at_most(traps, longest, lambda t: t["h"] + t["m"] * x <= y)))
     return met.filter(F.col(trap)["h2"] + F.col(trap)["m2"] * x > y).select(*own, F.col(trap)["region"].alias("region"))
