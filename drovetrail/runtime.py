@@ -79,3 +79,16 @@ def rounds_needed(pieces: int, fan_in: int) -> int:
     while left > fan_in:
         rounds, left = rounds + 1, math.ceil(left / fan_in)
     return rounds
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for a table that is read more than once."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as a compressed table, by default in the shared folder, and go on from there: columns can be read apart."""
+    path = path or shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
