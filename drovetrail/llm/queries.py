@@ -31,6 +31,11 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.join(texts, "doc_id", "full").agg(F.count("*").alias("n_docs"), F.count_if(~F.col("got").eqNullSafe(F.col("had"))).alias("n_wrong"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that come back from the ids."""
+    return tokens.decode_corpus(p7_ids(spark, d), "doc_id", "ids")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(_documents(spark, d), "doc_id", "text", _items(spark, d), "item_id", "passage")
 
@@ -48,10 +53,11 @@ def p9_removable(spark: SparkSession, d: str) -> DataFrame:
     return spans.covered_words(spans.shared_runs(_documents(spark, d), "doc_id", "text", later_only=True), "repeated_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_found, p8_near, p9_found, p9_removable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p7_roundtrip, p7_decoded, p8_found, p8_near, p9_found, p9_removable)}
 
 ORACLE: dict[str, str] = {
     "p7_roundtrip": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_wrong FROM documents",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 62)) AS i, ws FROM w WHERE len(ws) >= 64),
 k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 63], ' ')) AS h FROM g),

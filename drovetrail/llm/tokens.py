@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, salted_lookup, stored
 
-#: Most words whose ids are sent to every executor (the most frequent ones); further words go through a join.
-TABLE_WORDS = 1 << 18
-#: Characters of text that are split at a time, whatever the size of an Arrow batch.
-PIECE_CHARS = 1 << 20
-#: Distinct words that are counted in one task before the counts are passed on.
-COUNT_WORDS = 1 << 19
+#: Words of the documents that share one list of distinct words; a longer text has one of its own.
+BLOCK_WORDS = 1 << 20
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -35,147 +30,125 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE_CHARS characters; a longer text is a range of its own."""
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= PIECE_CHARS:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+class _Numbers(dict):
+    """Numbers of words in the order in which they first come."""
 
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
-def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
-    """word, n: the distinct words that the pattern splits all texts into. Tasks count before anything is shuffled."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = regex.compile(pattern).findall, Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        for batch in batches:
-            for t in batch.column(0):
-                if t.is_valid:
-                    counts.update(split(t.as_py()))
-            if len(counts) > COUNT_WORDS:
-                yield out()
-                counts.clear()
-        yield out()
+def split_corpus(docs: DataFrame, doc_id: str, text: str, pattern: str) -> DataFrame:
+    """Documents as word numbers, and the distinct words of each block of documents: block, doc_id, at, word, number.
 
-    return docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    The texts are split once. A block is some consecutive documents of about BLOCK_WORDS words; it has one row per
+    document with the numbers of its words by position (``at``; empty for null and empty texts), and one row per distinct
+    word with its ``number`` (and null ``at``).
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, base, n = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32, 0
+        numbers, ids, at, id_type = _Numbers(), [], [], None
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """word, n, ids: every distinct word encoded once. A word is one unit of merging: nothing in it is a special token."""
+        def block() -> Iterator[pa.RecordBatch]:
+            rows, words = len(ids), list(numbers)
+            ends = np.cumsum([0, *map(len, at)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *at])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, base + n)), pa.array(ids, id_type), lists, pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int32())], names)
+            rows = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, base + n)), pa.nulls(rows, id_type), pa.nulls(rows, pa.list_(pa.int32())), pa.array(words, pa.string()), pa.array(np.arange(rows, dtype=np.int32))], names)
+
+        held = 0
+        for batch in batches:
+            id_type = batch.column(0).type
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = find(t.as_py()) if t.is_valid else []
+                ids.append(i)
+                at.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                held += len(found)
+                if held >= BLOCK_WORDS:
+                    yield from block()
+                    n, held = n + 1, 0
+                    numbers.clear(), ids.clear(), at.clear()
+        if ids:
+            yield from block()
+
+    names = ["block", "doc_id", "at", "word", "number"]
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(split, f"block bigint, doc_id {kind}, at array<int>, word string, number int")
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """word, n, ids: every distinct word encoded once. A word is one unit of merging: nothing in it is a special token.
+
+    The ranks have the size of the vocabulary; every executor gets a copy of them.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(ranks)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encoding = None
         for batch in batches:
-            encoding = encoding or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+            encoding = encoding or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
             ids = [encoding._encode_single_piece(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     return words.select("word", "n").mapInArrow(encode, "word string, n bigint, ids array<int>")
 
 
-def _frequent(words: DataFrame, most: int) -> tuple[int, int]:
-    """The least count that at most ``most`` words reach, as a power of two, and how many words reach less."""
-    levels = {r["level"]: r["k"] for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("k")).collect()}
-    least, held = 62, 0
-    for level in sorted(levels, reverse=True):
-        if held + levels[level] > most:
-            break
-        least, held = level, held + levels[level]
-    return 1 << least, sum(levels.values()) - held
-
-
-def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str | None = None, pattern: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids: the token ids of every document, without special tokens.
 
-    All texts are split into words; the distinct words are a table in which each is encoded once. Ids come back by
-    position: those of the most frequent words (at most ``table_words``, a fixed bound) from a copy of their rows on
-    each executor, those of all others through a join on the word, whose results are put in their places. Null and empty
-    texts have an empty list, blank ones the ids of their blanks; text that looks like a special token is ordinary
-    text. Rows are independent of each other, so ties and repeated rows don't matter; other columns are ignored.
+    All texts are split into words, once; the distinct words are a table in which each is encoded once. That table is
+    joined to the words of every block of documents, frequent ones (a block has each at most once) spread over tasks, and
+    the ids found come back to the block's documents by word number and position. Nothing but the vocabulary is sent to all executors,
+    however many words there are. Null and empty texts have an empty list, blank ones the ids of their blanks; text that looks
+    like a special token is ordinary text. Rows are independent of each other, so ties and repeated rows don't matter; other
+    columns are ignored.
     """
     own = default_vocabulary() if path is None or pattern is None else None
     path, pattern = path or own[0], pattern or own[1]
-    words = cut(encode_words(word_counts(docs, text, pattern), path, pattern))
-    least, rare = _frequent(words, table_words)
-    hot = words.filter(F.col("n") >= least).select("word", "ids").toArrow()
-    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in hot.column("ids").chunks)]).astype(np.int32)
-    lengths = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in hot.column("ids").chunks)]).astype(np.int64)
-    place = {w: i for i, w in enumerate(hot.column("word").to_pylist())}
-    shared = docs.sparkSession.sparkContext.broadcast((place, np.append(lengths, 0), np.append(np.cumsum(lengths) - lengths, 0), flat))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        place, lengths, starts, flat = shared.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _pieces(texts):
-                found, ends = [], []
-                for t in texts[a:b]:
-                    if t:
-                        found += split(t)
-                    ends.append(len(found))
-                at = np.fromiter(map(place.get, found, repeat(-1)), np.int64, len(found))
-                size = lengths[at]
-                before = np.concatenate(([0], np.cumsum(size)))
-                values = flat[np.repeat(starts[at] - before[:-1], size) + np.arange(before[-1])]
-                ends = np.array([0, *ends])
-                gone = np.flatnonzero(at < 0)
-                lists = pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), pa.array(values, pa.int32()))
-                cuts = np.searchsorted(gone, ends)
-                owner = np.searchsorted(ends, gone, "right") - 1
-                places = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(before[gone] - before[ends[owner]], pa.int32()))
-                missing = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array([found[i] for i in gone], pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists, places, missing], ["doc_id", "ids", "at", "words"])
+    parts = stored(split_corpus(docs, doc_id, text, pattern), "words")
+    listed = parts.filter("word is not null").select("block", "word", "number")
+    words = cut(encode_words(listed.groupBy("word").agg(F.count("*").alias("n")), read_ranks(path), pattern))
+    found = salted_lookup(listed, words, "word", F.col("block"), "n", "inner").select(F.col("block").alias("owner"), "number", "ids")
+    texts = parts.filter("at is not null").select("block", "doc_id", "at")
+
+    def put(texts: pa.Table, found: pa.Table) -> pa.Table:
+        """A block: its words' ids in the order of their numbers, then those of every position."""
+        order = np.argsort(found.column("number").to_numpy())
+        lists = found.column("ids").combine_chunks()
+        lengths = np.asarray(lists.value_lengths(), np.int64)
+        flat, starts = lists.flatten().to_numpy(), (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        at = texts.column("at").combine_chunks()
+        places = at.flatten().to_numpy()
+        size = lengths[places]
+        before = np.concatenate(([0], np.cumsum(size)))
+        ids = flat[np.repeat(starts[places] - before[:-1], size) + np.arange(before[-1])] if len(places) else np.zeros(0, np.int32)
+        ends = before[np.concatenate(([0], np.cumsum(np.asarray(at.value_lengths(), np.int64))))]
+        return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    looked = docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(look_up, f"doc_id {kind}, ids array<int>, at array<int>, words array<string>")
-    if not rare:
-        return looked.select("doc_id", "ids")
-    return looked.filter(F.size("words") == 0).select("doc_id", "ids").unionAll(_fill(looked.filter(F.size("words") > 0), words.filter(F.col("n") < least).select("word", F.col("ids").alias("more"))))
-
-
-def _fill(looked: DataFrame, rare: DataFrame) -> DataFrame:
-    """Put the ids of rare words into their places. A rare word is held by few rows, so the join on it isn't skewed."""
-    looked = looked.withColumn("row", F.xxhash64("doc_id", "ids", "words"))
-    gaps = looked.select("doc_id", "row", F.posexplode(F.arrays_zip("at", "words")).alias("k", "w")).select("doc_id", "row", "k", "w.at", F.col("w.words").alias("word"))
-    more = gaps.join(rare, "word").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("k", "at", "more"))).alias("gaps"))
-    more = more.select(F.col("doc_id").alias("same_id"), "row", "gaps")
-    both = looked.select("doc_id", "row", "ids").join(more, "row").filter(F.col("doc_id").eqNullSafe(F.col("same_id"))).select("doc_id", "ids", "gaps")
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ids, gaps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                whole, last = [], 0
-                for g in gaps:
-                    whole += ids[last : g["at"]] + g["more"]
-                    last = g["at"]
-                out.append(whole + ids[last:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    kind = looked.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(put, f"doc_id {kind}, ids array<int>")
+    return texts.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(put, f"doc_id {kind}, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, doc_id: str, ids: str, path: str | None = None) -> DataFrame:
-    """doc_id, text: the bytes of the ids, joined and read as UTF-8. The id-to-piece table has the size of the vocabulary.
+    """doc_id, text: the pieces of the ids, found by a join, put together by position and read as UTF-8.
 
-    A null list gives null, an empty one the empty text; an id outside the vocabulary fails the job.
+    The table of pieces has the size of the vocabulary, so every executor gets it. Equal rows are decoded once. A null list
+    gives null, an empty one the empty text; an id outside the vocabulary fails the job.
     """
-    path = path or default_vocabulary()[0]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {i: p for p, i in read_ranks(path).items()}
-        for batch in batches:
-            texts = [None if x is None else b"".join(map(pieces.__getitem__, x)).decode() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    kind = encoded.schema[doc_id].dataType.simpleString()
-    return encoded.select(F.col(doc_id).alias("doc_id"), ids).mapInArrow(decode, f"doc_id {kind}, text string")
+    ranks = read_ranks(path or default_vocabulary()[0])
+    # A piece travels as a text with one character per byte.
+    pieces = encoded.sparkSession.createDataFrame([(i, p.decode("latin-1")) for p, i in ranks.items()], "id int, piece string")
+    rows = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"), F.xxhash64(F.col(ids)).alias("h"), F.col(ids).isNull().alias("none"))
+    rows = rows.groupBy("doc_id", "h", "none").agg(F.first("ids").alias("ids"), F.count("*").alias("n"))
+    tokens = rows.select("doc_id", "h", "none", "n", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces), "id", "left")
+    unknown = F.col("id").isNotNull() & F.col("piece").isNull()
+    piece = F.when(unknown, F.raise_error(F.concat(F.lit("no such id: "), F.col("id").cast("string")))).otherwise(F.col("piece"))
+    # The tokens of a row are where the row is, so they are put together without another shuffle.
+    whole = tokens.groupBy("doc_id", "h", "none", "n").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", piece.alias("piece"))))).alias("pieces"))
+    text = F.encode(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), "ISO-8859-1").cast("string")
+    return whole.select("doc_id", F.when(~F.col("none"), text).alias("text"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc_id", "text")

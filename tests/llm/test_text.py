@@ -25,21 +25,40 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "clash") for i, t in enumerate(rows)], "doc_id bigint, text string, ids string")
 
 
-@pytest.mark.parametrize("table_words", [1 << 18, 16, 0])
-def test_ids_are_those_of_the_tokenizer_and_decode(spark, table_words):
+@pytest.mark.parametrize(("block", "rows_per_task"), [(1 << 20, 1 << 19), (50, 5), (1, 1)])
+def test_ids_are_those_of_the_tokenizer_and_decode(spark, monkeypatch, block, rows_per_task):
+    """Whatever shares a block, and with frequent words spread over tasks."""
+    import functools
+
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokens, "BLOCK_WORDS", block)
+    monkeypatch.setattr(tokens, "salted_lookup", functools.partial(tokens.salted_lookup, rows_per_task=rows_per_task))
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     rows = texts()
-    got = tokens.encode_corpus(table(spark, rows), "doc_id", "text", table_words=table_words)
+    got = tokens.encode_corpus(table(spark, rows), "doc_id", "text")
     ids = {r["doc_id"]: r["ids"] for r in got.collect()}
     assert ids == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(rows)}
     back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(got, "doc_id", "ids").collect()}
     assert back == {i: x or "" for i, x in enumerate(rows)}
 
 
+def test_decoding_of_repeated_null_and_unknown(spark):
+    rows = spark.createDataFrame([(1, [15496, 995]), (1, [15496, 995]), (1, []), (None, [0]), (2, None)], "doc_id bigint, ids array<int>")
+    got = [tuple(r) for r in tokens.decode_corpus(rows, "doc_id", "ids").collect()]
+    assert sorted(got, key=repr) == sorted([(1, "Hello world"), (1, "Hello world"), (1, ""), (None, "!"), (2, None)], key=repr)
+    with pytest.raises(Exception, match="no such id"):
+        tokens.decode_corpus(spark.createDataFrame([(1, [50300])], "doc_id bigint, ids array<int>"), "doc_id", "ids").collect()
+
+
+def test_repeated_documents_and_null_ids_are_encoded(spark):
+    rows = spark.createDataFrame([(1, "Hello world"), (1, "Hello world"), (None, "Hello"), (None, None)], "doc_id bigint, text string")
+    got = sorted(map(repr, tokens.encode_corpus(rows, "doc_id", "text").collect()))
+    assert len(got) == 4 and sum("ids=[15496, 995]" in g for g in got) == 2 and sum("ids=[]" in g for g in got) == 1
+
+
 def test_no_documents(spark):
     none = table(spark, ["a"]).limit(0)
     assert tokens.encode_corpus(none, "doc_id", "text").count() == 0
