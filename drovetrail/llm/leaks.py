@@ -1,27 +1,26 @@
-"""Evaluation passages inside a training corpus, by a positional inverted index of the corpus."""
+"""Evaluation passages inside a training corpus, by a stored positional inverted index of the corpus."""
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut, stored
+
 #: Consecutive words that make a leak.
 RUN_WORDS = 12
-#: Characters of passages that one pass over the corpus looks for; more passages take more passes.
-PASS_CHARS = 1 << 25
-#: Words of documents in one segment of the index.
-SEGMENT_WORDS = 1 << 21
-#: Positions are kept apart from the document's number by these bits; longer texts continue in the next number.
-BITS = 36
+#: Words of documents in one segment of the index, and the greatest place in one.
+SEGMENT_WORDS, SEGMENT_SPAN = 1 << 21, 1 << 30
+#: Places left free between documents of a segment, so that no run and no neighbourhood goes from one into the next.
+GAP = 1 << 10
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _ASCII_WORDS = re.compile(r"[a-z0-9]+")
@@ -36,162 +35,226 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(unicodedata.normalize("NFKC", text).lower())
 
 
-def index_segments(docs: DataFrame, doc_id: str, text: str, terms: list[str]) -> DataFrame:
-    """The postings of the given terms in all texts, as segments: rows of (docs, term, place), places ascending by term.
+class _Numbers(dict):
+    """Numbers of words in the order in which they first come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def build_index(docs: DataFrame, doc_id: str, text: str, path: str | None = None) -> DataFrame:
+    """The postings of all words of all texts, stored at a path (by default in the shared folder) for any number of searches.
 
-    A segment covers some consecutive documents whole; ``term`` numbers the given terms and ``place`` holds the
-    document's number in the segment and the word's position in it. No posting of the terms is left out.
+    A segment covers some consecutive documents whole. Of each word in it there is a row (segment, term, n, places) with
+    its ascending places; one more row (null term) has the segment's documents and the places at which they begin. A
+    document's place and a word's position in it make a place. Texts without words aren't in the index.
     """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["segment", "term", "n", "places", "docs"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(terms)}.get
-        ids, term, place, held = [], [], [], 0
-
-        def segment() -> pa.RecordBatch:
-            t = np.concatenate(term) if term else np.zeros(0, np.int32)
-            p = np.concatenate(place) if place else np.zeros(0, np.int64)
-            o = np.argsort(t, kind="stable")
-            columns = [pa.array([ids], pa.list_(kind)), pa.array([t[o]], pa.list_(pa.int32())), pa.array([p[o]], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["docs", "term", "place"])
+        base, count = TaskContext.get().partitionId() << 32, 0
+        numbers, ids, starts, terms, places, held, at, id_type = _Numbers(), [], [], [], [], 0, 0, pa.int64()
+
+        def segment() -> Iterator[pa.RecordBatch]:
+            number = pa.array([base + count])
+            yield pa.RecordBatch.from_arrays([number, pa.nulls(1, pa.string()), pa.array([len(ids)], pa.int32()), pa.array([starts], pa.list_(pa.int32())), pa.array([ids], pa.list_(id_type))], names)
+            t = np.concatenate(terms)
+            order, sizes = np.argsort(t, kind="stable"), np.bincount(t)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(places)[order]))
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, base + count)), pa.array(list(numbers), pa.string()), pa.array(sizes.astype(np.int32)), lists, pa.nulls(n, pa.list_(id_type))], names)
 
-        kind = pa.int64()
         for batch in batches:
-            kind = batch.column(0).type
+            id_type = batch.column(0).type
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = words_of(t.as_py())
-                if found:
-                    numbers = np.array([number(w, -1) for w in found], np.int32)
-                    at = np.flatnonzero(numbers >= 0)
-                    if len(at):
-                        term.append(numbers[at])
-                        place.append(at + (np.int64(len(ids)) << BITS))
-                        ids.append(i)
-                    held += len(found)
-                if held >= SEGMENT_WORDS:
-                    yield segment()
-                    ids, term, place, held = [], [], [], 0
+                if not found:
+                    continue
+                ids.append(i)
+                starts.append(at)
+                terms.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                places.append(np.arange(at, at + len(found), dtype=np.int32))
+                held, at = held + len(found), at + len(found) + GAP
+                if held >= SEGMENT_WORDS or at >= SEGMENT_SPAN:
+                    yield from segment()
+                    count, held, at = count + 1, 0, 0
+                    for x in (numbers, ids, starts, terms, places):
+                        x.clear()
         if ids:
-            yield segment()
+            yield from segment()
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text).filter(F.col(text).isNotNull()).mapInArrow(index, f"docs array<{kind}>, term array<int>, place array<bigint>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text).filter(F.col(text).isNotNull()).mapInArrow(index, f"segment bigint, term string, n int, places array<int>, docs array<{kind}>")
+    return stored(rows, "postings", path)
 
 
-def _lists(term: np.ndarray, place: np.ndarray, n: int) -> list[np.ndarray]:
-    edges = np.searchsorted(term, np.arange(n + 1))
-    return [place[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def read_index(spark, path: str) -> DataFrame:
+    """An index that was stored before."""
+    return spark.read.parquet(path)
 
 
-def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of a are in b, both ascending."""
-    at = np.searchsorted(b, a)
-    return np.take(b, at, mode="clip") == a if len(b) else np.zeros(len(a), bool)
+def item_words(items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """item_id, part (a number of the passage, should an item have several) and words; repeated rows count once."""
+    kind = items.schema[item_id].dataType.simpleString()
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(t.as_py()) for t in batch.column(1)], pa.list_(pa.string()))], ["item_id", "words"])
 
-def exact_matches(postings: list[np.ndarray], item: list[int], run: int) -> np.ndarray:
-    """Document numbers with a whole run of the item's words: lists are intersected from the rarest word on, each moved back by its offset."""
-    sizes = np.array([len(postings[t]) for t in item])
-    found = []
-    for i in range(len(item) - run + 1):
-        window = sizes[i : i + run]
-        if window.min() == 0:
-            continue
-        order = np.argsort(window, kind="stable")
-        starts = postings[item[i + order[0]]] - order[0]
-        for o in order[1:]:
-            starts = starts[_within(starts, postings[item[i + o]] - o)]
-            if not len(starts):
+    found = items.select(F.col(item_id).alias("item_id"), passage).filter(F.col(passage).isNotNull()).mapInArrow(split, f"item_id {kind}, words array<string>")
+    return found.withColumn("part", F.xxhash64("words")).dropDuplicates(["item_id", "part"])
+
+
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often each of the given terms occurs in all texts; terms that don't occur are left out."""
+    return index.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _postings(lists: pa.Table) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, list]:
+    """Of a segment: numbers of its terms, edges of their postings, all postings as keys (term, place) in order, and its documents."""
+    head = lists.filter(pa.compute.is_null(lists.column("term")))
+    rest = lists.filter(pa.compute.is_valid(lists.column("term")))
+    places = rest.column("places").combine_chunks()
+    sizes = np.asarray(places.value_lengths(), np.int64)
+    keys = (np.repeat(np.arange(len(sizes)), sizes) << 32) | places.flatten().to_numpy()
+    starts = head.column("places").combine_chunks().flatten().to_numpy()
+    return {t: i for i, t in enumerate(rest.column("term").to_pylist())}, np.concatenate(([0], np.cumsum(sizes))), keys, starts, head.column("docs").combine_chunks().flatten()
+
+
+def _has(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return np.take(keys, np.searchsorted(keys, wanted), mode="clip") == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def exact_matches(keys: np.ndarray, edges: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, marks: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks and places at which a run of an item's words goes over the mark.
+
+    ``words`` are term numbers of all items one after the other (-1: not in the segment); ``marks`` are the rarest words'
+    indices in it, ``low`` and ``high`` the ends of their items. From the postings of the marks on, the lists of the
+    words beside them, moved by their offsets, are met step by step, by what is left only; all items at a time.
+    """
+    sizes = edges[words[marks] + 1] - edges[words[marks]]
+    mark = np.repeat(np.arange(len(marks)), sizes)
+    first = edges[words[marks]]
+    place = keys[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] & (2**32 - 1)
+    length = np.ones(len(mark), np.int64)
+    for way in (1, -1):
+        alive = np.arange(len(mark))
+        for d in range(1, run):
+            at = marks[mark[alive]] + way * d
+            ok = (at >= low[mark[alive]]) & (at < high[mark[alive]])
+            alive, at = alive[ok], at[ok]
+            term, to = words[at], place[alive] + way * d
+            alive = alive[(term >= 0) & (to >= 0) & _has(keys, (term << 32) | to)]
+            if not len(alive):
                 break
-        if len(starts):
-            found.append(np.unique((starts + (1 << (BITS - 1))) >> BITS))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            length[alive] += 1
+    hit = length >= run
+    return mark[hit], place[hit]
+
 
+def near_matches(postings: list[np.ndarray], first: int, least: int, reach: int) -> np.ndarray:
+    """Places of words, given rarest first, with ``least`` of them within ``reach`` words, themselves included.
 
-def near_matches(postings: list[np.ndarray], rare: list[int], least: int, reach: int) -> np.ndarray:
-    """Document numbers in which ``least`` of the given words, rarest first, lie within ``reach`` words of one of them."""
-    if len(rare) < least:
-        return np.zeros(0, np.int64)
-    # Of so many words some are left out of a match at most, so one of the first is near; only places near those are looked at.
-    first = np.concatenate([postings[t] for t in rare[: len(rare) - least + 1]])
+    Of so many words some are left out of a match at most, so one of the ``first`` is near; only places near those are
+    looked at.
+    """
+    start = np.concatenate(postings[:first])
     found = []
-    for anchor in rare:
-        a, b = np.searchsorted(postings[anchor], first - reach), np.searchsorted(postings[anchor], first + reach, "right")
+    for own in postings:
+        a, b = np.searchsorted(own, start - reach), np.searchsorted(own, start + reach, "right")
         n = b - a
-        at = postings[anchor][np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))]
+        at = own[np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))]
         near = np.zeros(len(at), int)
-        for t in rare:
-            near += np.searchsorted(postings[t], at + reach, "right") > np.searchsorted(postings[t], at - reach)
-        found.append(at[near >= least] >> BITS)
-    return np.unique(np.concatenate(found))
+        for other in postings:
+            near += np.searchsorted(other, at + reach, "right") > np.searchsorted(other, at - reach)
+        found.append(at[near >= least])
+    return np.concatenate(found)
 
 
-def term_counts(docs: DataFrame, text: str, terms: list[str]) -> dict[str, int]:
-    """How often each of the terms occurs in all texts; terms that don't occur are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+def _search(index: DataFrame, wanted: DataFrame, needed: DataFrame, match) -> DataFrame:
+    """doc_id, item_id of what ``match`` finds in each segment.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                n.update(filter(shared.value.__contains__, words_of(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+    ``wanted``: segment, item_id and what is looked for; ``needed``: segment and term. Of the index, only the postings that
+    something in their segment asks for are moved.
+    """
+    own = index.select(F.col("segment").alias("at"), "term", "places", "docs")
+    needed = needed.select(F.col("segment").alias("at"), "term").distinct()
+    lists = own.filter("term is not null").join(needed, ["at", "term"], "left_semi")
+    heads = own.filter("term is null").join(needed.select("at").distinct(), "at", "left_semi")
+    kind, item = index.schema["docs"].dataType.elementType.simpleString(), wanted.schema["item_id"].dataType.simpleString()
 
-    counts = docs.select(text).filter(F.col(text).isNotNull()).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in counts.collect()}
+    def search(lists: pa.Table, wanted: pa.Table) -> pa.Table:
+        terms, edges, keys, starts, docs = _postings(lists)
+        items, places = match(terms, edges, keys, wanted)
+        hits = np.unique(np.stack((np.searchsorted(starts, places, "right") - 1, items)), axis=1).astype(np.int64)
+        return pa.table({"doc_id": docs.take(pa.array(hits[0])), "item_id": wanted.column("item_id").take(pa.array(hits[1])).combine_chunks()})
 
+    found = lists.select("at", "term", "places", "docs").unionAll(heads.select("at", "term", "places", "docs")).groupBy("at").cogroup(wanted.groupBy("segment"))
+    return found.applyInArrow(search, f"doc_id {kind}, item_id {item}").distinct()
 
-def _search(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least_words: int, match, chosen=None) -> DataFrame:
-    """Rows (doc_id, item_id) that ``match`` finds in the segments; items are taken in blocks of bounded size.
 
-    ``chosen`` makes of a block's items, as (id, words), those words that are looked for.
-    """
-    chars = items.agg(F.sum(F.length(passage)).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(chars / PASS_CHARS))
-    kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    out = None
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).select(item_id, passage).collect()
-        split = [(r[0], w) for r in rows if len(w := words_of(r[1])) >= least_words]
-        split = chosen(split) if chosen else split
-        terms = sorted({w for _, ws in split for w in ws})
-        number = {t: i for i, t in enumerate(terms)}
-        shared = docs.sparkSession.sparkContext.broadcast([(i, [number[w] for w in ws]) for i, ws in split])
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, n=len(terms)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for ids, term, place in zip(*batch.columns, strict=True):
-                    postings = _lists(term.values.to_numpy(), place.values.to_numpy(), n)
-                    hits = [(int(d), i) for i, item in shared.value for d in match(postings, item)]
-                    columns = [ids.values.take(pa.array([d for d, _ in hits], pa.int64())), pa.array([i for _, i in hits])]
-                    if hits:
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id"])
-
-        hits = index_segments(docs, doc_id, text, terms).mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}")
-        out = hits if out is None else out.unionAll(hits)
-    return out.distinct()
-
-
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = RUN_WORDS) -> DataFrame:
+def leaked_items(index: DataFrame, items: DataFrame, item_id: str, passage: str, run: int = RUN_WORDS) -> DataFrame:
     """doc_id, item_id: documents that hold at least ``run`` consecutive words of an item's passage, each pair once.
 
-    The corpus is indexed by document: every segment holds the postings of its documents and is searched where it was
-    built, so only hits are moved. Null, empty and short texts or passages hold no run; equal passages each match;
-    repeated rows count once.
+    Every run of an item's words has a rarest one, by how often it occurs in all texts; runs with a word that occurs nowhere are
+    left out. The postings of these rarest words name the segments and places to look at; from there the lists of
+    the words beside them are intersected, moved by their offsets. Null, empty and short texts or passages hold no run;
+    equal passages each match; repeated rows count once.
     """
-    return _search(docs, doc_id, text, items, item_id, passage, run, lambda postings, item: exact_matches(postings, item, run))
-
-
-def near_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, rare: int = 10, least: int = 9, reach: int = 60) -> DataFrame:
+    if run > GAP:
+        raise ValueError(f"runs are at most {GAP} words")
+    listed = cut(item_words(items, item_id, passage).filter(F.size("words") >= run))
+    words = listed.select("item_id", "part", F.posexplode("words").alias("pos", "term"))
+    counts = cut(term_counts(index, words))
+    placed = words.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    window = Window.partitionBy("item_id", "part").orderBy("pos").rowsBetween(0, run - 1)
+    runs = placed.select("item_id", "part", F.min(F.struct("n", "pos", "term")).over(window).alias("rarest"), F.count("*").over(window).alias("k")).filter((F.col("k") == run) & (F.col("rarest.n") > 0))
+    marks = cut(runs.select("item_id", "part", "rarest.pos", "rarest.term").distinct())
+    # A segment and an item with its marks there: at most as many as the item has words.
+    met = index.select("segment", "term").join(marks, "term").groupBy("segment", "item_id", "part").agg(F.collect_set("pos").alias("marks"))
+    wanted = cut(met.withColumnRenamed("part", "p").withColumnRenamed("item_id", "i").join(listed, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("p") == F.col("part"))).select("segment", "item_id", "words", "marks"))
+    beside = wanted.select("segment", "words", F.explode("marks").alias("m")).select("segment", F.explode(F.slice("words", F.greatest(F.col("m") - (run - 1), F.lit(0)) + 1, F.lit(2 * run - 1))).alias("term"))
+
+    def match(terms: dict[str, int], edges: np.ndarray, keys: np.ndarray, wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lists, marks = wanted.column("words").combine_chunks(), wanted.column("marks").combine_chunks()
+        words = np.array([terms.get(w, -1) for w in lists.flatten().to_pylist()], np.int64)
+        ends = np.cumsum(np.asarray(lists.value_lengths(), np.int64))
+        item = np.repeat(np.arange(len(lists)), np.asarray(marks.value_lengths()))
+        low = (ends - np.asarray(lists.value_lengths(), np.int64))[item]
+        mark, place = exact_matches(keys, edges, words, low, ends[item], marks.flatten().to_numpy() + low, run)
+        return item[mark], place
+
+    return _search(index, wanted, beside, match)
+
+
+def near_items(index: DataFrame, items: DataFrame, item_id: str, passage: str, rare: int = 10, least: int = 9, reach: int = 60) -> DataFrame:
     """doc_id, item_id: documents with at least ``least`` of an item's ``rare`` rarest words within ``reach`` words of one of them.
 
     Rarity is how often a word occurs in all texts (repeated rows count repeatedly), of equal ones the lesser word is the
-    rarer; words that occur in no text don't count. The words of a block's items are counted in a pass of its own, so the
-    choice doesn't depend on partitions or segments.
+    rarer; words that occur in no text don't count. So the choice doesn't depend on partitions or segments.
     """
-
-    def chosen(split: list[tuple]) -> list[tuple]:
-        n = term_counts(docs, text, sorted({w for _, ws in split for w in ws}))
-        rarest = lambda ws: sorted({w for w in ws if w in n}, key=lambda w: (n[w], w))[:rare]
-        return [(i, r) for i, ws in split if len(r := rarest(ws)) >= least]
-
-    return _search(docs, doc_id, text, items, item_id, passage, least, lambda postings, item: near_matches(postings, item, least, reach), chosen)
+    if reach >= GAP:
+        raise ValueError(f"the reach is below {GAP} words")
+    words = item_words(items, item_id, passage).select("item_id", "part", F.explode("words").alias("term")).distinct()
+    words = cut(words)
+    counts = cut(term_counts(index, words))
+    ranked = words.join(counts, "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "part").orderBy("n", "term"))).filter(F.col("rank") <= rare)
+    chosen = ranked.groupBy("item_id", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("words")).filter(F.size("words") >= least)
+    # Of n words all but n - least are near each other, so one of the first n - least + 1 is.
+    chosen = cut(chosen.select("item_id", "part", F.transform("words", lambda w: w["term"]).alias("words"), (F.size("words") - least + 1).alias("first")))
+    first = chosen.select("item_id", "part", "words", "first", F.explode(F.slice("words", F.lit(1), F.col("first"))).alias("term"))
+    wanted = cut(index.select("segment", "term").join(first, "term").select("segment", "item_id", "part", "words", "first").distinct())
+
+    def match(terms: dict[str, int], edges: np.ndarray, keys: np.ndarray, wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        none, items, places = np.zeros(0, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        of = lambda w: keys[edges[terms[w]] : edges[terms[w] + 1]] & (2**32 - 1) if w in terms else none
+        for i, (ws, n) in enumerate(zip(wanted.column("words").to_pylist(), wanted.column("first").to_pylist(), strict=True)):
+            lists = [of(w) for w in ws]
+            if sum(len(x) > 0 for x in lists) >= least:
+                at = near_matches(lists, n, least, reach)
+                items.append(np.full(len(at), i))
+                places.append(at)
+        return np.concatenate(items), np.concatenate(places)
+
+    return _search(index, wanted.drop("part"), wanted.select("segment", F.explode("words").alias("term")), match)

@@ -36,12 +36,24 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode_corpus(p7_ids(spark, d), "doc_id", "ids")
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.build_index(_documents(spark, d), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(_documents(spark, d), "doc_id", "text", _items(spark, d), "item_id", "passage")
+    return leaks.leaked_items(_index(spark, d), _items(spark, d), "item_id", "passage")
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.near_items(_documents(spark, d), "doc_id", "text", _items(spark, d), "item_id", "passage")
+    return leaks.near_items(_index(spark, d), _items(spark, d), "item_id", "passage")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per item with an exact run and with its rare words near each other, by two searches of one index."""
+    index, items = _index(spark, d), _items(spark, d)
+    exact = leaks.leaked_items(index, items, "item_id", "passage").select("item_id", F.lit(1).alias("exact"), F.lit(0).alias("near"))
+    near = leaks.near_items(index, items, "item_id", "passage").select("item_id", F.lit(0).alias("exact"), F.lit(1).alias("near"))
+    return exact.unionAll(near).groupBy("item_id").agg(F.sum("exact").alias("docs_exact"), F.sum("near").alias("docs_near"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +65,7 @@ def p9_removable(spark: SparkSession, d: str) -> DataFrame:
     return spans.covered_words(spans.shared_runs(_documents(spark, d), "doc_id", "text", later_only=True), "repeated_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p7_roundtrip, p7_decoded, p8_found, p8_near, p9_found, p9_removable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p7_roundtrip, p7_decoded, p8_found, p8_near, p8_report, p9_found, p9_removable)}
 
 ORACLE: dict[str, str] = {
     "p7_roundtrip": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_wrong FROM documents",

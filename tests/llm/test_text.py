@@ -63,11 +63,13 @@ def test_no_documents(spark):
     none = table(spark, ["a"]).limit(0)
     assert tokens.encode_corpus(none, "doc_id", "text").count() == 0
     items = spark.createDataFrame([(1, "a " * 20)], "item_id bigint, passage string")
-    assert leaks.leaked_items(none, "doc_id", "text", items, "item_id", "passage").count() == 0
+    assert leaks.leaked_items(leaks.build_index(none, "doc_id", "text"), items, "item_id", "passage").count() == 0
     assert spans.covered_words(spans.shared_runs(none, "doc_id", "text"), "n").count() == 0
 
 
-def test_leaks_by_brute_force(spark):
+@pytest.mark.parametrize(("parts", "segment"), [(1, 1 << 21), (7, 1 << 21), (3, 200), (1, 1)])
+def test_leaks_by_brute_force(spark, monkeypatch, parts, segment):
+    monkeypatch.setattr(leaks, "SEGMENT_WORDS", segment)
     rnd = random.Random(8)
     vocab = [f"t{i}" for i in range(25)] + ["the", "of", "Ünit", "№5"]
     items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(8, 30)))) for i in range(25)] + [(100, None), (101, ""), (102, "t1 " * 40), (103, "t1 " * 12)]
@@ -87,10 +89,39 @@ def test_leaks_by_brute_force(spark):
         want |= {(d, i) for i, p in items for q in [split(p)] if any(tuple(q[k : k + 12]) in grams for k in range(len(q) - 11))}
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id bigint, text string, item_id string")
     it = spark.createDataFrame(items, "item_id bigint, passage string")
-    got = [tuple(r) for r in leaks.leaked_items(df, "doc_id", "text", it, "item_id", "passage").collect()]
+    index = leaks.build_index(df.repartition(parts), "doc_id", "text")
+    got = [tuple(r) for r in leaks.leaked_items(index, it, "item_id", "passage").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
-    near = {tuple(r) for r in leaks.near_items(df, "doc_id", "text", it, "item_id", "passage").collect()}
-    assert near
+    assert leaks.leaked_items(index, it.limit(0), "item_id", "passage").count() == 0
+
+
+def test_index_is_kept_and_read_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "b c"), (None, "a b c")], "doc_id bigint, text string")
+    leaks.build_index(df, "doc_id", "text", str(tmp_path / "index"))
+    index = leaks.read_index(spark, str(tmp_path / "index"))
+    it = spark.createDataFrame([("x", "A, b! c"), ("x", "A, b! c"), ("x", "z b c"), (None, "c d"), ("y", "c a")], "item_id string, passage string")
+    assert {tuple(r) for r in leaks.leaked_items(index, it, "item_id", "passage", run=2).collect()} == {(1, "x"), (3, "x"), (None, "x"), (1, None)}
+    assert {r["term"]: r["n"] for r in leaks.term_counts(index, spark.createDataFrame([("a",), ("a",), ("c",), ("q",)], "term string")).collect()} == {"a": 2, "c": 3}
+
+
+def test_near_items_find_planted_passages(spark):
+    """Passages with every eighth word lost or another: most are found, and little else."""
+    rnd = random.Random(31)
+    vocab = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [vocab[int(rnd.random() ** 3 * 3000)] for _ in range(n)]
+    items, docs, planted = [draw(50) for _ in range(30)], [], set()
+    for d in range(300):
+        words = draw(150)
+        if d % 3 == 0:
+            i = rnd.randrange(30)
+            noisy = [x for w in items[i] for x in ([w] if rnd.random() > 0.06 else rnd.choice([[], draw(1)]))]
+            words[40:40] = noisy
+            planted.add((d, i))
+        docs.append((d, " ".join(words)))
+    index = leaks.build_index(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, passage string")
+    got = {tuple(r) for r in leaks.near_items(index, it, "item_id", "passage").collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.95 * len(got)
 
 
 @pytest.mark.parametrize(("parts", "segment"), [(1, 1 << 21), (7, 1 << 21), (3, 200), (1, 1)])
@@ -119,7 +150,7 @@ def test_near_items_by_brute_force(spark, monkeypatch, parts, segment):
             if any(len({ws[k] for k in at if abs(k - m) <= 60}) >= 9 for m in at):
                 want.add((d, i))
     df, it = table(spark, docs).repartition(parts), spark.createDataFrame(items, "item_id bigint, passage string")
-    got = [tuple(r) for r in leaks.near_items(df, "doc_id", "text", it, "item_id", "passage").collect()]
+    got = [tuple(r) for r in leaks.near_items(leaks.build_index(df, "doc_id", "text"), it, "item_id", "passage").collect()]
     assert len(got) == len(set(got)) and set(got) == want and 20 < len(want) < 150
 
 
