@@ -19,6 +19,8 @@ from ..runtime import cut, stored
 RUN_WORDS = 12
 #: Words of documents in one segment of the index, and the greatest place in one.
 SEGMENT_WORDS, SEGMENT_SPAN = 1 << 21, 1 << 30
+#: Most words of items of which every executor gets a copy to pick postings by; beyond that they are picked by a shuffle.
+SENT_TERMS = 1 << 20
 #: Places left free between documents of a segment, so that no run and no neighbourhood goes from one into the next.
 GAP = 1 << 10
 
@@ -48,7 +50,8 @@ def build_index(docs: DataFrame, doc_id: str, text: str, path: str | None = None
 
     A segment covers some consecutive documents whole. Of each word in it there is a row (segment, term, n, places) with
     its ascending places; one more row (null term) has the segment's documents and the places at which they begin. A
-    document's place and a word's position in it make a place. Texts without words aren't in the index.
+    document's place and a word's position in it make a place; of a list the first is stored and how far each is from the
+    one before. Texts without words aren't in the index.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["segment", "term", "n", "places", "docs"]
@@ -59,10 +62,13 @@ def build_index(docs: DataFrame, doc_id: str, text: str, path: str | None = None
 
         def segment() -> Iterator[pa.RecordBatch]:
             number = pa.array([base + count])
-            yield pa.RecordBatch.from_arrays([number, pa.nulls(1, pa.string()), pa.array([len(ids)], pa.int32()), pa.array([starts], pa.list_(pa.int32())), pa.array([ids], pa.list_(id_type))], names)
+            yield pa.RecordBatch.from_arrays([number, pa.nulls(1, pa.string()), pa.array([len(ids)], pa.int32()), pa.array([np.diff(starts, prepend=0)], pa.list_(pa.int32())), pa.array([ids], pa.list_(id_type))], names)
             t = np.concatenate(terms)
             order, sizes = np.argsort(t, kind="stable"), np.bincount(t)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(places)[order]))
+            ends, sorted_places = np.cumsum(sizes), np.concatenate(places)[order]
+            steps = np.diff(sorted_places, prepend=0)
+            steps[ends[:-1]] = sorted_places[ends[:-1]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(steps.astype(np.int32)))
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, base + count)), pa.array(list(numbers), pa.string()), pa.array(sizes.astype(np.int32)), lists, pa.nulls(n, pa.list_(id_type))], names)
 
@@ -115,11 +121,13 @@ def _postings(lists: pa.Table) -> tuple[dict[str, int], np.ndarray, np.ndarray,
     """Of a segment: numbers of its terms, edges of their postings, all postings as keys (term, place) in order, and its documents."""
     head = lists.filter(pa.compute.is_null(lists.column("term")))
     rest = lists.filter(pa.compute.is_valid(lists.column("term")))
-    places = rest.column("places").combine_chunks()
-    sizes = np.asarray(places.value_lengths(), np.int64)
-    keys = (np.repeat(np.arange(len(sizes)), sizes) << 32) | places.flatten().to_numpy()
-    starts = head.column("places").combine_chunks().flatten().to_numpy()
-    return {t: i for i, t in enumerate(rest.column("term").to_pylist())}, np.concatenate(([0], np.cumsum(sizes))), keys, starts, head.column("docs").combine_chunks().flatten()
+    steps = rest.column("places").combine_chunks()
+    sizes = np.asarray(steps.value_lengths(), np.int64)
+    sums = np.concatenate(([0], np.cumsum(steps.flatten().to_numpy(), dtype=np.int64)))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    keys = (np.repeat(np.arange(len(sizes)), sizes) << 32) | (sums[1:] - np.repeat(sums[edges[:-1]], sizes))
+    starts = np.cumsum(head.column("places").combine_chunks().flatten().to_numpy(), dtype=np.int64)
+    return {t: i for i, t in enumerate(rest.column("term").to_pylist())}, edges, keys, starts, head.column("docs").combine_chunks().flatten()
 
 
 def _has(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -172,19 +180,26 @@ def near_matches(postings: list[np.ndarray], first: int, least: int, reach: int)
     return np.concatenate(found)
 
 
-def _search(index: DataFrame, wanted: DataFrame, needed: DataFrame, match) -> DataFrame:
+def _search(index: DataFrame, wanted: DataFrame, terms: DataFrame, match, sent_terms: int | None = None) -> DataFrame:
     """doc_id, item_id of what ``match`` finds in each segment.
 
-    ``wanted``: segment, item_id and what is looked for; ``needed``: segment and term. Of the index, only the postings that
-    something in their segment asks for are moved.
+    ``wanted``: segment, item_id and what is looked for; ``terms``: the words that it may take (cut). Of the index, only the
+    postings of these words move, each once.
     """
     own = index.select(F.col("segment").alias("at"), "term", "places", "docs")
-    needed = needed.select(F.col("segment").alias("at"), "term").distinct()
-    lists = own.filter("term is not null").join(needed, ["at", "term"], "left_semi")
-    heads = own.filter("term is null").join(needed.select("at").distinct(), "at", "left_semi")
+    distinct = terms.select("term").distinct()
+    small = distinct.count() <= (SENT_TERMS if sent_terms is None else sent_terms)
+    lists = own.filter("term is not null").join(F.broadcast(distinct) if small else distinct, "term", "left_semi")
+    heads = own.filter("term is null")
     kind, item = index.schema["docs"].dataType.elementType.simpleString(), wanted.schema["item_id"].dataType.simpleString()
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    nothing = pa.table({"doc_id": pa.array([], to_arrow_type(index.schema["docs"].dataType.elementType)), "item_id": pa.array([], to_arrow_type(wanted.schema["item_id"].dataType))})
+
     def search(lists: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not (lists.num_rows and wanted.num_rows):
+            return nothing
         terms, edges, keys, starts, docs = _postings(lists)
         items, places = match(terms, edges, keys, wanted)
         hits = np.unique(np.stack((np.searchsorted(starts, places, "right") - 1, items)), axis=1).astype(np.int64)
@@ -214,7 +229,8 @@ def leaked_items(index: DataFrame, items: DataFrame, item_id: str, passage: str,
     # A segment and an item with its marks there: at most as many as the item has words.
     met = index.select("segment", "term").join(marks, "term").groupBy("segment", "item_id", "part").agg(F.collect_set("pos").alias("marks"))
     wanted = cut(met.withColumnRenamed("part", "p").withColumnRenamed("item_id", "i").join(listed, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("p") == F.col("part"))).select("segment", "item_id", "words", "marks"))
-    beside = wanted.select("segment", "words", F.explode("marks").alias("m")).select("segment", F.explode(F.slice("words", F.greatest(F.col("m") - (run - 1), F.lit(0)) + 1, F.lit(2 * run - 1))).alias("term"))
+    beside = marks.select("item_id", "part", "pos").withColumnsRenamed({"item_id": "i", "part": "p"}).join(listed, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("p") == F.col("part")))
+    beside = cut(beside.select(F.explode(F.slice("words", F.greatest(F.col("pos") - (run - 1), F.lit(0)) + 1, F.least(F.col("pos"), F.lit(run - 1)) + run)).alias("term")).distinct())
 
     def match(terms: dict[str, int], edges: np.ndarray, keys: np.ndarray, wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         lists, marks = wanted.column("words").combine_chunks(), wanted.column("marks").combine_chunks()
@@ -257,4 +273,4 @@ def near_items(index: DataFrame, items: DataFrame, item_id: str, passage: str, r
                 places.append(at)
         return np.concatenate(items), np.concatenate(places)
 
-    return _search(index, wanted.drop("part"), wanted.select("segment", F.explode("words").alias("term")), match)
+    return _search(index, wanted.drop("part"), cut(chosen.select(F.explode("words").alias("term")).distinct()), match)

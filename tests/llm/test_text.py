@@ -70,6 +70,7 @@ def test_no_documents(spark):
 @pytest.mark.parametrize(("parts", "segment"), [(1, 1 << 21), (7, 1 << 21), (3, 200), (1, 1)])
 def test_leaks_by_brute_force(spark, monkeypatch, parts, segment):
     monkeypatch.setattr(leaks, "SEGMENT_WORDS", segment)
+    monkeypatch.setattr(leaks, "SENT_TERMS", 0 if parts == 7 else 1 << 20)
     rnd = random.Random(8)
     vocab = [f"t{i}" for i in range(25)] + ["the", "of", "Ünit", "№5"]
     items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(8, 30)))) for i in range(25)] + [(100, None), (101, ""), (102, "t1 " * 40), (103, "t1 " * 12)]
