@@ -65,15 +65,24 @@ def p9_removable(spark: SparkSession, d: str) -> DataFrame:
     return spans.covered_words(spans.shared_runs(_documents(spark, d), "doc_id", "text", later_only=True), "repeated_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p7_roundtrip, p7_decoded, p8_found, p8_near, p8_report, p9_found, p9_removable)}
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The texts without the sentences that a lower document has as part of a shared run."""
+    return spans.without_repeats(_documents(spark, d), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p7_roundtrip, p7_decoded, p8_found, p8_near, p8_report, p9_found, p9_removable, p9_clean)}
+
+_WINDOWS = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 62)) AS i, ws FROM w WHERE len(ws) >= 64),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 63], ' ')) AS h FROM g)"""
 
 ORACLE: dict[str, str] = {
     "p7_roundtrip": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_wrong FROM documents",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p9_found": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
-g AS (SELECT doc_id, unnest(range(1, len(ws) - 62)) AS i, ws FROM w WHERE len(ws) >= 64),
-k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 63], ' ')) AS h FROM g),
-s AS (SELECT h FROM k GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+    "p9_found": f"""{_WINDOWS}, s AS (SELECT h FROM k GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 64)) AS word FROM k WHERE h IN (SELECT h FROM s))
 SELECT doc_id, count(*) AS shared_words FROM c GROUP BY doc_id""",
+    "p9_removable": f"""{_WINDOWS}, s AS (SELECT h, min(doc_id) AS lowest FROM k GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 64)) AS word FROM k JOIN s USING (h) WHERE doc_id > lowest)
+SELECT doc_id, count(*) AS repeated_words FROM c GROUP BY doc_id""",
 }

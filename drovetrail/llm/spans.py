@@ -17,8 +17,11 @@ from ..runtime import cut
 RUN_WORDS = 64
 #: A sentence has at most so many words (longer ones are divided), and so many consecutive sentences make a span.
 SENTENCE_WORDS, SPAN_SENTENCES = 11, 3
-#: Most repeated spans (8 bytes each) of which every executor gets a copy; beyond that, candidates come through a join.
-SENT_SPANS = 1 << 23
+#: Bits of the filter of repeated spans for each of them, and its greatest size (128 MB): with more than 2**25 spans it
+#: lets more others pass, which costs work but changes no result.
+FILTER_BITS, MOST_BITS = 32, 1 << 30
+#: A window in more blocks of documents than this, or than this share of all rows, is compared in parts.
+HOT_ROWS, HOT_SPANS, HOT_PARTS = 1024, 1 << 16, 64
 #: Words that are hashed at a time, whatever the size of an Arrow batch; a longer text is hashed as a whole.
 BLOCK_WORDS = 1 << 20
 
@@ -125,7 +128,7 @@ def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """h: hashes of the runs of SPAN_SENTENCES consecutive sentences that occur in more than one document.
+    """h, n: hashes of the runs of SPAN_SENTENCES consecutive sentences that occur in more than one document, and in how many blocks.
 
     Sentences end where the text's own do, as long as they are short; longer ones are divided at words chosen by their
     content (the least hash in each window of SENTENCE_WORDS words), so equal stretches are divided alike wherever they
@@ -144,55 +147,66 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[by_place]) for x in (h[o][first], low, high)], ["h", "low", "high"])
 
     spans = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(emit, "h bigint, low bigint, high bigint")
-    return spans.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h")
+    return spans.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).filter("low < high").select("h", "n")
 
 
-def _candidate_docs(docs: DataFrame, doc_id: str, text: str, repeated: DataFrame) -> DataFrame:
-    """The documents that hold a repeated span, by a join: the way for more spans than every executor may get."""
+def span_filter(repeated: DataFrame, count: int) -> np.ndarray:
+    """A table of bits in which those of the repeated spans' hashes are set; built in parts, and at most MOST_BITS large."""
+    bits = min(max(1 << (FILTER_BITS * max(count, 1) - 1).bit_length(), 1 << 16), MOST_BITS)
+    part = min(bits, 1 << 18)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            a, b = block.spans(SENTENCE_WORDS, SPAN_SENTENCES)
-            yield pa.RecordBatch.from_arrays([pa.array(block.runs(a, b)), pa.array(block.ids[block.doc[a]])], ["h", "doc_id"])
+    def build(h: pa.Table) -> pa.Table:
+        at = h.column("h").to_numpy() & (bits - 1)
+        table = np.zeros(part, np.uint8)
+        table[at % part] = 1
+        return pa.table({"part": [int(at[0] // part)], "bits": [np.packbits(table, bitorder="little").tobytes()]})
+
+    parts = repeated.select("h").groupBy(F.floor(F.col("h").bitwiseAND(bits - 1) / part).alias("part")).applyInArrow(build, "part bigint, bits binary").toArrow()
+    table = np.zeros(bits // 8, np.uint8)
+    for p, b in zip(parts.column("part").to_pylist(), parts.column("bits"), strict=True):
+        table[p * part // 8 : (p + 1) * part // 8] = np.frombuffer(b.as_buffer(), np.uint8)
+    return table
 
-    # Spans of equal hash are spread over 16 tasks, each with a copy of the hash.
-    spread = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(emit, "h bigint, doc_id bigint").distinct().withColumn("salt", F.pmod("doc_id", F.lit(16)))
-    keys = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
-    return spread.join(keys, ["h", "salt"], "left_semi").select("doc_id").distinct()
 
+def _set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & (len(table) * 8 - 1)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = False, sent_spans: int = SENT_SPANS) -> DataFrame:
+
+def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, first, last: word positions covered by runs of RUN_WORDS words that another document has too.
 
-    Runs of consecutive sentences are hashed and joined globally; then every window of RUN_WORDS words around a repeated
-    span is checked exactly (by 96 bits of two hashes of its words). A task settles at once what several of its
+    Runs of consecutive sentences are hashed and joined globally. Every executor gets a filter of the repeated ones, of
+    bounded size; every window of RUN_WORDS words that can be shared by it is then checked exactly (by 96 bits of two
+    hashes of its words). A task settles at once what several of its
     documents share and sends on one document's window for all of them, so a window in a third of all documents is one
-    row per block. With ``later_only`` the windows of the lowest document that has them are left out: what remains is
-    what removing repeats would take. Ranges of a document may overlap.
+    row per block; windows on spans in very many blocks are compared in parts first and what the parts leave open after
+    that, so no task gets all rows of one. With ``later_only`` the windows of the lowest document that has them are left
+    out: what remains is what removing repeats would take. Ranges of a document may overlap.
     """
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     repeated = cut(repeated_spans(named, "doc_id", "text"))
-    spark = docs.sparkSession
-    known = None
-    if repeated.count() <= sent_spans:
-        known = spark.sparkContext.broadcast(np.sort(repeated.toArrow().column("h").to_numpy()))
-    else:
-        named = named.join(_candidate_docs(named, "doc_id", "text", repeated), "doc_id", "left_semi")
+    sizes = repeated.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    least = max(hot_rows, (sizes["n"] or 0) // HOT_SPANS)  # so hot spans are at most HOT_SPANS
+    hot = np.sort(repeated.filter(F.col("n") > least).select("h").toArrow().column("h").to_numpy())
+    known = docs.sparkSession.sparkContext.broadcast((span_filter(repeated, sizes["k"]), hot))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = known.value if known is not None else None
+        table, hot = known.value
         for block in _blocks(batches):
             a, b = block.spans(SENTENCE_WORDS, SPAN_SENTENCES)
-            at = None if hashes is None else np.searchsorted(hashes, h := block.runs(a, b))
-            hit = np.ones(len(a), bool) if at is None else np.take(hashes, at, mode="clip") == h if len(hashes) else np.zeros(len(a), bool)
+            h = block.runs(a, b)
+            hit = _set(table, h)
             # A shared window's inner part is divided alike in both documents: it holds a span, and only repeated ones.
             s = np.flatnonzero(_inside(block, a[hit], b[hit]) & ~_inside(block, a[~hit], b[~hit]))
             s = s[s + RUN_WORDS <= block.end[s]]
             if not len(s):
                 continue
+            crowded = np.isin(h, hot)
+            crowded = _inside(block, a[crowded], b[crowded])[s] if crowded.any() else np.zeros(len(s), bool)
             h1, h2 = block.runs(s, s + RUN_WORDS), block.runs(s, s + RUN_WORDS, 1)
             o, first = _grouped(h1)
-            s, h1, h2 = s[o], h1[o], h2[o]
+            s, h1, h2, crowded = s[o], h1[o], h2[o], crowded[o]
             ids = block.ids[block.doc[s]]
             group = np.zeros(len(s), np.int64)
             group[first[1:]] = 1
@@ -206,8 +220,9 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = Fals
                 mine = mine[~several[group[mine]] | np.isin(mine, mine[np.unique(group[mine], return_index=True)[1]], assume_unique=True)]
             mine = mine[np.argsort(s[mine])]  # rows of a document stay together, which compresses its id
             place = s - block.starts[block.doc[s]]
+            state = -np.where(several[group[mine]], 1, 0) - np.where(crowded[mine], 2, 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1[mine]), pa.array((h2[mine] << 32) | place[mine]), pa.array(ids[mine]), pa.array(np.full(len(mine), -1, np.int32), mask=~several[group[mine]])],
+                [pa.array(h1[mine]), pa.array((h2[mine] << 32) | place[mine]), pa.array(ids[mine]), pa.array(state.astype(np.int32), mask=state == 0)],
                 ["h1", "h2_first", "doc_id", "last"],
             )
             p = np.sort(s[settled])
@@ -221,17 +236,28 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = Fals
                     ["h1", "h2_first", "doc_id", "last"],
                 )
 
-    # last: null for a window yet to be settled, -1 if several documents of its block have it, else the end of a settled range.
+    # last: null for a window yet to be settled, -1 if several documents of its block have it, -2 and -3 the same of a
+    # window in very many blocks, else the end of a settled range.
     rows = named.mapInArrow(emit, "h1 bigint, h2_first bigint, doc_id bigint, last int")
-    settled = F.coalesce(F.col("last") >= 0, F.lit(False))
-    # Moved by the first hash alone, so that the second one isn't moved twice; settled ranges have hashes of their own.
-    rows = rows.repartition("h1")
-    same = Window.partitionBy("h1", F.shiftright("h2_first", 32))
-    lowest = F.min("doc_id").over(same)
-    elsewhere = F.col("doc_id") > lowest if later_only else F.min("last").over(same).isNotNull() | (F.max("doc_id").over(same) > lowest)
-    kept = rows.withColumn("keep", settled | elsewhere).filter("keep")
-    first = F.col("h2_first").bitwiseAND(2**32 - 1).cast("int")
-    return kept.select("doc_id", first.alias("first"), F.when(settled, F.col("last")).otherwise(first + (RUN_WORDS - 1)).alias("last"))
+    settled, crowded = F.coalesce(F.col("last") >= 0, F.lit(False)), F.coalesce(F.col("last") <= -2, F.lit(False))
+    several = F.max(F.coalesce(F.col("last").isin(-1, -3), F.lit(False)))
+    h2 = F.shiftright("h2_first", 32)
+    other = lambda over: F.col("doc_id") > F.min("doc_id").over(over) if later_only else several.over(over) | (F.max("doc_id").over(over) > F.min("doc_id").over(over))
+    if not len(hot):
+        # Moved by the first hash alone, so that the second one isn't moved twice; settled ranges have hashes of their own.
+        kept = rows.repartition("h1").withColumn("keep", settled | other(Window.partitionBy("h1", h2))).filter("keep")
+    else:
+        part = F.when(crowded, 1 + F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))).otherwise(0)
+        within = Window.partitionBy("h1", "part", h2)
+        first = cut(rows.withColumn("part", part).repartition("h1", "part").withColumns({"keep": settled | other(within), "head": crowded & (F.col("doc_id") == F.min("doc_id").over(within))}))
+        # A part goes on with its lowest document only, which may be open still; the others are settled.
+        heads = first.filter("head").repartition("h1")
+        across = Window.partitionBy("h1", h2)
+        again = heads.withColumn("keep", other(across) if later_only else F.max("keep").over(across) | other(across))
+        columns = ["h2_first", "doc_id", "last", "keep"]
+        kept = first.filter("not head").select(columns).unionAll(again.select(columns)).filter("keep")
+    place = F.col("h2_first").bitwiseAND(2**32 - 1).cast("int")
+    return kept.select("doc_id", place.alias("first"), F.when(settled, F.col("last")).otherwise(place + (RUN_WORDS - 1)).alias("last"))
 
 
 def _inside(block: _Block, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -266,3 +292,39 @@ def covered_words(ranges: DataFrame, count: str) -> DataFrame:
     pair = F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("last")
     lists = ranges.groupBy("doc_id").agg(F.collect_list(F.when(window, F.col("first"))).alias("single"), F.collect_list(F.when(~window, pair)).alias("longer"))
     return lists.mapInArrow(cover, f"doc_id bigint, {count} bigint")
+
+
+def without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, sentences, removed: every text without the sentences that lie wholly in runs which a lower document has too.
+
+    Sentences are the text's own: they end with a word that ends in one of . ; : ! ? and take the blanks after them along.
+    Of equal runs the lowest document's stays. Null texts stay null, texts without repeats as they are; repeated rows come
+    out repeatedly, rows without id unchanged.
+    """
+    ranges = shared_runs(docs, doc_id, text, later_only=True)
+    lists = ranges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges")).withColumnRenamed("doc_id", "of")
+    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(lists, F.col("doc_id").cast("bigint") == F.col("of"), "left").select("doc_id", "text", "ranges")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, removed = [], [], []
+            for t, rs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = list(_WORD.finditer(t or ""))
+                last = [i for i, w in enumerate(words) if w[0].endswith(_ENDS) or i == len(words) - 1]
+                counts.append(len(last))
+                covered = np.zeros(len(words) + 1, np.int64)
+                for r in rs or []:
+                    covered[r["first"]] += 1
+                    covered[r["last"] + 1] -= 1
+                sums = np.concatenate(([0], np.cumsum(np.cumsum(covered)[:-1] > 0)))
+                gone = [(a, b) for a, b in zip([0, *(i + 1 for i in last)], [i + 1 for i in last], strict=False) if sums[b] - sums[a] == b - a]
+                removed.append(len(gone))
+                out, at = [], 0
+                for a, b in gone:
+                    out.append(t[at : words[a].start()])
+                    at = words[b].start() if b < len(words) else len(t)
+                texts.append(None if t is None else "".join([*out, t[at:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "sentences", "removed"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return joined.mapInArrow(strip, f"doc_id {kind}, text string, sentences bigint, removed bigint")

@@ -186,14 +186,50 @@ def span_texts():
     return [*rows, "same " * 300, "same " * 200, "same " * 64, rows[0], rows[0], None, "", " \n", "ab ba " * 100, "x y " * 70, "x y " * 70]
 
 
-@pytest.mark.parametrize(("later_only", "sent"), [(False, 1 << 23), (True, 1 << 23), (False, 0), (True, 0)])
-def test_shared_spans_by_brute_force(spark, later_only, sent):
+@pytest.mark.parametrize(("later_only", "hot", "bits", "words"), [(False, 1024, 1 << 30, 1 << 20), (True, 1024, 1 << 30, 1 << 20), (False, 1, 1 << 30, 300), (True, 1, 1 << 30, 300), (False, 2, 1 << 16, 1), (False, 1024, 1 << 3, 1 << 20)])
+def test_shared_spans_by_brute_force(spark, monkeypatch, later_only, hot, bits, words):
+    """Also with windows compared in parts, small blocks, and a filter that lets everything pass."""
+    monkeypatch.setattr(spans, "BLOCK_WORDS", words)
+    monkeypatch.setattr(spans, "MOST_BITS", bits)
     rows = span_texts()
     df = table(spark, rows).repartition(5)
-    got = spans.covered_words(spans.shared_runs(df, "doc_id", "text", later_only, sent), "n")
+    got = spans.covered_words(spans.shared_runs(df, "doc_id", "text", later_only, hot), "n")
     assert {r["doc_id"]: r["n"] for r in got.collect()} == brute_shared(rows, later_only)
 
 
+def test_sentences_of_later_repeats_are_removed(spark):
+    rnd = random.Random(14)
+    sentence = lambda: " ".join(f"q{rnd.randrange(10**9)}" for _ in range(rnd.randrange(5, 25))) + "."
+    stock = [sentence() for _ in range(12)]
+    rows = [" \n".join([sentence(), *stock[a : a + 8], sentence()]) for a in (0, 2, 4)] + ["  ".join([*stock, "no end"]), None, "", "one. two. three", rows_of_words(80)]
+    got = {r["doc_id"]: (r["text"], r["sentences"], r["removed"]) for r in spans.without_repeats(table(spark, rows), "doc_id", "text").collect()}
+    covered = {}
+    for i, t in enumerate(rows):
+        w = re.findall(r"[^ \t\r\n]+", t or "")
+        for k in range(len(w) - 63):
+            if any(tuple(w[k : k + 64]) in covered.get(j, set()) for j in range(i)):
+                covered.setdefault((i, "at"), set()).update(range(k, k + 64))
+        covered[i] = {tuple(w[k : k + 64]) for k in range(len(w) - 63)}
+    for i, t in enumerate(rows):
+        parts = re.findall(r"[^ \t\r\n]+[ \t\r\n]*", t or "")
+        keep, at, now, gone, n = re.match(r"[ \t\r\n]*", t or "")[0], 0, [], 0, 0
+        for k, x in enumerate(parts):
+            now.append(x)
+            if x.strip().endswith((".", ";", ":", "!", "?")) or k == len(parts) - 1:
+                n += 1
+                if set(range(at, k + 1)) <= covered.get((i, "at"), set()):
+                    gone += 1
+                else:
+                    keep += "".join(now)
+                now, at = [], k + 1
+        assert got[i] == (None if t is None else keep, n, gone), i
+    assert sum(g[2] for g in got.values()) > 8
+
+
+def rows_of_words(n):
+    return " ".join(f"z{i}" for i in range(n))
+
+
 def test_blocks_are_settled_together(spark, monkeypatch):
     rows = span_texts()
     got = spans.covered_words(spans.shared_runs(table(spark, rows).coalesce(1), "doc_id", "text"), "n")
