@@ -240,9 +240,8 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, later_only: bool = Fals
     # window in very many blocks, else the end of a settled range.
     rows = named.mapInArrow(emit, "h1 bigint, h2_first bigint, doc_id bigint, last int")
     settled, crowded = F.coalesce(F.col("last") >= 0, F.lit(False)), F.coalesce(F.col("last") <= -2, F.lit(False))
-    several = F.max(F.coalesce(F.col("last").isin(-1, -3), F.lit(False)))
     h2 = F.shiftright("h2_first", 32)
-    other = lambda over: F.col("doc_id") > F.min("doc_id").over(over) if later_only else several.over(over) | (F.max("doc_id").over(over) > F.min("doc_id").over(over))
+    other = lambda over: F.col("doc_id") > F.min("doc_id").over(over) if later_only else F.coalesce(F.min("last").over(over).isin(-1, -3), F.lit(False)) | (F.max("doc_id").over(over) > F.min("doc_id").over(over))
     if not len(hot):
         # Moved by the first hash alone, so that the second one isn't moved twice; settled ranges have hashes of their own.
         kept = rows.repartition("h1").withColumn("keep", settled | other(Window.partitionBy("h1", h2))).filter("keep")
