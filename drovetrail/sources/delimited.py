@@ -6,25 +6,25 @@ import re
 import unicodedata
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.dateformats import read_date
 from ..functions.grid import add_degrees
-from .config import COORDS, REQUIRED, Config
+from .config import COORDS, PREFIX, REQUIRED, Config
 
 # Letters that normalisation doesn't take apart, and words that can't be names as they are.
 LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L", "œ": "oe", "Œ": "OE", "ı": "i"}
 RESERVED = {"if", "else", "repeat", "while", "function", "for", "next", "break", "TRUE", "FALSE", "NULL", "Inf", "NaN", "NA", "in"}
-#: Parts of a date format and the pattern letters they stand for.
-DATE_PARTS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%e": "d", "%b": "MMM", "%B": "MMMM", "%H": "HH", "%M": "mm", "%S": "ss", "%F": "yyyy-MM-dd", "%D": "MM/dd/yy"}
-
 
 def asciify(names: list[str]) -> list[str]:
     """Names in ASCII, valid and unique: other characters become points, a leading digit gets an X, repeats get .1, .2."""
     out: list[str] = []
     for name in names:
-        plain = unicodedata.normalize("NFKD", "".join(LETTERS.get(c, c) for c in name)).encode("ascii", "ignore").decode()
-        plain = re.sub(r"[^A-Za-z0-9._]", ".", plain)
+        # Letters are taken apart, their marks dropped; what has no ASCII form becomes a point each.
+        apart = unicodedata.normalize("NFKD", "".join(LETTERS.get(c, c) for c in name))
+        plain = re.sub(r"[^A-Za-z0-9._]", ".", "".join(c for c in apart if not unicodedata.combining(c)))
         if not plain or not re.match(r"[A-Za-z.]", plain) or re.match(r"\.[0-9]", plain):
             plain = f"X{plain}"
         plain = f"{plain}." if plain in RESERVED else plain
@@ -36,10 +36,42 @@ def asciify(names: list[str]) -> list[str]:
     return out
 
 
-def scan(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """A delimited file, every column as text, with names in ASCII. NA and nothing are null."""
-    df = spark.read.options(header=True, sep=options["separator"], encoding=options["encoding"], nullValue="NA", emptyValue="", inferSchema=False, multiLine=False).csv(path)
-    return df.toDF(*asciify(df.columns))
+#: Holds records whose number of fields isn't the header's.
+TORN = "__torn_record"
+
+
+def _reader(spark: SparkSession, path: str, options: dict, multi_line: bool | None) -> tuple[DataFrameReader, list[str]]:
+    """A reader of text columns and the header. Quotation marks within quotes are doubled (RFC 4180)."""
+    reader = spark.read.options(header=True, sep=options["separator"], encoding=options["encoding"], nullValue="NA", emptyValue="", quote='"', escape='"', inferSchema=False)
+    if multi_line is None:
+        # Files whose lines all have whole quotes can be split between tasks, others can't.
+        marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).filter(marks % 2 == 1).isEmpty()
+    return reader.option("multiLine", multi_line), reader.csv(path).columns
+
+
+def scan(spark: SparkSession, path: str, options: dict, multi_line: bool | None = None) -> DataFrame:
+    """A delimited file, every column as text, with names in ASCII. NA and nothing are null.
+
+    Line breaks may stand in quoted fields; by default a look at the lines finds out whether any do (``multi_line``). ValueError
+    if records have another number of fields than the header; ``scan_torn`` gives the others and those apart.
+    """
+    good, torn = scan_torn(spark, path, options, multi_line)
+    n = torn.count()
+    if n:
+        raise ValueError(f"{path}: {n} records don't have the header's {len(good.columns)} fields, the first is {torn.first()['record'][:200]!r}")
+    return good
+
+
+def scan_torn(spark: SparkSession, path: str, options: dict, multi_line: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records of a delimited file with as many fields as its header, and the others as they are (``record``)."""
+    reader, header = _reader(spark, path, options, multi_line)
+    fields = [T.StructField(c, T.StringType()) for c in header]
+    df = reader.option("columnNameOfCorruptRecord", TORN).schema(T.StructType([*fields, T.StructField(TORN, T.StringType())])).csv(path)
+    good = df.filter(F.col(TORN).isNull()).select(*(F.col(f"`{c}`") for c in header))
+    # A query of that column alone isn't allowed, so the others are named too.
+    record = F.coalesce(F.col(TORN), F.concat_ws("", *(F.col(f"`{c}`") for c in header)))
+    return good.toDF(*asciify(header)), df.filter(F.col(TORN).isNotNull()).select(record.alias("record"))
 
 
 def from_table(df: DataFrame) -> DataFrame:
@@ -65,21 +97,18 @@ def resolve(columns: list[str], cols: dict, required: tuple[str, ...]) -> dict[s
     return found
 
 
+def with_names(config: Config, kind: str, columns: list[str]) -> Config:
+    """The configuration with columns that are given by number under their names in a table; roles it lacks are left out."""
+    roles = resolve(columns, config.cols(kind), REQUIRED[kind]["cols"])
+    return Config({**config.groups, f"{PREFIX[kind]}_cols": roles})
+
+
 def number(text: Column, decimal: str) -> Column:
     """A number with the given decimal mark and no grouping mark; null where it isn't one."""
     form = rf"^\s*[+-]?(?:[0-9]+(?:{re.escape(decimal)}[0-9]*)?|{re.escape(decimal)}[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
     return F.when(text.rlike(form), F.replace(F.trim(text), F.lit(decimal), F.lit("."))).cast("double")
 
 
-def date(text: Column, form: str) -> Column:
-    """A date by format; the empty one reads year, month, day. Null where it doesn't fit."""
-    if form in ("", "%AD"):
-        parts = F.regexp_replace(text, r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})\s*$", "$1-$2-$3")
-        return F.when(text.rlike(r"^\s*[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}\s*$"), parts).try_cast("date")
-    pattern = re.sub("%.", lambda m: DATE_PARTS[m[0]], form)
-    return F.try_to_timestamp(F.trim(text), F.lit(pattern)).cast("date")
-
-
 def guess_types(df: DataFrame, columns: list[str], decimal: str) -> DataFrame:
     """Further columns by their values: logical, number, date, timestamp, else text. One job looks at all of them."""
     if not columns:
@@ -87,7 +116,7 @@ def guess_types(df: DataFrame, columns: list[str], decimal: str) -> DataFrame:
     kinds = {
         "boolean": lambda c: F.when(c.rlike("^(?:T|F|TRUE|FALSE|true|false|True|False)$"), F.upper(F.substring(c, 1, 1)) == "T"),
         "double": lambda c: number(c, decimal),
-        "date": lambda c: date(c, ""),
+        "date": lambda c: read_date(c, ""),
         "timestamp": lambda c: F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), c).try_cast("timestamp"),
     }
     tests = [F.count_if(F.col(c).isNotNull() & read(F.col(c)).isNull()).alias(f"{k}|{c}") for c in columns for k, read in kinds.items()]
@@ -111,7 +140,7 @@ def standardise(source: DataFrame, config: Config, kind: str) -> DataFrame:
     numbers = [roles[r] for r in ("weight", "herd_size", *COORDS) if r in roles and r in first]
     dates = [roles["date"]] if "date" in roles else []
     df = source.select(*(roles[r] for r in [*first, *extra]))
-    typed = {c: number(F.col(c), decimal) for c in numbers} | {c: date(F.col(c), options["date_format"]) for c in dates}
+    typed = {c: number(F.col(c), decimal) for c in numbers} | {c: read_date(F.col(c), options["date_format"]) for c in dates}
     checks = [F.count_if(F.col(c).isNotNull() & t.isNull()).alias(f"bad|{c}") for c, t in typed.items()]
     digits = [F.count_if(F.col(c).rlike("[0-9]")).alias(f"digits|{c}") for c in dates]
     if typed:

@@ -4,10 +4,12 @@ import datetime as dt
 
 import pytest
 import yaml
+from drovetrail.functions import dateformats
 from drovetrail.functions.grid import add_degrees
 from drovetrail.sources import config as C
 from drovetrail.sources import delimited as D
 from drovetrail.sources import sinks
+from pyspark.sql import functions as F
 
 MOVES = {"movedata_fileopts": {"separator": ",", "encoding": "UTF-8", "decimal": ".", "date_format": "%Y%m%d"}, "movedata_cols": {"from": "departure_cph", "to": "dest_cph", "date": "departure_date", "weight": "qty_pigs"}}
 PLACES = {"holdingdata_fileopts": {"separator": ";", "encoding": "UTF-8", "decimal": ",", "coord_EPSG_code": 27700, "country_code": "UK"}, "holdingdata_cols": {"id": "cph", "coord_x": "easting", "coord_y": "northing", "type": "kind", "herd_size": "herd"}}
@@ -17,27 +19,60 @@ def changed(tree, group, **values):
     return {g: {k: v for k, v in {**o, **(values if g == group else {})}.items() if v is not ...} for g, o in tree.items()}
 
 
-@pytest.mark.parametrize("name", ["pigs_uk", "pigs_sweden.yml"])
+@pytest.mark.parametrize("name", ["denmark", "denmark_processed", "norway.yml", "sweden", "sweden_escaped", "sweden_numbers", "scotland", "scotland_arrivals", "scotland_holdings", "scotland_both"])
 def test_bundled_configurations_are_valid(name):
     assert C.load_config(name).kinds
+    assert C.load_config("sweden") == C.load_config("sweden_escaped")
+
+
+@pytest.mark.parametrize(
+    ("form", "text", "want"),
+    [
+        ("%d-%m-%Y 00:00:00", "05-03-2021 00:00:00", (2021, 3, 5)), ("%Y%m%d", "20210305", (2021, 3, 5)), ("%x", "21/03/05", (2021, 3, 5)), ("%D", "03/05/99", (1999, 3, 5)), ("%F %T", "2021-03-05 10:11:12", (2021, 3, 5)),
+        ("%d %b %Y %I:%M %p", "5 Mar 2021 01:30 PM", (2021, 3, 5)), ("%A, %e %B %Y", "Friday,  5 March 2021", (2021, 3, 5)), ("%s", "1614902400", (2021, 3, 5)), ("%AD", "2021/3/5", (2021, 3, 5)), ("", "2021-03-05", (2021, 3, 5)),
+        ("%Y-%m-%dT%H:%M:%OS%z", "2021-03-05T01:02:03.5+0100", (2021, 3, 5)), ("%Y.%m", "2021.03", (2021, 3, 1)), ("%Y-%m-%d", "2021-02-30", None), ("%Y-%m-%d", "2021-02-03 x", None), ("%b", "xyz", None), ("", "5/3/2021", None),
+    ],
+)
+def test_date_formats(spark, form, text, want):
+    assert dateformats.is_valid(form)
+    got = spark.createDataFrame([(text,)], "t string").select(dateformats.read_date(F.col("t"), form)).first()[0]
+    assert got == (dt.date(*want) if want else None)
+
+
+@pytest.mark.parametrize("form", ["YYYY", "---", "%H:%M", "%q-%Y", "%I:%p", "%"])
+def test_formats_that_hold_no_date(form):
+    assert not dateformats.is_valid(form)
+
+
+def test_line_breaks_torn_records_and_names(spark, tmp_path):
+    path = write(tmp_path, 'departure_cph,dest_cph,departure_date,qty_pigs\na,"b\nc ""d""",20190203,5\n')
+    got = D.read_delimited(spark, path, C.Config(MOVES), "movement").collect()
+    assert [r["dest_cph"] for r in got] == ['b\nc "d"']
+    path = write(tmp_path, "x,y\n1,2\n3\n4,5,6\n7,8\n")
+    good, torn = D.scan_torn(spark, path, MOVES["movedata_fileopts"])
+    assert [tuple(r) for r in good.collect()] == [("1", "2"), ("7", "8")] and sorted(r[0] for r in torn.collect()) == ["3", "4,5,6"]
+    with pytest.raises(ValueError, match="2 records"):
+        D.scan(spark, path, MOVES["movedata_fileopts"])
+    named = D.with_names(C.load_config("sweden_numbers"), "movement", ["a", "b", "c", "d", "e", "f", "g"])
+    assert named.cols("movement") == {"from": "a", "to": "b", "date": "c", "weight": "g"}
 
 
 @pytest.mark.parametrize(
     ("tree", "what"),
     [
         (changed(MOVES, "movedata_cols", weight=...), "movedata_cols.weight"),
-        ({"movedata_cols": MOVES["movedata_cols"]}, "Missing top-level movement config key(s): movedata_fileopts"),
-        ({"other": {}}, "Top-level keys must include"),
-        (changed(MOVES, "movedata_cols", to="departure_cph"), "duplicate values: movedata_cols.from, movedata_cols.to"),
+        ({"movedata_cols": MOVES["movedata_cols"]}, "for movement data this one isn't there: movedata_fileopts"),
+        ({"other": {}}, "no group of options has a known name"),
+        (changed(MOVES, "movedata_cols", to="departure_cph"), "two roles in movedata_cols: movedata_cols.from, movedata_cols.to"),
         (changed(MOVES, "movedata_fileopts", separator=",,"), "single character"),
         (changed(MOVES, "movedata_fileopts", decimal=1), "character format: movedata_fileopts.decimal"),
         (changed(MOVES, "movedata_fileopts", date_format="YYYY"), "date format"),
-        (changed(MOVES, "movedata_cols", weight=1.5), "character or integer"),
-        (changed(MOVES, "movedata_cols", weight=None), "character or integer"),
+        (changed(MOVES, "movedata_cols", weight=1.5), "by name or number"),
+        (changed(MOVES, "movedata_cols", weight=None), "by name or number"),
         (changed(PLACES, "holdingdata_cols", coord_y=...), "holdingdata_cols.coord_y"),
         (changed(PLACES, "holdingdata_fileopts", country_code=...), "holdingdata_fileopts.country_code"),
-        (changed(PLACES, "holdingdata_fileopts", country_code="uk"), "two uppercase"),
-        (changed(PLACES, "holdingdata_fileopts", coord_EPSG_code="27700"), "integer format"),
+        (changed(PLACES, "holdingdata_fileopts", country_code="uk"), "two capitals"),
+        (changed(PLACES, "holdingdata_fileopts", coord_EPSG_code="27700"), "a whole number"),
     ],
 )
 def test_faults_are_named(tree, what):
@@ -70,7 +105,7 @@ def test_get_change_save(tmp_path):
 
 
 def test_asciify():
-    assert D.asciify(["Frånppn", "Avfärdsdatum", "a b", "a.b", "1x", "if", "", "straße", "x", "x"]) == ["Franppn", "Avfardsdatum", "a.b", "a.b.1", "X1x", "if.", "X", "strasse", "x", "x.1"]
+    assert D.asciify(["Frånppn", "Avfärdsdatum", "a b", "a.b", "1x", "if", "", "straße", "x", "x", "日本"]) == ["Franppn", "Avfardsdatum", "a.b", "a.b.1", "X1x", "if.", "X", "strasse", "x", "x.1", ".."]
 
 
 def write(tmp_path, text):
@@ -124,3 +159,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_parquet(df, str(tmp_path / "p"))
     assert spark.read.text(str(tmp_path / "g")).count() == 1 and spark.read.option("header", True).csv(str(tmp_path / "d")).first()[0] == "r<1>" and spark.read.parquet(str(tmp_path / "p")).count() == 1
     assert "r&lt;1&gt;" in sinks.html_table(df.select("ref"), "t") and "first 0" in sinks.html_table(df.select("ref"), "t", 0)
+
+
+@pytest.mark.parametrize(("epsg", "x", "y", "lon", "lat"), [(3035, 3962799.45, 2999718.85, 5.0, 50.0), (3035, 4321000.0, 3210000.0, 10.0, 52.0), (25832, 500000.0, 5538630.703, 9.0, 50.0), (3006, 500000.0, 5538630.703, 15.0, 50.0), (4258, 5.0, 50.0, 5.0, 50.0)])
+def test_nordic_and_european_grids(spark, epsg, x, y, lon, lat):
+    got = add_degrees(spark.createDataFrame([(x, y)], "x double, y double"), "x", "y", epsg, "p").first()["p"]
+    assert abs(got["lon"] - lon) < 1e-6 and abs(got["lat"] - lat) < 1e-6
