@@ -69,9 +69,9 @@ def scan_torn(spark: SparkSession, path: str, options: dict, multi_line: bool |
     fields = [T.StructField(c, T.StringType()) for c in header]
     df = reader.option("columnNameOfCorruptRecord", TORN).schema(T.StructType([*fields, T.StructField(TORN, T.StringType())])).csv(path)
     good = df.filter(F.col(TORN).isNull()).select(*(F.col(f"`{c}`") for c in header))
-    # A query of that column alone isn't allowed, so the others are named too.
-    record = F.coalesce(F.col(TORN), F.concat_ws("", *(F.col(f"`{c}`") for c in header)))
-    return good.toDF(*asciify(header)), df.filter(F.col(TORN).isNotNull()).select(record.alias("record"))
+    # A query of that column alone isn't allowed, so the condition names the others too.
+    named = F.length(F.concat_ws("", *(F.col(f"`{c}`") for c in header))) >= 0
+    return good.toDF(*asciify(header)), df.filter(F.col(TORN).isNotNull() & named).select(F.col(TORN).alias("record"))
 
 
 def from_table(df: DataFrame) -> DataFrame:
