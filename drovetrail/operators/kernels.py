@@ -7,9 +7,16 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import cut
+from .network import endpoints
+from .stats import bounded
 
 #: Path lengths that differ by less than this share are equal.
 TIE = 1e-9
+#: Most edges of a network that one task holds.
+LARGEST = 5_000_000
 
 
 def _graph(g: pd.DataFrame, directed: bool = True) -> tuple[list[str], list[list[tuple[int, float]]]]:
@@ -87,7 +94,7 @@ def pagerank(g: pd.DataFrame, damping: float = 0.85, rounds: int = 200, toleranc
     return pd.DataFrame({"id": ids, "pagerank": rank})
 
 
-def _grouped(edges: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
+def _grouped(edges: DataFrame, by: list[str], kernel, schema: str, most: int) -> DataFrame:
     kinds = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -96,13 +103,14 @@ def _grouped(edges: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
             out.insert(i, c, [k] * len(out))
         return out
 
-    return edges.groupBy(*by).applyInPandas(run, f"{kinds}, {schema}")
+    return bounded(cut(edges), by, most, "networks").groupBy(*by).applyInPandas(run, f"{kinds}, {schema}")
 
 
-def path_measures(edges: DataFrame, by: list[str], directed: bool = True, weighted: bool = True) -> DataFrame:
+def path_measures(edges: DataFrame, by: list[str], directed: bool = True, weighted: bool = True, most: int = LARGEST) -> DataFrame:
     """Betweenness, closeness and distances of every node of every network.
 
-    Each network (one group) is held by one task, so this is for periods and variants, not for one network of all data.
+    Each network (one group) is held by one task, so this is for periods and variants, not for one network of all data:
+    ValueError if one has more than ``most`` edges, as paths from every node take nodes times edges.
     An edge's length is the network's mean weight over its own (1 if unweighted); weights must be above 0.
     """
 
@@ -110,11 +118,36 @@ def path_measures(edges: DataFrame, by: list[str], directed: bool = True, weight
         g = g[g["weight"] > 0]
         return centralities(g.assign(length=g["weight"].mean() / g["weight"] if weighted else 1.0), directed)
 
-    return _grouped(edges.select(*by, "from_id", "to_id", "weight"), by, kernel, "id string, betweenness double, closeness double, reached bigint, total double, farthest double")
-
+    return _grouped(edges.select(*by, "from_id", "to_id", "weight"), by, kernel, "id string, betweenness double, closeness double, reached bigint, total double, farthest double", most)
 
-def page_ranks(edges: DataFrame, by: list[str]) -> DataFrame:
-    """PageRank (damping 0.85) of every node of every network."""
-    return _grouped(edges.select(*by, "from_id", "to_id", "weight"), by, pagerank, "id string, pagerank double")
 
+def page_ranks(edges: DataFrame, by: list[str], damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-12, most: int = LARGEST) -> DataFrame:
+    """PageRank of every node of every network, by iteration until ranks move by less than the tolerance in all.
 
+    Networks of at most ``most`` edges are held by a task each; if one is larger, all of them iterate as tables.
+    """
+    own = cut(edges.select(*by, "from_id", "to_id", "weight"))
+    largest = own.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= most:
+        return _grouped(own, by, lambda g: pagerank(g, damping, rounds, tolerance), "id string, pagerank double", most)
+    return _ranks_as_tables(own, by, damping, rounds, tolerance)
+
+
+def _ranks_as_tables(edges: DataFrame, by: list[str], damping: float, rounds: int, tolerance: float) -> DataFrame:
+    out = edges.groupBy(*by, "from_id").agg(F.sum("weight").alias("out"))
+    shares = cut(edges.groupBy(*by, "from_id", "to_id").agg(F.sum("weight").alias("w")).join(out, [*by, "from_id"]).select(*by, F.col("from_id").alias("id"), "to_id", (F.col("w") / F.col("out")).alias("share")))
+    nodes = endpoints(edges, *by)
+    size = nodes.groupBy(*by).agg(F.count("*").alias("size"))
+    placed = cut(nodes.join(size, by).join(out.select(*by, F.col("from_id").alias("id"), F.lit(False).alias("idle")), [*by, "id"], "left").select(*by, "id", "size", F.coalesce("idle", F.lit(True)).alias("idle")))
+    rank = placed.select(*by, "id", (1.0 / F.col("size")).alias("rank"))
+    for _ in range(rounds):
+        held = placed.join(rank, [*by, "id"])
+        idle = held.groupBy(*by).agg(F.sum(F.when(F.col("idle"), F.col("rank")).otherwise(0.0)).alias("lost"))
+        given = shares.join(rank, [*by, "id"]).groupBy(*by, F.col("to_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
+        new = held.join(idle, by).join(given, [*by, "id"], "left").select(*by, "id", F.col("rank").alias("old"), ((1 - damping + damping * F.col("lost")) / F.col("size") + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        new = cut(new)
+        moved = new.groupBy(*by).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).agg(F.max("d").alias("d")).first()["d"] or 0.0
+        rank = new.drop("old")
+        if moved < tolerance:
+            break
+    return rank.select(*by, "id", F.col("rank").alias("pagerank"))

@@ -77,6 +77,107 @@ def in_period(moves: DataFrame, start: str, end: str) -> DataFrame:
     return moves.filter((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date")))
 
 
+def on_date(moves: DataFrame, date: str) -> DataFrame:
+    """The movements of one day."""
+    return moves.filter(F.col("date") == F.lit(date).cast("date"))
+
+
+def real_moves(moves: DataFrame) -> DataFrame:
+    """Movements between different holdings; such with an unknown end are none."""
+    return moves.filter("from_id <> to_id")
+
+
+def self_moves(moves: DataFrame) -> DataFrame:
+    """Movements from a holding to itself."""
+    return moves.filter("from_id = to_id")
+
+
+def weight_between(moves: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Movements of a weight above 0 from low to high, both included; null weights are left out."""
+    within = F.col("weight") > 0
+    within = within if low is None else within & (F.col("weight") >= low)
+    return moves.filter(within if high is None else within & (F.col("weight") <= high))
+
+
+def _by_position(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The first columns under the names of their roles, whatever they are called; others of these names move aside."""
+    if len(df.columns) < len(names):
+        raise ValueError(f"at least {len(names)} columns are needed: {', '.join(names)}")
+    rest = [f"{c}_" if c in names else c for c in df.columns[len(names) :]]
+    return df.toDF(*names, *rest)
+
+
+def _with_unique_ids(holdings: DataFrame) -> DataFrame:
+    """Holdings by position (the first column is the id); ValueError if ids are repeated or missing."""
+    named = _by_position(holdings, ("id",))
+    bad = named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").agg(F.count("*").alias("k"), F.min("id").alias("id")).first()
+    if bad["k"]:
+        raise ValueError(f"{bad['k']} ids of holdings are repeated or missing, such as {bad['id']}")
+    return named
+
+
+def static_network(moves: DataFrame, holdings: DataFrame | None = None, keep_idle: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, the holdings' columns, active) and edges (from_id, to_id, date, weight, further columns) of a static network.
+
+    Columns have their roles by position: origin, destination, date and weight of movements, the id of holdings. Ids of
+    holdings must be unique (ValueError). Every movement is an edge, self-moves too; those with an unknown end are left out.
+    """
+    edges = _by_position(moves, ("from_id", "to_id", "date", "weight")).filter("from_id is not null and to_id is not null")
+    return harmonise(edges, None if holdings is None else _with_unique_ids(holdings), keep_idle), edges
+
+
+def temporal_network(moves: DataFrame, holdings: DataFrame | None = None, keep_idle: bool = False) -> dict[str, DataFrame]:
+    """A temporal network as tables: vertices (vertex, id, the holdings' columns, active), edge_spells, vertex_spells and key (id, vertex).
+
+    Vertices are numbered from 1; ids that are these numbers already keep them. Edge spells (onset, terminus, tail, head,
+    further columns) have no self-moves and no movements without day. Roles by position and checks as for a static network.
+    """
+    from .privacy import pseudonym_key
+
+    nodes, edges = static_network(moves, holdings, keep_idle)
+    ids = nodes.select("id")
+    if consecutive_ids(ids, "id").first()["consecutive"]:
+        key = ids.select("id", F.col("id").cast("bigint").alias("vertex"))
+    else:
+        key = pseudonym_key(ids, "id").select(F.col("old_id").alias("id"), F.col("new_id").cast("bigint").alias("vertex"))
+    number = lambda df, c: df.join(key.select(F.col("id").alias(c), F.col("vertex").alias("__v")), c).drop(c).withColumnRenamed("__v", c)
+    spells = edge_spells(edges.filter("date is not null"))
+    columns = spells.columns
+    return {
+        "vertices": nodes.join(key, "id").select("vertex", *nodes.columns),
+        "edge_spells": number(number(spells, "tail"), "head").select(*columns),
+        "vertex_spells": number(vertex_spells(edges), "vertex").select("onset", "terminus", "vertex"),
+        "key": key,
+    }
+
+
+def renumbered(moves: DataFrame, holdings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Movements and nodes under consecutive numbers (as text) instead of ids, and the key (old_id, new_id)."""
+    from .privacy import pseudonym_key, replace_ids
+
+    nodes, edges = static_network(moves, holdings, keep_idle=True)
+    key = pseudonym_key(nodes, "id")
+    return replace_ids(edges, ["from_id", "to_id"], key), replace_ids(nodes, ["id"], key), key
+
+
+def split_network(moves: DataFrame, period: str, nodes: DataFrame | None = None, keep_idle: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Networks of all periods side by side: nodes (period, id, active) and edges (the movements with a period).
+
+    With ``keep_idle`` every node (of ``nodes``, or of any period) is in every period, idle ones too. The periods, which the
+    calendar bounds, are sent to all executors.
+    """
+    edges = moves.filter(F.col(period).isNotNull())
+    active = endpoints(edges, period).withColumn("active", F.lit(True))
+    if not keep_idle:
+        return active, edges
+    periods = [r[0] for r in edges.select(period).distinct().orderBy(period).collect()]
+    every = endpoints(edges) if nodes is None else endpoints(edges).unionAll(nodes.select("id")).distinct()
+    if not periods:
+        return active, edges
+    grid = every.withColumn(period, F.explode(F.array(*map(F.lit, periods)))).select(period, "id")
+    return grid.join(active, [period, "id"], "left").select(period, "id", F.coalesce("active", F.lit(False)).alias("active")), edges
+
+
 def consecutive_ids(ids: DataFrame, id_col: str) -> DataFrame:
     """One row: whether the ids are exactly the numbers from 1 to their count."""
     number = F.when(F.col(id_col).rlike("^[0-9]{1,18}$"), F.col(id_col)).cast("bigint")

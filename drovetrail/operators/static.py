@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .network import endpoints
+from .ranks import average_ranks, quantiles
 
 
 def strength(edges: DataFrame, *by: str) -> DataFrame:
@@ -19,16 +21,10 @@ def strength(edges: DataFrame, *by: str) -> DataFrame:
     return ends.groupBy(*by, "id").agg(F.sum("o").alias("out_strength"), F.sum("i").alias("in_strength"), F.sum("od").alias("out_degree"), F.sum("id_").alias("in_degree"))
 
 
-def average_rank(value: Column, *by: str) -> Column:
-    """Rank from the highest value down; equal values share the mean of their ranks. One sort per network."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value.desc())) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def strength_rank(edges: DataFrame, *by: str) -> DataFrame:
-    """id, gm (geometric mean of both strengths), rank."""
-    gm = strength(edges, *by).withColumn("gm", F.sqrt(F.col("in_strength") * F.col("out_strength")))
-    return gm.select(*by, "id", "gm", average_rank(F.col("gm"), *by).alias("rank"))
+    """id, gm (geometric mean of both strengths), rank (1 for the highest; equal ones share the mean of their ranks)."""
+    gm = strength(edges, *by).select(*by, "id", F.sqrt(F.col("in_strength") * F.col("out_strength")).alias("gm"))
+    return average_ranks(cut(gm), list(by), "gm", "rank")
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -120,10 +116,30 @@ def jaccard(edges: DataFrame, *by: str) -> DataFrame:
     return sized.select(*by, "a", "b", (F.col("s") / (F.col("da") + F.col("db") - F.col("s"))).alias("jaccard"))
 
 
+def isolated_share(edges: DataFrame, *by: str) -> DataFrame:
+    """share: of the active nodes, those whose mean Jaccard similarity with others is 0.
+
+    Such a node shares no neighbour with any other: all its neighbours have it as their only one. So degrees suffice, no pairs are made.
+    """
+    pairs = undirected(edges, *by)
+    near = pairs.select(*by, F.col("u").alias("id"), F.col("v").alias("n")).unionAll(pairs.select(*by, F.col("v").alias("id"), F.col("u").alias("n")))
+    degree = near.groupBy(*by, F.col("id").alias("n")).agg(F.count("*").alias("d"))
+    most = near.join(degree, [*by, "n"]).groupBy(*by, "id").agg(F.max("d").alias("d"))
+    return most.groupBy(*by).agg((F.count_if(F.col("d") == 1) / F.count("*")).alias("isolated_share"))
+
+
+def degree_medians(edges: DataFrame, *by: str) -> DataFrame:
+    """way (all, in, out) and the median degree of the active nodes."""
+    s = strength(edges, *by)
+    ways = F.array(*(F.struct(F.lit(w).alias("way"), d.cast("bigint").alias("degree")) for w, d in (("all", F.col("in_degree") + F.col("out_degree")), ("in", F.col("in_degree")), ("out", F.col("out_degree")))))
+    return quantiles(s.select(*by, F.explode(ways).alias("w")).select(*by, "w.*"), [*by, "way"], "degree", {"median": 0.5})
+
+
 def component_sizes(components: DataFrame, *by: str) -> DataFrame:
     """How many components, and their largest, median and 99 % size; connected: only one."""
-    sizes = components.groupBy(*by, "component").agg(F.count("*").alias("size"))
-    return sizes.groupBy(*by).agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.percentile("size", 0.5).alias("median"), F.percentile("size", 0.99).alias("q99"), (F.count("*") == 1).alias("connected"))
+    sizes = cut(components.groupBy(*by, "component").agg(F.count("*").alias("size")))
+    q = quantiles(sizes, list(by), "size", {"median": 0.5, "q99": 0.99})
+    return sizes.groupBy(*by).agg(F.count("*").alias("components"), F.max("size").alias("largest"), (F.count("*") == 1).alias("connected")).join(q, list(by)).select(*by, "components", "largest", "median", "q99", "connected")
 
 
 def normalised_betweenness(measures: DataFrame, *by: str) -> DataFrame:

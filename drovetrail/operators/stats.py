@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dateunits import floor_date
 from ..functions.noise import STEPS, draw
+from ..runtime import cut
+from .ranks import quantiles
 
 
 def variants(moves: DataFrame, key: str, jitters: list[float], rounds: list[float], sims: int, seed: int = 1) -> DataFrame:
@@ -26,45 +30,81 @@ def variants(moves: DataFrame, key: str, jitters: list[float], rounds: list[floa
     return each.withColumn("weight", F.when(F.col("treatment") == "jittered", w + low + u * (a - low)).when(F.col("treatment") == "rounded", rounded).otherwise(w))
 
 
+def date_variants(moves: DataFrame, key: str, jitters: list[int], units: list[str], sims: int, seed: int = 1) -> DataFrame:
+    """All variants of the dates in one table: treatment (true, jittered, rounded), amount (days or unit, as text), sim and the changed date.
+
+    Jittered dates stay within the dates' range, uniformly among the whole numbers of days that allow it; rounded ones are the first
+    of their unit. One projection over the movements; noise by key, amount and simulation.
+    """
+    if any(not isinstance(j, int) or isinstance(j, bool) or j < 1 for j in jitters):
+        raise ValueError("ranges of days must be whole numbers above 0")
+    grid = [("true", "0", 0, 0), *(("jittered", str(j), s, j) for j in jitters for s in range(1, sims + 1)), *(("rounded", u, 0, 0) for u in units)]
+    kinds = F.array(*(F.struct(F.lit(t).alias("treatment"), F.lit(a).alias("amount"), F.lit(s).alias("sim"), F.lit(r).alias("__reach")) for t, a, s, r in grid))
+    span = moves.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    each = moves.filter("date is not null").withColumn("v", F.explode(kinds)).select(*moves.columns, "v.*")
+    reach, date = F.col("__reach"), F.col("date")
+    low, high = F.greatest(-reach, F.date_diff(F.lit(span["lo"]).cast("date"), date)), F.least(reach, F.date_diff(F.lit(span["hi"]).cast("date"), date))
+    u = draw(F.concat_ws("|", key, "amount", "sim"), seed, "date") / F.lit(float(STEPS))
+    moved = F.date_add(date, (low + F.floor(u * (high - low + 1))).cast("int"))
+    floors = date
+    for unit in units:
+        floors = F.when((F.col("treatment") == "rounded") & (F.col("amount") == unit), floor_date(date, unit)).otherwise(floors)
+    return each.withColumn("date", F.when(F.col("treatment") == "jittered", moved).otherwise(floors)).drop("__reach")
+
+
 def mean_over_sims(values: DataFrame, value: str, *by: str) -> DataFrame:
     return values.groupBy(*by).agg(F.avg(value).alias(value))
 
 
-def tau_b(x: list[float], y: list[float]) -> float | None:
+#: Most values of one group that a test takes: a group is held by one task.
+LARGEST = 20_000_000
+
+
+def _exchanges(y: np.ndarray) -> int:
+    """Pairs in descending order, by merging runs of double length each time; all runs at once."""
+    n = len(y)
+    rank, at, swaps, w = np.unique(y, return_inverse=True)[1].astype(np.int64), np.arange(n), 0, 1
+    while w < n:
+        run, left = at // (2 * w), (at // w) % 2 == 0
+        key = run * (n + 1) + rank
+        ordered = np.sort(key[left])
+        right = key[~left]
+        ends = np.searchsorted(ordered, (run[~left] + 1) * (n + 1))
+        swaps += int((ends - np.searchsorted(ordered, right, "right")).sum())
+        w *= 2
+    return swaps
+
+
+def tau_b(x, y) -> float | None:
     """Kendall's tau-b in n log n: discordant pairs are the exchanges of a merge sort; None if either is constant."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
-    order = sorted(range(n), key=lambda i: (x[i], y[i]))
-    ties = lambda keys: sum(k * (k - 1) // 2 for k in pd.Series(keys).value_counts())
-    pairs, tx, ty, txy = n * (n - 1) // 2, ties(x), ties(y), ties(list(zip(x, y, strict=True)))
+    ties = lambda k: sum(int(c) * (int(c) - 1) // 2 for c in k)
+    counts = lambda v: np.unique(v, axis=0, return_counts=True)[1]
+    pairs, tx, ty, txy = n * (n - 1) // 2, ties(counts(x)), ties(counts(y)), ties(counts(np.stack((x, y), 1)))
     if pairs in (tx, ty):
         return None
-
-    def sort(v: list[float]) -> tuple[list[float], int]:
-        if len(v) < 2:
-            return v, 0
-        (a, m), (b, k) = sort(v[: len(v) // 2]), sort(v[len(v) // 2 :])
-        out, i, j, swaps = [], 0, 0, m + k
-        while i < len(a) and j < len(b):
-            if b[j] < a[i]:
-                out.append(b[j])
-                j, swaps = j + 1, swaps + len(a) - i
-            else:
-                out.append(a[i])
-                i += 1
-        return out + a[i:] + b[j:], swaps
-
-    discordant = sort([y[i] for i in order])[1]
+    discordant = _exchanges(y[np.lexsort((y, x))])
     return (pairs - tx - ty + txy - 2 * discordant) / math.sqrt((pairs - tx) * (pairs - ty))
 
 
-def kendall(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """tau of two values of the same nodes, per group; a group is one network's nodes."""
+def bounded(df: DataFrame, by: list[str], most: int, what: str) -> DataFrame:
+    """The same rows; ValueError if a group has more of them than one task is meant to hold. Counts are taken before the shuffle."""
+    n = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if n > most:
+        raise ValueError(f"{what}: the largest group has {n} rows, more than the {most} that one task takes; split it or raise the bound")
+    return df
+
+
+def kendall(pairs: DataFrame, by: list[str], x: str, y: str, most: int = LARGEST) -> DataFrame:
+    """tau of two values of the same nodes, per group; a group is one network's nodes, at most ``most`` (ValueError)."""
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, tau_b(list(g[x]), list(g[y]))]], columns=[*by, "tau"])
+        return pd.DataFrame([[*key, tau_b(g[x], g[y])]], columns=[*by, "tau"])
 
-    return pairs.select(*by, x, y).dropna(subset=[x, y]).groupBy(*by).applyInPandas(run, f"{kinds}, tau double")
+    rows = cut(pairs.select(*by, x, y).dropna(subset=[x, y]))
+    return bounded(rows, by, most, "kendall").groupBy(*by).applyInPandas(run, f"{kinds}, tau double")
 
 
 def signed_rank(differences: list[float], alternative: str = "two-sided") -> tuple[float, float | None]:
@@ -95,14 +135,15 @@ def signed_rank(differences: list[float], alternative: str = "two-sided") -> tup
     return v, {"two-sided": min(1.0, 2 * min(lower, upper)), "greater": upper, "less": lower}[alternative]
 
 
-def wilcoxon(pairs: DataFrame, by: list[str], x: str, y: str, alternative: str = "two-sided") -> DataFrame:
-    """v, p of the paired test of x against y, per group."""
+def wilcoxon(pairs: DataFrame, by: list[str], x: str, y: str, alternative: str = "two-sided", most: int = LARGEST) -> DataFrame:
+    """v, p of the paired test of x against y, per group of at most ``most`` pairs (ValueError)."""
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, *signed_rank(list(g[x] - g[y]), alternative)]], columns=[*by, "v", "p"])
 
-    return pairs.select(*by, x, y).dropna(subset=[x, y]).groupBy(*by).applyInPandas(run, f"{kinds}, v double, p double")
+    rows = cut(pairs.select(*by, x, y).dropna(subset=[x, y]))
+    return bounded(rows, by, most, "wilcoxon").groupBy(*by).applyInPandas(run, f"{kinds}, v double, p double")
 
 
 def stars(p: Column) -> Column:
@@ -112,8 +153,41 @@ def stars(p: Column) -> Column:
 
 def box_stats(values: DataFrame, value: str, *by: str) -> DataFrame:
     """The numbers behind a box plot."""
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    return values.groupBy(*by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"), F.avg(value).alias("mean")).select(*by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "mean")
+    counts = cut(values.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    ends = counts.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    return ends.join(quantiles(counts, list(by), "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "n"), list(by)).select(*by, "low", "q1", "median", "q3", "high", "mean")
+
+
+def histogram(values: DataFrame, value: str, width: float, *by: str) -> DataFrame:
+    """bin (its lower end) and n: the numbers behind violins and bars; bins are multiples of a width."""
+    if not width > 0:
+        raise ValueError("the width of bins must be above 0")
+    return values.filter(F.col(value).isNotNull()).groupBy(*by, (F.floor(F.col(value) / F.lit(float(width))) * F.lit(float(width))).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def heat_map(values: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """row, column and the mean of a value: the cells of a heat map, in long form."""
+    return values.groupBy(row, column).agg(F.avg(value).alias(value))
+
+
+def wide(values: DataFrame, by: list[str], names: str, value: str, columns: list[str]) -> DataFrame:
+    """Long to wide: a column for each of the given names, null where a group lacks it (the first of several values by order)."""
+    return values.groupBy(*by).pivot(names, columns).agg(F.min(value))
+
+
+def long(values: DataFrame, by: list[str], columns: list[str], names: str = "name", value: str = "value") -> DataFrame:
+    """Wide to long: a row for each of the given columns; nulls stay."""
+    return values.unpivot(list(by), columns, names, value)
+
+
+def rounded(df: DataFrame, digits: int = 3) -> DataFrame:
+    """Doubles to so many digits (halves to even), other columns as they are."""
+    return df.select(*(F.bround(F.col(f"`{c}`"), digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def kept_treatments(values: DataFrame, treatments: list[str]) -> DataFrame:
+    """The rows of some treatments of an experiment."""
+    return values.filter(F.col("treatment").isin(treatments))
 
 
 def magnitudes(x: float) -> list[int]:

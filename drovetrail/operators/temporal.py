@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dateunits import bucket, floor_date
 from ..runtime import cut
-from .fixpoint import earliest_arrivals
+from .fixpoint import earliest_arrivals, strong_components
 from .network import endpoints
+from .ranks import quantiles
 
 
 def _totals(pairs: DataFrame) -> tuple[float, float, float]:
@@ -29,8 +30,14 @@ def activity(moves: DataFrame, start: Column, name: str = "period") -> DataFrame
     The movements are read once, into one row per period and pair, from which all counts follow. Periods without
     movements have no row; movements without date or an end don't count.
     """
-    dated = moves.filter("date is not null and from_id is not null and to_id is not null").withColumn(name, start)
-    pairs = cut(dated.groupBy(name, "from_id", "to_id").agg(F.count("*").alias("n")))
+    return _activity(cut(_dated(moves, start, name).groupBy(name, "from_id", "to_id").agg(F.count("*").alias("n"))), name)
+
+
+def _dated(moves: DataFrame, start: Column, name: str) -> DataFrame:
+    return moves.filter("date is not null and from_id is not null and to_id is not null").withColumn(name, start)
+
+
+def _activity(pairs: DataFrame, name: str) -> DataFrame:
     nodes = endpoints(pairs, name).groupBy(name).agg(F.count("*").alias("holdings_active"))
     edges = pairs.filter("from_id <> to_id").groupBy(name).agg(F.sum("n").alias("movements"), F.count("*").alias("edges"))
     n, m, e = _totals(pairs)
@@ -42,19 +49,26 @@ def activity(moves: DataFrame, start: Column, name: str = "period") -> DataFrame
     )
 
 
-def six_numbers(rows: DataFrame, by: str, value: str = "weight") -> DataFrame:
-    """min, q1, median, mean, q3 and max of a value, quantiles interpolated linearly; nulls don't count."""
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    return rows.groupBy(by).agg(F.min(value).alias("w_min"), q.alias("q"), F.avg(value).alias("w_mean"), F.max(value).alias("w_max")).select(
-        by, "w_min", F.col("q")[0].alias("w_q1"), F.col("q")[1].alias("w_median"), "w_mean", F.col("q")[2].alias("w_q3"), "w_max"
-    )
+def six_numbers(rows: DataFrame, by: str, value: str = "weight", n: str | None = None) -> DataFrame:
+    """min, q1, median, mean, q3 and max of a value, quantiles interpolated linearly; nulls don't count.
+
+    Rows are counted by value first (or by ``n`` already), so no task gets all values of a period.
+    """
+    size = F.sum(n) if n else F.count("*")
+    counts = cut(rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(size.alias("n")))
+    ends = counts.groupBy(by).agg(F.min("v").alias("w_min"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("w_mean"), F.max("v").alias("w_max"))
+    q = quantiles(counts, [by], "v", {"w_q1": 0.25, "w_median": 0.5, "w_q3": 0.75}, "n")
+    return ends.join(q, by).select(by, "w_min", "w_q1", "w_median", "w_mean", "w_q3", "w_max")
 
 
 def summary(moves: DataFrame, unit: str) -> DataFrame:
-    """Activity and the six numbers of movement weights per month, quarter or year."""
-    start = floor_date(F.col("date"), unit)
-    weights = six_numbers(moves.filter("from_id <> to_id and date is not null").withColumn("period", start), "period")
-    return activity(moves, start).join(weights, "period", "left")
+    """Activity and the six numbers of movement weights per month, quarter or year.
+
+    The movements are read once, into counts by period, pair and weight, from which both follow.
+    """
+    cells = cut(_dated(moves, floor_date(F.col("date"), unit), "period").groupBy("period", "from_id", "to_id", "weight").agg(F.count("*").alias("n")))
+    pairs = cut(cells.groupBy("period", "from_id", "to_id").agg(F.sum("n").alias("n")))
+    return _activity(pairs, "period").join(six_numbers(cells.filter("from_id <> to_id"), "period", n="n"), "period", "left")
 
 
 def grid_summary(moves: DataFrame, days: int, whole_months: bool = True) -> DataFrame:
@@ -93,9 +107,34 @@ def reach(moves: DataFrame, backward: bool = False, *by: str) -> DataFrame:
 
 
 def summarise_nodes(values: DataFrame, value: str, statistics: dict, *by: str, name_nodes: bool = False) -> DataFrame:
-    """Statistics of a node property per network, by name -> function of a column; with ``name_nodes`` also the ids of the highest."""
-    made = values.groupBy(*by).agg(*(f(F.col(value)).alias(name) for name, f in statistics.items()))
+    """Statistics of a node property per network; with ``name_nodes`` also the ids of the highest.
+
+    ``statistics`` maps names to functions of a column, or to shares, which stand for quantiles.
+    """
+    values = cut(values)
+    made = values.groupBy(*by).agg(*(f(F.col(value)).alias(name) for name, f in statistics.items() if callable(f)), F.max(value).alias("__top"))
+    if shares := {name: q for name, q in statistics.items() if not callable(q)}:
+        made = made.join(quantiles(values, list(by), value, shares), list(by), "left")
+    made = made.select(*by, *statistics, "__top")
     if not name_nodes:
-        return made
-    top = values.withColumn("m", F.max(value).over(Window.partitionBy(*by))).filter(F.col(value) == F.col("m")).groupBy(*by).agg(F.array_sort(F.collect_set("id")).alias("max_nodes"))
-    return made.join(top, list(by))
+        return made.drop("__top")
+    top = values.join(made.select(*by, F.col("__top").alias(value)), [*by, value]).groupBy(*by).agg(F.array_sort(F.collect_set("id")).alias("max_nodes"))
+    return made.drop("__top").join(top, list(by))
+
+
+def aggregation_profile(moves: DataFrame, units: list[str]) -> DataFrame:
+    """unit, period, active, edges, density, median_degree, gscc_share: the network of every period at every level of aggregation.
+
+    All levels are networks side by side. Degrees count edges both ways; gscc_share is the largest strong component's share of the
+    active nodes.
+    """
+    levels = F.array(*(F.struct(F.lit(u).alias("unit"), floor_date(F.col("date"), u).alias("period")) for u in units))
+    real = moves.filter("date is not null and from_id <> to_id")
+    edges = cut(real.select("from_id", "to_id", F.explode(levels).alias("l")).select("l.*", "from_id", "to_id").distinct())
+    by = ["unit", "period"]
+    degree = edges.select(*by, F.explode(F.array("from_id", "to_id")).alias("id")).groupBy(*by, "id").agg(F.count("*").alias("degree"))
+    middle = summarise_nodes(degree, "degree", {"active": F.count, "median_degree": 0.5}, *by)
+    size = edges.groupBy(*by).agg(F.count("*").alias("edges"))
+    strong = strong_components(edges, tuple(by)).groupBy(*by, "component").agg(F.count("*").alias("k")).groupBy(*by).agg(F.max("k").alias("gscc"))
+    dense = F.try_divide(F.col("edges").cast("double"), F.col("active") * (F.col("active") - 1))
+    return middle.join(size, by).join(strong, by).select(*by, "active", "edges", dense.alias("density"), "median_degree", (F.col("gscc") / F.col("active")).alias("gscc_share"))

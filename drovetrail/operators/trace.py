@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import warnings
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -72,10 +74,87 @@ def trace(moves: DataFrame, roots: DataFrame, max_distance: int | None = None) -
     return empty
 
 
+def trace_fast(moves: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, direction, source, destination, date: movements on contact chains, by times of arrival instead of paths.
+
+    A movement is on a chain if it leaves a holding not before something from the root can have come there (ingoing: the mirror
+    image), within the window, and doesn't go back to the root. That takes one time per root and holding, however many
+    paths there are. Of what ``trace`` gives nothing is missing; movements back to a holding that all paths passed already
+    come out too, and there are no distances.
+    """
+    found = None
+    for direction, a, b, sign in (("out", "from_id", "to_id", 1), ("in", "to_id", "from_id", -1)):
+        hops = cut(moves.filter("from_id <> to_id and date is not null").select(F.col(a).alias("u"), F.col(b).alias("v"), (F.unix_date("date") * sign).alias("t")).distinct())
+        begin, end = (f"{direction}_begin", f"{direction}_end") if sign == 1 else ("in_end", "in_begin")
+        keys = ["root", "until", "node"]
+        front = cut(roots.select("root", (F.unix_date(end) * sign).alias("until"), F.col("root").alias("node"), (F.unix_date(begin) * sign).alias("at")).groupBy(*keys).agg(F.min("at").alias("at")))
+        known = front
+        ahead = lambda df: df.join(hops, df["node"] == hops["u"]).filter((F.col("t") >= F.col("at")) & (F.col("t") <= F.col("until")) & (F.col("v") != F.col("root")))
+        while not front.isEmpty():  # ends: times only get earlier
+            new = ahead(front).groupBy("root", "until", F.col("v").alias("node")).agg(F.min("t").alias("new"))
+            merged = cut(known.join(new, keys, "full").select(*keys, F.least("at", "new").alias("at"), (F.col("new") < F.coalesce("at", F.lit(2**31 - 1))).alias("better")))
+            known, front = merged.drop("better"), merged.filter("better").drop("better")
+        own = ahead(known).select("root", F.lit(direction).alias("direction"), F.col("u" if sign == 1 else "v").alias("source"), F.col("v" if sign == 1 else "u").alias("destination"), F.date_from_unix_date(F.col("t") * sign).alias("date")).distinct()
+        found = own if found is None else found.unionAll(own)
+    return found
+
+
 def traced_moves(chains: DataFrame, moves: DataFrame) -> DataFrame:
-    """The movements on chains with their own columns and the direction; repeated movements come out repeatedly."""
-    on = chains.select("root", "direction", F.col("source").alias("from_id"), F.col("destination").alias("to_id"), "date").distinct()
-    return on.join(moves, ["from_id", "to_id", "date"])
+    """The movements on chains with their own columns and the direction; repeated movements come out repeatedly.
+
+    Every movement of a chain stays, with nulls if ``moves`` lacks it. If the chains have weights, they are matched as well.
+    """
+    keys = [F.col("source").alias("from_id"), F.col("destination").alias("to_id"), "date", *(["weight"] if "weight" in chains.columns else [])]
+    on = chains.select("root", "direction", *keys).distinct()
+    return on.join(moves, ["from_id", "to_id", "date", *(["weight"] if "weight" in chains.columns else [])], "left")
+
+
+@dataclass(frozen=True)
+class Contacts:
+    """What tracing gives: chains, movements and holdings on them, and counts per root and direction; area totals if areas were given."""
+
+    chains: DataFrame
+    moves: DataFrame
+    holdings: DataFrame
+    counts: DataFrame
+    areas_in: DataFrame | None = None
+    areas_out: DataFrame | None = None
+
+
+def chain_counts(chains: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, direction, movements, holdings, farthest: what was found of each root; 0 where nothing was."""
+    other = F.when(F.col("direction") == "out", F.col("destination")).otherwise(F.col("source"))
+    farthest = F.max("distance") if "distance" in chains.columns else F.lit(None).cast("int")
+    found = chains.groupBy("root", "direction").agg(F.count_distinct("source", "destination", "date").alias("movements"), F.count_distinct(F.when(other != F.col("root"), other)).alias("holdings"), farthest.alias("farthest"))
+    both = roots.select("root").distinct().select("root", F.explode(F.array(F.lit("in"), F.lit("out"))).alias("direction"))
+    return both.join(found, ["root", "direction"], "left").fillna(0, ["movements", "holdings"])
+
+
+def trace_contacts(
+    moves: DataFrame, holdings: DataFrame, roots: list[str], t_end: list | None = None, days: list | None = None, in_begin=None, in_end=None, out_begin=None, out_end=None,
+    max_distance: int | None = None, areas_of: DataFrame | None = None, areas: DataFrame | None = None, fast: bool = False,
+) -> Contacts | None:
+    """Contact chains of some roots in one call; None, with a warning, if there are none.
+
+    Windows are given as ``windows`` takes them; one serves all roots. Roots given repeatedly count once, with a warning. With
+    ``areas_of`` (id, area_id) and ``areas`` (area_id) the weights moved between areas along chains are summed. ``fast`` goes
+    by times of arrival instead of paths, which dense networks and long windows need; it knows no ``max_distance``.
+    """
+    if not roots:
+        raise ValueError("at least one root is needed")
+    if fast and max_distance is not None:
+        raise ValueError("fast tracing has no distances")
+    spans = windows(t_end, days, in_begin, in_end, out_begin, out_end)
+    table = roots_table(moves.sparkSession, roots, spans)
+    if len(set(roots)) < len(roots):
+        warnings.warn("some roots are given repeatedly; each counts once per window", stacklevel=2)
+    chains = cut(trace_fast(moves, table) if fast else trace(moves, table, max_distance))
+    if chains.isEmpty():
+        warnings.warn("no contact chains were found", stacklevel=2)
+        return None
+    on = traced_moves(chains, moves)
+    totals = lambda side: area_totals(on, areas_of, areas, side) if areas_of is not None and areas is not None else None
+    return Contacts(chains, on, traced_holdings(chains, holdings), chain_counts(chains, table), totals("to_area"), totals("from_area"))
 
 
 def traced_holdings(chains: DataFrame, holdings: DataFrame) -> DataFrame:
@@ -115,6 +194,13 @@ def parallel_offsets(moves: DataFrame, order: list[str]) -> DataFrame:
     return wide.withColumn("edge_no", F.row_number().over(w)).withColumn("offset", -(running - (F.col("width") + 1) / 2))
 
 
+def width_label(width: Column) -> Column:
+    """The weights that a line's width stands for: 2**k is 10**k to 10**(k+1) - 1."""
+    k = F.log2(width)
+    whole = lambda c: F.round(c).cast("bigint").cast("string")
+    return F.concat(whole(F.pow(F.lit(10.0), k)), F.lit(" to "), whole(F.pow(F.lit(10.0), k + 1) - 1))
+
+
 def colour_domain(df: DataFrame, column: str, domain: tuple[float, float] | None = None) -> tuple[float, float]:
     """The range of a column, or the given one if it covers it; ValueError if it doesn't."""
     r = df.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()

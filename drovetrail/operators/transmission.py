@@ -56,12 +56,34 @@ def combine_routes(routes: list[DataFrame]) -> DataFrame:
     return every.groupBy("i", "j").agg((1 - F.product(1 - F.col("p"))).alias("p"))
 
 
+def checked_route(route: DataFrame, name: str) -> DataFrame:
+    """i, j, p of a table of probabilities; ValueError if columns are missing, a pair is repeated, or p isn't from 0 to 1."""
+    if missing := [c for c in ("i", "j", "p") if c not in route.columns]:
+        raise ValueError(f"{name} lacks the columns {', '.join(missing)}")
+    bad = route.agg(F.count_if(F.col("p").isNull() | ~F.col("p").between(0, 1)).alias("p"), F.count_if(F.col("i").isNull() | F.col("j").isNull()).alias("ids")).first()
+    twice = not route.groupBy("i", "j").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    if bad["p"] or bad["ids"] or twice:
+        raise ValueError(f"{name}: {bad['p']} values are no probabilities, {bad['ids']} pairs lack an id{', pairs are repeated' if twice else ''}")
+    return route.select("i", "j", "p")
+
+
 def contact_matrix(moves: DataFrame, holdings: DataFrame | None = None, q: float = 0.3, others: list[DataFrame] | None = None, whole_months: bool = True) -> DataFrame:
-    """i, j, p over movements, local spread if holdings are given, and further tables of probabilities."""
-    routes = [movement_spread(moves, q, whole_months), *([local_spread(holdings)] if holdings is not None else []), *(others or [])]
+    """i, j, p over movements, local spread if holdings are given, and further tables of probabilities, which are checked."""
+    more = [checked_route(r, f"table {n}") for n, r in enumerate(others or [], 1)]
+    routes = [movement_spread(moves, q, whole_months), *([local_spread(holdings)] if holdings is not None else []), *more]
     return combine_routes(routes)
 
 
+def numbered_matrix(matrix: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The matrix with consecutive numbers instead of ids, and its key (old_id, new_id); ``ids`` (id) adds those without contacts."""
+    from .privacy import pseudonym_key, replace_ids
+
+    every = matrix.select(F.explode(F.array("i", "j")).alias("id"))
+    key = pseudonym_key(every if ids is None else every.unionAll(ids.select("id")), "id")
+    numbered = replace_ids(matrix, ["i", "j"], key)
+    return numbered.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "p"), key
+
+
 def infected_at_start(nodes: DataFrame, key: str = "id", chosen: list | None = None, share: float | None = None, seed: int = 1) -> DataFrame:
     """key, infected (0 or 1): the chosen ids, or those whose hash falls under a share."""
     from ..functions.noise import STEPS, draw

@@ -194,9 +194,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grids": lambda s, d: temporal.grids(moves(s, d)),
     "consecutive_ids": lambda s, d: network.consecutive_ids(privacy.pseudonym_key(holdings(s, d), "id").select("new_id"), "new_id"),
     "temporal_degree": degree_query("all"), "temporal_indegree": degree_query("in"), "temporal_outdegree": degree_query("out"),
-    "degree_stats": lambda s, d: rounded(temporal.summarise_nodes(temporal.temporal_degree(monthly(dense(s, d)), "all", "period"), "degree", {"median": lambda c: F.percentile(c, 0.5), "mean": F.avg, "most": F.max}, "period", name_nodes=True).withColumn("max_nodes", F.array_join("max_nodes", ","))),
+    "degree_stats": lambda s, d: rounded(temporal.summarise_nodes(temporal.temporal_degree(monthly(dense(s, d)), "all", "period"), "degree", {"median": 0.5, "mean": F.avg, "most": F.max}, "period", name_nodes=True).withColumn("max_nodes", F.array_join("max_nodes", ","))),
     "fwd_reach": reach_query(False), "bwd_reach": reach_query(True),
-    "reach_summary": lambda s, d: rounded(temporal.summarise_nodes(temporal.reach(quarter(s, d)).withColumn("network", F.lit("q1")), "reach", {"median": lambda c: F.percentile(c, 0.5), "mean": F.avg, "most": F.max}, "network")),
+    "reach_summary": lambda s, d: rounded(temporal.summarise_nodes(temporal.reach(quarter(s, d)).withColumn("network", F.lit("q1")), "reach", {"median": 0.5, "mean": F.avg, "most": F.max}, "network")),
     "earliest_arrival": lambda s, d: fixpoint.earliest_arrivals(quarter(s, d), sources=s.createDataFrame([(r,) for r in ROOTS], "source string")).select("source", "node", F.date_from_unix_date("t").alias("arrival")),
     "strength": lambda s, d: static.strength(dense_edges(s, d), "period"),
     "strength_gm_rank": lambda s, d: rounded(static.strength_rank(dense_edges(s, d), "period")),
@@ -267,7 +267,7 @@ QUERIES |= {
     "arrival_tree_whole": lambda s, d: fixpoint.arrival_tree(moves(s, d), root_rows(s)),
     "fwd_reach_quarters": lambda s, d: temporal.reach(quarters(s, d), False, "period"),
     "bwd_reach_quarters": lambda s, d: temporal.reach(quarters(s, d), True, "period"),
-    "reach_summary_quarters": lambda s, d: rounded(temporal.summarise_nodes(temporal.reach(quarters(s, d), False, "period"), "reach", {"median": lambda c: F.percentile(c, 0.5), "mean": F.avg, "most": F.max}, "period")),
+    "reach_summary_quarters": lambda s, d: rounded(temporal.summarise_nodes(temporal.reach(quarters(s, d), False, "period"), "reach", {"median": 0.5, "mean": F.avg, "most": F.max}, "period")),
     "giant_components_quarters": lambda s, d: rounded(fixpoint.giant_components(quarters(s, d), ("period",))),
     "strong_components_quarters": lambda s, d: fixpoint.strong_components(quarters(s, d), ("period",)),
     "static_reach_quarters": lambda s, d: fixpoint.closure(quarters(s, d), ("period",)).groupBy("period", F.col("source").alias("id")).agg(F.count("*").alias("reach")),

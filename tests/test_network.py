@@ -8,7 +8,7 @@ import random
 import pandas as pd
 import pytest
 from drovetrail.functions import dateunits
-from drovetrail.operators import fixpoint, kernels, network, privacy, static, stats, temporal, trace, transmission
+from drovetrail.operators import fixpoint, kernels, network, privacy, ranks, static, stats, temporal, trace, transmission
 from pyspark.sql import functions as F
 
 D0 = dt.date(2020, 1, 1)
@@ -221,3 +221,132 @@ def test_components_by_brute_force(spark):
         assert (r["active"], r["gscc"]) == (len(near), size)
         best = min(c for c in strong.values() if list(strong.values()).count(c) == size)
         assert (r["gic"], r["goc"]) == (sum(best in near[a] for a in near) - size, len(near[best]) - size)
+
+
+def test_quantiles_and_ranks(spark):
+    import numpy as np
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(30)])) for _ in range(700)] + [("one", 5), ("none", None)]
+    df = spark.createDataFrame([(g, None if v is None else float(v), f"i{k}") for k, (g, v) in enumerate(rows)], "g string, v double, id string")
+    got = {r["g"]: (r["q"], r["m"]) for r in ranks.quantiles(df, ["g"], "v", {"q": 0.13, "m": 0.5}).collect()}
+    values = {g: [v for x, v in rows if x == g and v is not None] for g in {g for g, _ in rows}}
+    assert set(got) == {g for g, v in values.items() if v} and all(np.allclose(got[g], np.quantile(values[g], [0.13, 0.5])) for g in got)
+    assert ranks.quantiles(df.filter("g = 'a'"), [], "v", {"m": 0.5}).first()["m"] == np.quantile(values["a"], 0.5) and ranks.quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+    for r in ranks.average_ranks(df, ["g"], "v", "rank").collect():
+        higher, equal = sum(v > (r["v"] or 0) for v in values[r["g"]]), sum(v == r["v"] for v in values[r["g"]])
+        assert r["rank"] == (None if r["v"] is None else higher + (equal + 1) / 2)
+    assert [r["v"] for r in ranks.top_rows(df.filter("g = 'one' or g = 'a'"), "v", 2, "id").collect()] == [29.0, 29.0]
+    small = spark.createDataFrame([("10", 3.0), ("9", 1.0), ("x", 2.0)], "id string, v double")
+    assert ranks.nth_largest(small, "v", 2, "id").first()["id"] == "x" and ranks.nth_largest(small, "v", 4, "id").count() == 0
+    assert [r["id"] for r in ranks.in_numeric_order(small, "id").collect()] == ["9", "10", "x"]
+
+
+def test_network_constructors(spark):
+    m = moves(spark, [*CYCLE, ("b", "b", 3, 1), (None, "a", 1, 1)]).withColumnRenamed("from_id", "origin")
+    hold = spark.createDataFrame([("a", "farm"), ("idle", "farm")], "cph string, kind string")
+    nodes, edges = network.static_network(m, hold)
+    assert {(r["id"], r["kind"], r["active"]) for r in nodes.collect()} == {("a", "farm", True), ("b", None, True), ("r", None, True)} and edges.count() == 4 and edges.columns[0] == "from_id"
+    assert network.static_network(m, hold, keep_idle=True)[0].count() == 4 and network.static_network(m)[0].count() == 3
+    with pytest.raises(ValueError, match="repeated"):
+        network.static_network(m, hold.unionAll(hold))
+    with pytest.raises(ValueError, match="columns"):
+        network.static_network(m.select("origin"))
+    t = network.temporal_network(m, hold, keep_idle=True)
+    key = {r["id"]: r["vertex"] for r in t["key"].collect()}
+    assert sorted(key.values()) == [1, 2, 3, 4] and {r["vertex"]: r["kind"] for r in t["vertices"].collect()}[key["idle"]] == "farm"
+    assert {(r["tail"], r["head"], r["ref"]) for r in t["edge_spells"].collect()} == {(key[a], key[b], f"r{i}") for i, (a, b, *_) in enumerate(CYCLE)} and t["vertex_spells"].count() == 7
+    numbers = network.temporal_network(moves(spark, [("1", "2", 0, 1), ("2", "3", 1, 1)]))
+    assert {(r["id"], r["vertex"]) for r in numbers["key"].collect()} == {("1", 1), ("2", 2), ("3", 3)}
+    moved, held, key = network.renumbered(m, hold)
+    names = dict(map(tuple, key.collect()))
+    assert {(r["from_id"], r["to_id"]) for r in moved.collect()} == {(names[a], names[b]) for a, b, *_ in [*CYCLE, ("b", "b")]} and {r["id"] for r in held.collect()} == set(names.values()) == {"1", "2", "3", "4"}
+    split = network.split_network(moves(spark, CYCLE).withColumn("p", F.col("date")), "p", keep_idle=True)[0]
+    assert split.count() == 9 and split.filter("active").count() == 6 and network.split_network(moves(spark, CYCLE).withColumn("p", F.col("date")), "p")[0].count() == 6
+    assert network.on_date(m.withColumnRenamed("origin", "from_id"), "2020-01-02").count() == 2 and network.weight_between(moves(spark, CYCLE), 2, 3).count() == 2
+    assert network.real_moves(moves(spark, CYCLE)).count() == 3 and network.self_moves(moves(spark, [("b", "b", 3, 1)])).count() == 1
+
+
+def test_tracing_in_one_call(spark):
+    m = moves(spark, [("r", "a", 0, 1), ("a", "b", 1, 2), ("b", "a", 2, 1), ("b", "r", 2, 3), ("z", "r", 0, 1), ("q", "w", 9, 1)])
+    hold = spark.createDataFrame([("a", "farm")], "id string, type string")
+    with pytest.warns(UserWarning, match="repeatedly"):
+        got = trace.trace_contacts(m, hold, ["r", "r", "w"], t_end=["2020-01-05"], days=[30])
+    counts = {(r["root"], r["direction"]): (r["movements"], r["holdings"], r["farthest"]) for r in got.counts.collect()}
+    assert counts == {("r", "out"): (2, 2, 2), ("r", "in"): (3, 3, 2), ("w", "in"): (0, 0, None), ("w", "out"): (0, 0, None)}
+    assert got.areas_in is None and got.moves.filter("ref is null").count() == 0
+    with pytest.warns(UserWarning, match="no contact chains"):
+        assert trace.trace_contacts(m, hold, ["w"], t_end=["2020-01-05"], days=[3]) is None
+    for bad in ({"roots": []}, {"roots": ["r"], "fast": True, "max_distance": 2}):
+        with pytest.raises(ValueError):
+            trace.trace_contacts(m, hold, t_end=["2020-01-05"], days=[30], **bad)
+    areas_of = spark.createDataFrame([("r", 1), ("a", 2), ("b", 1)], "id string, area_id int")
+    got = trace.trace_contacts(m, hold, ["r"], t_end=["2020-01-05"], days=[30], areas_of=areas_of, areas=areas_of.select("area_id").distinct(), fast=True)
+    assert {(r["source"], r["destination"]) for r in got.chains.filter("direction = 'out'").collect()} == {("r", "a"), ("a", "b"), ("b", "a")}
+    assert {r["area_id"]: r["moves"] for r in got.areas_in.collect()} == {1: 2, 2: 2}
+    assert spark.range(1).select(trace.width_label(F.lit(4.0))).first()[0] == "100 to 999"
+
+
+def test_fast_tracing_misses_nothing(spark):
+    rnd = random.Random(8)
+    m = moves(spark, [(f"v{rnd.randrange(12)}", f"v{rnd.randrange(12)}", rnd.randrange(8), 1) for _ in range(40)])
+    roots = trace.roots_table(spark, ["v0", "v1"], trace.windows(t_end=["2020-01-07"], days=[6]))
+    exact = {tuple(r) for r in trace.trace(m, roots).drop("distance").distinct().collect()}
+    fast = {tuple(r) for r in trace.trace_fast(m, roots).collect()}
+    ends = lambda rows: {(r[0], r[1], r[3] if r[1] == "out" else r[2]) for r in rows}
+    assert exact <= fast and ends(exact) == ends(fast)
+
+
+def test_ranks_as_tables_and_bounds(spark):
+    rnd = random.Random(3)
+    e = spark.createDataFrame([(p, f"v{rnd.randrange(9)}", f"v{rnd.randrange(9, 14)}" if rnd.random() < 0.3 else f"v{rnd.randrange(9)}", rnd.random()) for p in (1, 2) for _ in range(25)], "p int, from_id string, to_id string, weight double").coalesce(1)
+    small = {(r["p"], r["id"]): r["pagerank"] for r in kernels.page_ranks(e, ["p"], tolerance=1e-7).collect()}
+    large = {(r["p"], r["id"]): r["pagerank"] for r in kernels.page_ranks(e, ["p"], tolerance=1e-7, most=1).collect()}
+    assert small.keys() == large.keys() and all(math.isclose(small[k], large[k], abs_tol=1e-6) for k in small)
+    with pytest.raises(ValueError, match="largest group"):
+        kernels.path_measures(e, ["p"], most=3)
+    x = [rnd.randrange(50) for _ in range(3000)]
+    y = [a + rnd.randrange(40) for a in x]
+    a, b = (pd.Series(v).to_numpy() for v in (x, y))
+    s = [(((a[i] - a) > 0) * 2 - 1) * (a[i] != a) for i in range(len(a))], [(((b[i] - b) > 0) * 2 - 1) * (b[i] != b) for i in range(len(b))]
+    want = sum((u * v).sum() for u, v in zip(*s, strict=True)) / math.sqrt(sum(abs(u).sum() for u in s[0]) * sum(abs(v).sum() for v in s[1]))
+    assert math.isclose(stats.tau_b(x, y), want)
+
+
+def test_dates_of_variants(spark):
+    m = moves(spark, [("a", "b", d, 1) for d in (0, 5, 30, 31)])
+    made = stats.date_variants(m, "ref", [3, 10], ["month"], 2)
+    assert made.count() == 4 * (1 + 2 * 2 + 1) and made.filter("treatment = 'rounded' and day(date) <> 1").count() == 0
+    off = made.filter("treatment = 'jittered'").join(m.select("ref", F.col("date").alias("d")), "ref").collect()
+    assert all(abs((r["date"] - r["d"]).days) <= int(r["amount"]) and D0 <= r["date"] <= D0 + dt.timedelta(31) for r in off) and any(r["date"] != r["d"] for r in off)
+    assert stats.kept_treatments(made, ["true"]).count() == 4
+    with pytest.raises(ValueError):
+        stats.date_variants(m, "ref", [0], [], 1)
+
+
+def test_profile_medians_isolated(spark):
+    m = moves(spark, [*CYCLE, ("x", "y", 40, 1), ("x", "z", 41, 1), ("r", "r", 0, 1)])
+    got = {(r["unit"], str(r["period"])): (r["active"], r["edges"], r["median_degree"], r["gscc_share"]) for r in temporal.aggregation_profile(m, ["month", "year"]).collect()}
+    assert got == {("month", "2020-01-01"): (3, 3, 2.0, 1.0), ("month", "2020-02-01"): (3, 2, 1.0, 1 / 3), ("year", "2020-01-01"): (6, 5, 2.0, 0.5)}
+    e = network.simplify(m.withColumn("p", F.lit(1)), "p")
+    assert static.isolated_share(e, "p").first()["isolated_share"] == 1 / 6
+    assert {r["way"]: r["median"] for r in static.degree_medians(e, "p").collect()} == {"all": 2.0, "in": 1.0, "out": 1.0}
+    box = stats.box_stats(m.withColumn("g", F.lit(1)), "weight", "g").first()
+    assert (box["low"], box["median"], box["high"]) == (1.0, 1.0, 3.0)
+    assert {(r["bin"], r["n"]) for r in stats.histogram(m, "weight", 2.0).collect()} == {(0.0, 4), (2.0, 2)}
+    t = spark.createDataFrame([(1, "x", 2.0), (1, "y", 3.0), (2, "x", 5.12345)], "k int, name string, value double")
+    w = stats.wide(t, ["k"], "name", "value", ["x", "y"])
+    assert {tuple(r) for r in stats.long(w, ["k"], ["x", "y"]).collect()} == {tuple(r) for r in t.collect()} | {(2, "y", None)}
+    assert {r["value"] for r in stats.rounded(t).collect()} == {2.0, 3.0, 5.123} and stats.heat_map(t, "k", "name", "value").count() == 3
+
+
+def test_matrix_checks_and_numbers(spark):
+    m = moves(spark, [("x", "y", 0, 31)])
+    good = spark.createDataFrame([("y", "z", 0.5)], "i string, j string, p double")
+    matrix, key = transmission.numbered_matrix(transmission.contact_matrix(m, q=0.5, others=[good]), spark.createDataFrame([("alone",)], "id string"))
+    assert {r["new_id"] for r in key.collect()} == {"1", "2", "3", "4"} and matrix.count() == 2
+    for bad in ([("y", "z", 1.5)], [("y", None, 0.5)], [("y", "z", 0.5), ("y", "z", 0.5)]):
+        with pytest.raises(ValueError, match="table 1"):
+            transmission.contact_matrix(m, others=[spark.createDataFrame(bad, "i string, j string, p double")])
+    with pytest.raises(ValueError, match="lacks"):
+        transmission.contact_matrix(m, others=[good.drop("p")])

@@ -1,6 +1,7 @@
 """Configurations and delimited files."""
 
 import datetime as dt
+import json
 
 import pytest
 import yaml
@@ -158,6 +159,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_delimited(df.select("ref"), str(tmp_path / "d"))
     sinks.write_parquet(df, str(tmp_path / "p"))
     assert spark.read.text(str(tmp_path / "g")).count() == 1 and spark.read.option("header", True).csv(str(tmp_path / "d")).first()[0] == "r<1>" and spark.read.parquet(str(tmp_path / "p")).count() == 1
+    assert sinks.write_feature_collection(df, str(tmp_path / "c.json"), "line", ["ref"]) == 1
+    assert json.loads((tmp_path / "c.json").read_text())["features"][0]["properties"] == {"ref": "r<1>"}
+    page = sinks.report({"refs": df.select("ref")}, str(tmp_path / "report"), "a & b")
+    assert "a &amp; b" in open(page).read() and spark.read.parquet(str(tmp_path / "report" / "refs")).count() == 1
     assert "r&lt;1&gt;" in sinks.html_table(df.select("ref"), "t") and "first 0" in sinks.html_table(df.select("ref"), "t", 0)
 
 
