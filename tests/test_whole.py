@@ -72,19 +72,19 @@ def test_reach_of_every_quarter(spark, tables):
     assert len(parts) > 4
     pairs = {q: {s: set(arrivals(m, s)) for s in {x for r in m for x in r[:2]}} for q, m in parts.items()}
     forward = {(q, s, len(n)) for q, p in pairs.items() for s, n in p.items()}
-    assert got(spark, d, "fwd_reach_quarters") == forward
-    assert got(spark, d, "bwd_reach_quarters") == {(q, t, sum(t in n for n in p.values())) for q, p in pairs.items() for t in p}
-    assert {(r[0], r[3]) for r in got(spark, d, "reach_summary_quarters")} == {(q, max(len(n) for n in p.values())) for q, p in pairs.items()}
+    assert got(spark, d, "fwd_reach") == forward
+    assert got(spark, d, "bwd_reach") == {(q, t, sum(t in n for n in p.values())) for q, p in pairs.items() for t in p}
+    assert {(r[0], r[3]) for r in got(spark, d, "reach_summary")} == {(q, max(len(n) for n in p.values())) for q, p in pairs.items()}
 
 
 def test_closures_of_every_quarter(spark, tables):
     d, rows = tables
     paths = {q: closed(m) for q, m in by_quarter(rows).items()}
-    assert got(spark, d, "static_reach_quarters") == {(q, s, len(n)) for q, p in paths.items() for s, n in p.items()}
-    assert got(spark, d, "in_subcomponent_quarters") == {(q, s) for q, p in paths.items() for s, n in p.items() if "H10" in n}
+    assert got(spark, d, "static_reach") == {(q, s, len(n)) for q, p in paths.items() for s, n in p.items()}
+    assert got(spark, d, "in_subcomponent") == {(q, s) for q, p in paths.items() for s, n in p.items() if "H10" in n}
     strong = {(q, s, min(t for t in n if s in p[t])) for q, p in paths.items() for s, n in p.items()}
-    assert got(spark, d, "strong_components_quarters") == strong
-    giant = {(r[0], r[1], r[2]) for r in got(spark, d, "giant_components_quarters")}
+    assert got(spark, d, "strong_components") == strong
+    giant = {(r[0], r[1], r[2]) for r in got(spark, d, "giant_components")}
     assert giant == {(q, len(p), max(sum(s in p[t] for t in n) for s, n in p.items())) for q, p in paths.items()}
 
 
@@ -94,10 +94,10 @@ def test_components_and_arrivals_over_all_movements(spark, tables):
     assert got(spark, d, "weak_components_whole") == {(s, min(n)) for s, n in weak.items()}
     assert {r[1:3] for r in got(spark, d, "component_sizes_whole")} == {(len({min(n) for n in weak.values()}), max(map(len, weak.values())))}
     known = {s: arrivals(rows, s) for s in ("H10", "H55", "H77", "H121") if s in weak}
-    assert got(spark, d, "earliest_arrival_whole") == {(s, n, t) for s, at in known.items() for n, t in at.items()} and known
+    assert got(spark, d, "earliest_arrival") == {(s, n, t) for s, at in known.items() for n, t in at.items()} and known
     had = lambda at, n: n in at and (at[n] or dt.date.min)
     tree = {(s, n, t, min(a for a, b, day, _ in rows if (b, day) == (n, t) and a != b and had(at, a) and had(at, a) < t)) for s, at in known.items() for n, t in at.items() if t}
-    assert got(spark, d, "arrival_tree_whole") == tree
+    assert got(spark, d, "arrival_tree") == tree
 
 
 def test_geojson_has_all_movements(spark, tables):
@@ -105,14 +105,14 @@ def test_geojson_has_all_movements(spark, tables):
     assert entry.queries()["move_geojson"](spark, d).count() == len(rows)
 
 
-@pytest.mark.parametrize("name", ["harmonise_active", "harmonise_all", "idle_ids", "admin_in", "admin_out", "move_lines", "seir_events", "jaccard"])
+@pytest.mark.parametrize("name", ["harmonise_active", "harmonise_all", "idle_ids", "admin_in", "admin_out", "move_lines", "seir_events", "jaccard", "earliest_arrival", "arrival_tree", "component_sizes"])
 def test_whole_query_equals_sql(spark, tables, name):
     d, rows = tables
     con = duckdb.connect()
     for t in ("lineitem", "orders", "part", "example_admin_areas"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
-    df = entry.queries()[f"{name}_whole"](spark, d)
-    cur = con.execute(entry.oracle_sql()[f"{name}_whole"])
+    df = entry.queries()[name](spark, d)
+    cur = con.execute(entry.oracle_sql()[name])
     want = cur.fetchall()
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], want) and want
 
@@ -153,7 +153,7 @@ def test_path_measures_of_every_month(spark, tables, fold):
     assert read(name("path_measures"), "period", "id", "betweenness", "total") == want
     assert read(name("betweenness_norm"), "period", "id", "betweenness") == between
     assert read(name("closeness"), "period", "id", "closeness") == near
-    assert read("distances_whole" if fold else "distances_holdings", "period", "mean_distance", "diameter") == apart
+    assert read(name("distances"), "period", "mean_distance", "diameter") == apart
     assert read(name("mean_weighted_distance"), "period", "mean_distance") == weighted
     ranks = {}
     for r in entry.queries()[name("pagerank")](spark, d).collect():
