@@ -11,6 +11,7 @@ from ..functions import timestamps as T
 from ..functions.digits import nine_digits
 from ..operators import faults, heavy, instants, nearby, references, trailing
 from ..runtime import cut
+from . import problem_sql
 
 MOVEMENTS, HOLDINGS, AREAS, LINES, SWEDEN = "example_movement_data", "example_holding_data", "example_admin_areas", "movement_lines", "sweden"
 ZONES = {MOVEMENTS: "Europe/London", SWEDEN: "Europe/Stockholm"}
@@ -206,4 +207,5 @@ SELECT ref_field, cph, count(*) AS n, CAST(sum(pigs) AS BIGINT) AS pigs, count(*
     "p6_near_places": f"""WITH {_PLACES}, spots AS (SELECT DISTINCT lon, lat FROM places)
 SELECT a.lon AS xa, a.lat AS ya, b.lon AS xb, b.lat AS yb FROM spots a JOIN spots b ON (a.lon, a.lat) < (b.lon, b.lat) AND b.lat BETWEEN a.lat - 0.00136 AND a.lat + 0.00136 AND {_METRES} <= 150""",
     "p6_place_members": f"WITH {_PLACES} SELECT cph, lon, lat, count(*) OVER (PARTITION BY lon, lat) AS holdings FROM places",
+    **problem_sql.ORACLE,
 }

@@ -12,7 +12,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [
     "summary_month", "summary_quarter", "summary_28d", "round_dates_season", "round_dates_aggs", "jitter_dates", "jitter_weights", "pseudonym_key_extend", "harmonise_all", "snapshot_collapse", "grids",
     "fwd_reach", "bwd_reach", "giant_components", "weak_components", "trace", "strength_gm_rank", "strength_assortativity", "loyalty", "transitivity", "kendall_strength", "local_spread", "combine_routes", "effect_experiment",
-    "admin_in", "p1_found", "p1_report", "p3_found", "p3_per_holding", "p6_found", "p6_near_places", "p6_place_members",
+    "admin_in", "p1_found", "p1_report", "p3_found", "p3_per_holding", "p6_found", "p6_near_places", "p6_place_members", "p2_found", "p4_found", "p4_valid", "p5_found", "trace_fast", "date_experiment", "degree_medians", "isolated_share", "step_quantiles", "max_node_overlap", "closeness", "strong_components",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
