@@ -16,6 +16,8 @@ from .network import endpoints
 
 #: Deltas that are kept apart before they are merged into one table.
 DELTAS = 8
+#: Steps that are taken between two looks at whether anything is left: a job for each would cost more than the steps.
+STEPS = 3
 
 
 def _compact(deltas: list[DataFrame], keys: list[str], least: str | None = None) -> list[DataFrame]:
@@ -95,8 +97,11 @@ def reachable(arcs: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), backw
     front = cut(seeds.select(*by, "root", F.col("root").alias("id")).distinct())
     deltas = [front]
     while not front.isEmpty():
-        found = front.join(hops, [*by, "id"]).select(*by, "root", F.col("next").alias("id")).distinct()
-        front = cut(found.join(reduce(DataFrame.unionAll, deltas), [*by, "root", "id"], "left_anti"))
+        found, ahead = None, front
+        for _ in range(STEPS):
+            ahead = ahead.join(hops, [*by, "id"]).select(*by, "root", F.col("next").alias("id")).distinct()
+            found = ahead if found is None else found.unionAll(ahead)
+        front = cut(found.distinct().join(reduce(DataFrame.unionAll, deltas), [*by, "root", "id"], "left_anti"))
         deltas = _compact([*deltas, front], [*by, "root", "id"])
     return reduce(DataFrame.unionAll, deltas)
 
@@ -150,14 +155,20 @@ def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     while not live.isEmpty():
         size = -1
         while size != (size := live.count()):
-            live = cut(live.join(live.select(*by, F.col("u").alias("v")).distinct(), [*by, "v"], "left_semi").join(live.select(*by, F.col("v").alias("u")).distinct(), [*by, "u"], "left_semi").select(*by, "u", "v"))
+            for _ in range(STEPS):
+                live = live.join(live.select(*by, F.col("u").alias("v")).distinct(), [*by, "v"], "left_semi").join(live.select(*by, F.col("v").alias("u")).distinct(), [*by, "u"], "left_semi").select(*by, "u", "v")
+            live = cut(live)
         if not size:
             break
         nodes = live.select(*by, F.explode(F.array("u", "v")).alias("id")).distinct()
         colours = cut(nodes.withColumn("colour", F.col("id")))
         front = colours
         while not front.isEmpty():
-            sent = front.select(*by, F.col("id").alias("u"), "colour").join(live, [*by, "u"]).groupBy(*by, F.col("v").alias("id")).agg(F.min("colour").alias("low"))
+            sent, ahead = None, front
+            for _ in range(STEPS):
+                ahead = ahead.select(*by, F.col("id").alias("u"), "colour").join(live, [*by, "u"]).groupBy(*by, F.col("v").alias("id")).agg(F.min("colour").alias("colour"))
+                sent = ahead if sent is None else sent.unionAll(ahead)
+            sent = sent.groupBy(*by, "id").agg(F.min("colour").alias("low"))
             step = cut(colours.join(sent, [*by, "id"], "left").select(*by, "id", F.least("colour", "low").alias("colour"), F.coalesce(F.col("low") < F.col("colour"), F.lit(False)).alias("moved")))
             colours, front = step.drop("moved"), step.filter("moved").drop("moved")
         within = cut(live.join(colour_of(colours, "u"), [*by, "u"]).join(colour_of(colours, "v"), [*by, "v"]).filter("u_colour = v_colour").select(*by, "u", "v"))
