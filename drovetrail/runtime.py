@@ -34,7 +34,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    kept = df.checkpoint(eager)
+    # The optimizer's guess of the size stays with a checkpoint, and that of a join is a product: over the rounds of a loop it
+    # would become a number of millions of digits, which take longer to multiply than the rounds. Beyond any size it is dropped.
+    if kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 2**62:
+        jvm = kept.sparkSession._jsparkSession
+        kept = DataFrame(jvm.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), kept.sparkSession)
+    return kept
 
 
 def fresh(name: str) -> str:
