@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, stored
+from . import digraphs
 from .network import endpoints
 
 #: Deltas that are kept apart before they are merged into one table.
@@ -70,6 +71,11 @@ def _arcs(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return edges.filter("from_id <> to_id").select(*by, F.col("from_id").alias("u"), F.col("to_id").alias("v")).distinct()
 
 
+def _links(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, u, v: distinct directed edges; what is only on one side of an edge, or moves to itself, stands as a row to itself."""
+    return edges.select(*by, F.coalesce("from_id", "to_id").alias("u"), F.coalesce("to_id", "from_id").alias("v")).filter("u is not null").distinct()
+
+
 def closure(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """source, node: all pairs joined by a directed path, every node with itself.
 
@@ -143,13 +149,27 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, by: tuple[
     return placed.join(least, [*by, "root"]).select(*by, "id", "component")
 
 
-def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def strong_components(edges: DataFrame, by: tuple[str, ...] = (), most: int = digraphs.LARGEST) -> DataFrame:
     """id, component (its least id): nodes that reach each other.
 
+    A network of at most ``most`` distinct edges is searched by one task, in time that follows its edges; rounds over
+    tables, as many as paths are long, are for larger ones only.
+    """
+    if not by:
+        return strong_components(edges.withColumn("__all", F.lit(1)), ("__all",), most).drop("__all")
+    held, large = digraphs.divided(stored(_links(edges, by), "links"), by, most)
+    found = digraphs.strong(held, by)
+    return found if large is None else found.unionAll(_strong_as_tables(large, by))
+
+
+def _strong_as_tables(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The same by rounds.
+
     Nodes without an edge in or out are components of their own and are trimmed until none is left. Of the others each
     takes the least node that reaches it as its colour; of a colour, those that reach that node are a component. They
     are taken out and the rest, edges within a colour only, goes round again. No pairs of nodes are made.
     """
+    edges = links.withColumnsRenamed({"u": "from_id", "v": "to_id"})
     live, done = cut(_arcs(edges, by)), []
     colour_of = lambda colours, c: colours.select(*by, F.col("id").alias(c), F.col("colour").alias(f"{c}_colour"))
     while not live.isEmpty():
@@ -183,20 +203,30 @@ def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return every.join(large, [*by, "id"], "left").select(*by, "id", F.coalesce("component", "id").alias("component"))
 
 
-def giant_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sizes of the largest strong component (of equal ones that with the least id), and of what reaches it or is reached from it from outside."""
+def giant_components(edges: DataFrame, by: tuple[str, ...] = (), most: int = digraphs.LARGEST) -> DataFrame:
+    """Sizes of the largest strong component (of equal ones that with the least id), and of what reaches it or is reached from it from outside.
+
+    Networks of at most ``most`` distinct edges are searched by one task each, larger ones in rounds over tables.
+    """
     if not by:
-        return giant_components(edges.withColumn("__all", F.lit(1)), ("__all",)).drop("__all")
-    strong = cut(strong_components(edges, by))
+        return giant_components(edges.withColumn("__all", F.lit(1)), ("__all",), most).drop("__all")
+    held, large = digraphs.divided(stored(_links(edges, by), "links"), by, most)
+    joined = digraphs.giant(held, by)
+    if large is not None:
+        joined = joined.unionByName(_giant_as_tables(large, by))
+    size = lambda c: (F.col(c) / F.col("active")).alias
+    sized = joined.withColumn("gic", F.col("reaching") - F.col("gscc")).withColumn("goc", F.col("reached") - F.col("gscc"))
+    return sized.select(*by, "active", "gscc", "gic", "goc", size("gscc")("gscc_share"), size("gic")("gic_share"), size("goc")("goc_share"))
+
+
+def _giant_as_tables(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    strong = cut(_strong_as_tables(links, by))
     sizes = strong.groupBy(*by, "component").agg(F.count("*").alias("size"))
     # The largest and, of equal ones, the least.
     root = cut(sizes.groupBy(*by).agg(F.max("size").alias("gscc")).join(sizes, list(by)).filter("size = gscc").groupBy(*by, "gscc").agg(F.min("component").alias("root")))
     # Whoever reaches the root reaches the whole component, and the other way round.
-    arcs = cut(_arcs(edges, by))
+    arcs = links.filter("u <> v")
     into = reachable(arcs, root, by, backward=True).groupBy(*by).agg(F.count("*").alias("reaching"))
     outof = reachable(arcs, root, by).groupBy(*by).agg(F.count("*").alias("reached"))
     active = strong.groupBy(*by).agg(F.count("*").alias("active"))
-    joined = root.join(into, list(by)).join(outof, list(by)).join(active, list(by))
-    size = lambda c: (F.col(c) / F.col("active")).alias
-    sized = joined.withColumn("gic", F.col("reaching") - F.col("gscc")).withColumn("goc", F.col("reached") - F.col("gscc"))
-    return sized.select(*by, "active", "gscc", "gic", "goc", size("gscc")("gscc_share"), size("gic")("gic_share"), size("goc")("goc_share"))
+    return root.join(into, list(by)).join(outof, list(by)).join(active, list(by)).select(*by, "active", "gscc", "reaching", "reached")
