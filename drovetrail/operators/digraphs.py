@@ -37,7 +37,7 @@ def numbered(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     ends = [t.column(c) for c in ("u", "v")]
     ids = pc.unique(pa.chunked_array([x for e in ends for x in e.chunks], ends[0].type))
     ids = ids.take(pc.sort_indices(ids))
-    u, v = (pc.index_in(e, ids).to_numpy() for e in ends)
+    u, v = (pc.index_in(e, ids).to_numpy().astype(np.int64) for e in ends)
     return ids, u, v
 
 
@@ -102,15 +102,17 @@ def least_of_strong(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return least
 
 
-def reached(starts: list[int], heads: list[int], root: int) -> list[int]:
-    """What root reaches, itself first."""
-    seen, found = bytearray(len(starts) - 1), [root]
+def reached(starts: list[int], heads: list[int], root: int, seen: bytearray | None = None) -> list[int]:
+    """What root reaches, itself first. ``seen`` is a byte of 0 for each node, and is so again afterwards."""
+    seen, found = bytearray(len(starts) - 1) if seen is None else seen, [root]
     seen[root] = 1
     for x in found:
         for y in heads[starts[x] : starts[x + 1]]:
             if not seen[y]:
                 seen[y] = 1
                 found.append(y)
+    for x in found:
+        seen[x] = 0
     return found
 
 
@@ -149,3 +151,101 @@ def giant(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
         return {c: pa.array([x], pa.int64()) for c, x in row.items()}
 
     return per_network(links, by, [StructField(c, LongType()) for c in ("active", "gscc", "reaching", "reached")], kernel)
+
+
+def from_roots(links: DataFrame, seeds: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, root, id: what each of the seeds (by, root) reaches, itself included."""
+    kind = links.schema["u"].dataType
+    schema = StructType([links.schema[c] for c in by] + [StructField("root", kind), StructField("id", kind)])
+
+    def run(key: tuple, t: pa.Table, s: pa.Table) -> pa.Table:
+        roots = pc.unique(s.column("root"))
+        if not len(roots):
+            t = t.slice(0, 0)
+        ids, u, v = numbered(t.select(["u", "v"]))
+        at = pc.index_in(roots, ids).to_pylist()
+        starts, heads = lists(len(ids), u, v)
+        seen = bytearray(len(ids))
+        found = [(k, reached(starts, heads, i, seen)) for k, i in enumerate(at) if i is not None]
+        alone = roots.filter(pa.array([i is None for i in at], pa.bool_()))  # seeds that have no arcs
+        root = roots.take(pa.array(np.repeat([k for k, _ in found], [len(x) for _, x in found]).astype(np.int64)))
+        id_ = ids.take(pa.array([i for _, x in found for i in x], pa.int64()))
+        columns = {"root": pa.chunked_array([root, alone], roots.type), "id": pa.chunked_array([id_, alone], roots.type)}
+        return pa.table({**{c: pa.repeat(k, len(columns["id"])) for c, k in zip(by, key, strict=True)}, **columns})
+
+    return links.groupBy(*by).cogroup(seeds.groupBy(*by)).applyInArrow(run, schema)
+
+
+def reach_sizes_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How many nodes each node reaches, itself included.
+
+    Strong components count as one. In each weakly connected part the largest of them is its hub: whatever reaches the
+    hub reaches all that the hub does, and only what it reaches beside that is searched for. A node with a single way on
+    has one more than that; only where ways part, sets are searched, one source at a time. Time is thus at most that of
+    all pairs; memory follows the arcs.
+    """
+    own, made = in_turn(n, u, v)
+    own = np.array(own)
+    size = np.bincount(own, minlength=made)
+    cu, cv = own[u], own[v]
+    pairs = np.unique((cu * made + cv)[cu != cv])
+    cu, cv = pairs // made, pairs % made
+    starts, heads = lists(made, cu, cv)  # arcs lead to lower numbers
+    part = list(range(made))
+
+    def top(x: int) -> int:
+        while part[x] != x:
+            part[x] = x = part[part[x]]
+        return x
+
+    for a, b in zip(cu.tolist(), cv.tolist(), strict=True):
+        part[top(a)] = top(b)
+    tops = np.array([top(c) for c in range(made)])
+    hubs = np.zeros(made, bool)
+    hubs[list({int(tops[c]): c for c in np.argsort(size, kind="stable").tolist()}.values())] = True  # the last of a part is its largest
+    below, above = hubs.tolist(), hubs.tolist()
+    for c in range(made - 1, -1, -1):
+        if below[c]:
+            for y in heads[starts[c] : starts[c + 1]]:
+                below[y] = True
+    for c in range(made):
+        above[c] = above[c] or any(above[y] for y in heads[starts[c] : starts[c + 1]])
+    under = np.array(below)
+    held = np.bincount(tops[under], weights=size[under], minlength=made)[tops].astype(np.int64).tolist()  # what the hub of the part reaches
+    sizes, met = size.tolist(), [-1] * made
+
+    def search(ahead: list[list[int]], wanted: list[bool]) -> list[int]:
+        """Nodes in what each wanted component reaches by these ways."""
+        found = [0] * made
+        for c in range(made):
+            if not wanted[c]:
+                continue
+            if len(ahead[c]) < 2:
+                found[c] = sizes[c] + sum(found[y] for y in ahead[c])
+                continue
+            met[c], path, total = c, [c], 0
+            for x in path:
+                total += sizes[x]
+                for y in ahead[x]:
+                    if met[y] != c:
+                        met[y] = c
+                        path.append(y)
+            found[c] = total
+        met[:] = [-1] * made
+        return found
+
+    ways = [heads[starts[c] : starts[c + 1]] for c in range(made)]
+    whole = search([[] if a else w for w, a in zip(ways, above, strict=True)], [not a for a in above])
+    beside = search([[y for y in w if not below[y]] for w in ways], [not b for b in below])
+    reach = [held[c] if below[c] and above[c] else held[c] + beside[c] if above[c] else whole[c] for c in range(made)]
+    return np.array(reach, np.int64)[own] if n else np.zeros(0, np.int64)
+
+
+def reach_sizes(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, id, reach: how many nodes each reaches, itself included."""
+
+    def kernel(t: pa.Table) -> dict[str, pa.Array]:
+        ids, u, v = numbered(t)
+        return {"id": ids, "reach": pa.array(reach_sizes_of(len(ids), u, v))}
+
+    return per_network(links, by, [StructField("id", links.schema["u"].dataType), StructField("reach", LongType())], kernel)

@@ -71,7 +71,7 @@ def _arcs(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return edges.filter("from_id <> to_id").select(*by, F.col("from_id").alias("u"), F.col("to_id").alias("v")).distinct()
 
 
-def _links(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def links(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """by, u, v: distinct directed edges; what is only on one side of an edge, or moves to itself, stands as a row to itself."""
     return edges.select(*by, F.coalesce("from_id", "to_id").alias("u"), F.coalesce("to_id", "from_id").alias("v")).filter("u is not null").distinct()
 
@@ -96,10 +96,40 @@ def closure(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return reduce(DataFrame.unionAll, deltas).unionAll(nodes.select(*by, F.col("id").alias("source"), F.col("id").alias("node")))
 
 
-def reachable(arcs: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), backward: bool = False) -> DataFrame:
-    """by, root, id: what each root reaches along arcs (by, u, v), or what reaches it; roots (by, root) themselves included."""
-    u, v = ("v", "u") if backward else ("u", "v")
-    hops = arcs.select(*by, F.col(u).alias("id"), F.col(v).alias("next"))
+def reach_sizes(edges: DataFrame, by: tuple[str, ...] = (), most: int = digraphs.LARGEST) -> DataFrame:
+    """id, reach: how many nodes a directed path leads to, the node itself included.
+
+    A network of at most ``most`` distinct edges is searched by one task without pairs being listed; those of larger ones are.
+    """
+    if not by:
+        return reach_sizes(edges.withColumn("__all", F.lit(1)), ("__all",), most).drop("__all")
+    held, large = digraphs.divided(stored(links(edges, by), "links"), by, most)
+    found = digraphs.reach_sizes(held, by)
+    if large is None:
+        return found
+    pairs = closure(large.withColumnsRenamed({"u": "from_id", "v": "to_id"}), by)
+    return found.unionAll(pairs.groupBy(*by, F.col("source").alias("id")).agg(F.count("*").alias("reach")))
+
+
+def reachable(arcs: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), backward: bool = False, most: int = digraphs.LARGEST) -> DataFrame:
+    """by, root, id: what each root reaches along arcs (by, u, v), or what reaches it; roots (by, root) themselves included.
+
+    A network of at most ``most`` arcs is searched by one task. The arcs are read several times, so they should be stored.
+    """
+    if not by:
+        return reachable(arcs.withColumn("__all", F.lit(1)), seeds.withColumn("__all", F.lit(1)), ("__all",), backward, most).drop("__all")
+    seeds = seeds.select(*by, "root")
+    held, large = digraphs.divided(arcs.select(*by, F.col("v" if backward else "u").alias("u"), F.col("u" if backward else "v").alias("v")), by, most)
+    if large is None:
+        return digraphs.from_roots(held, seeds, by)
+    seeds, large = cut(seeds.distinct()), cut(large)
+    rest = large.select(*by).distinct()
+    at_rest = lambda how: seeds.alias("s").join(rest.alias("r"), [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], how)
+    return digraphs.from_roots(held, at_rest("left_anti"), by).unionAll(_reachable_as_tables(large, at_rest("left_semi"), by))
+
+
+def _reachable_as_tables(arcs: DataFrame, seeds: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    hops = arcs.select(*by, F.col("u").alias("id"), F.col("v").alias("next"))
     front = cut(seeds.select(*by, "root", F.col("root").alias("id")).distinct())
     deltas = [front]
     while not front.isEmpty():
@@ -157,12 +187,12 @@ def strong_components(edges: DataFrame, by: tuple[str, ...] = (), most: int = di
     """
     if not by:
         return strong_components(edges.withColumn("__all", F.lit(1)), ("__all",), most).drop("__all")
-    held, large = digraphs.divided(stored(_links(edges, by), "links"), by, most)
+    held, large = digraphs.divided(stored(links(edges, by), "links"), by, most)
     found = digraphs.strong(held, by)
-    return found if large is None else found.unionAll(_strong_as_tables(large, by))
+    return found if large is None else found.unionAll(_strong_as_tables(large, by, most))
 
 
-def _strong_as_tables(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _strong_as_tables(links: DataFrame, by: tuple[str, ...], most: int) -> DataFrame:
     """The same by rounds.
 
     Nodes without an edge in or out are components of their own and are trimmed until none is left. Of the others each
@@ -192,7 +222,7 @@ def _strong_as_tables(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
             step = cut(colours.join(sent, [*by, "id"], "left").select(*by, "id", F.least("colour", "low").alias("colour"), F.coalesce(F.col("low") < F.col("colour"), F.lit(False)).alias("moved")))
             colours, front = step.drop("moved"), step.filter("moved").drop("moved")
         within = cut(live.join(colour_of(colours, "u"), [*by, "u"]).join(colour_of(colours, "v"), [*by, "v"]).filter("u_colour = v_colour").select(*by, "u", "v"))
-        found = cut(reachable(within, colours.filter("id = colour").select(*by, F.col("id").alias("root")), by, backward=True))
+        found = cut(reachable(within, colours.filter("id = colour").select(*by, F.col("id").alias("root")), by, backward=True, most=most))
         done.append(found.select(*by, "id", F.col("root").alias("component")))
         gone = found.select(*by, "id")
         live = cut(within.join(gone.withColumnRenamed("id", "u"), [*by, "u"], "left_anti").join(gone.withColumnRenamed("id", "v"), [*by, "v"], "left_anti").select(*by, "u", "v"))
@@ -210,23 +240,23 @@ def giant_components(edges: DataFrame, by: tuple[str, ...] = (), most: int = dig
     """
     if not by:
         return giant_components(edges.withColumn("__all", F.lit(1)), ("__all",), most).drop("__all")
-    held, large = digraphs.divided(stored(_links(edges, by), "links"), by, most)
+    held, large = digraphs.divided(stored(links(edges, by), "links"), by, most)
     joined = digraphs.giant(held, by)
     if large is not None:
-        joined = joined.unionByName(_giant_as_tables(large, by))
+        joined = joined.unionByName(_giant_as_tables(large, by, most))
     size = lambda c: (F.col(c) / F.col("active")).alias
     sized = joined.withColumn("gic", F.col("reaching") - F.col("gscc")).withColumn("goc", F.col("reached") - F.col("gscc"))
     return sized.select(*by, "active", "gscc", "gic", "goc", size("gscc")("gscc_share"), size("gic")("gic_share"), size("goc")("goc_share"))
 
 
-def _giant_as_tables(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    strong = cut(_strong_as_tables(links, by))
+def _giant_as_tables(links: DataFrame, by: tuple[str, ...], most: int) -> DataFrame:
+    strong = cut(_strong_as_tables(links, by, most))
     sizes = strong.groupBy(*by, "component").agg(F.count("*").alias("size"))
     # The largest and, of equal ones, the least.
     root = cut(sizes.groupBy(*by).agg(F.max("size").alias("gscc")).join(sizes, list(by)).filter("size = gscc").groupBy(*by, "gscc").agg(F.min("component").alias("root")))
     # Whoever reaches the root reaches the whole component, and the other way round.
     arcs = links.filter("u <> v")
-    into = reachable(arcs, root, by, backward=True).groupBy(*by).agg(F.count("*").alias("reaching"))
-    outof = reachable(arcs, root, by).groupBy(*by).agg(F.count("*").alias("reached"))
+    into = reachable(arcs, root, by, True, most).groupBy(*by).agg(F.count("*").alias("reaching"))
+    outof = reachable(arcs, root, by, False, most).groupBy(*by).agg(F.count("*").alias("reached"))
     active = strong.groupBy(*by).agg(F.count("*").alias("active"))
     return root.join(into, list(by)).join(outof, list(by)).join(active, list(by)).select(*by, "active", "gscc", "reaching", "reached")

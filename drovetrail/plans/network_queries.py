@@ -207,7 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "component_sizes": lambda s, d: rounded(static.component_sizes(fixpoint.weak_components(quarters(s, d), by=("period",)), "period")),
     "giant_components": lambda s, d: rounded(fixpoint.giant_components(quarters(s, d), ("period",))),
     "strong_components": lambda s, d: fixpoint.strong_components(quarters(s, d), ("period",)),
-    "static_reach": lambda s, d: fixpoint.closure(quarters(s, d), ("period",)).groupBy("period", F.col("source").alias("id")).agg(F.count("*").alias("reach")),
+    "static_reach": lambda s, d: fixpoint.reach_sizes(quarters(s, d), ("period",)),
     "in_subcomponent": lambda s, d: in_subcomponent(quarters(s, d), "period"),
     "distance_components": distance_components,
     "trace": lambda s, d: chains(s, d),

@@ -62,3 +62,18 @@ def test_giant_components_take_no_more_jobs_for_longer_paths(spark):
     assert jobs < 12
     assert fixpoint.giant_components(ring(5).drop("p")).select("active", "gscc").first() == (11, 5)
     assert fixpoint.giant_components(ring(5).filter(F.lit(False)), ("p",)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 21, 50, 0])
+def test_reach_sizes_in_tasks_and_as_tables(spark, mixed, most):
+    rows, near = mixed
+    got = [tuple(r) for r in fixpoint.reach_sizes(edges(spark, rows), ("p",), most).collect()]
+    assert sorted(got) == sorted((p, a, len(n)) for p, own in near.items() for a, n in own.items())
+
+
+def test_reach_sizes_take_no_more_jobs_for_longer_paths(spark):
+    n = 400
+    rows = [(1, f"n{i:04d}", f"n{i + 1:04d}") for i in range(n)]
+    got, jobs = jobs_of(spark, lambda: fixpoint.reach_sizes(edges(spark, rows), ("p",)))
+    assert {(r["id"], r["reach"]) for r in got} == {(f"n{i:04d}", n + 1 - i) for i in range(n + 1)}
+    assert jobs < 12
