@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dateunits import floor_date, label, periods
 from ..operators import fixpoint, kernels, nearby, network, privacy, ranks, static, stats, temporal, trace, transmission
+from ..runtime import stored
 from ..sources.delimited import from_table, guess_types
 from ..sources.sinks import geojson
 
@@ -115,9 +116,9 @@ def root_rows(spark: SparkSession) -> DataFrame:
 
 def in_subcomponent(df: DataFrame, *by: str) -> DataFrame:
     """by, source: what reaches H10, searched from there; no row where H10 has no movement."""
-    arcs = df.filter("from_id <> to_id").select(*by, F.col("from_id").alias("u"), F.col("to_id").alias("v")).distinct()
-    seeds = network.endpoints(df, *by).filter("id = 'H10'").withColumnRenamed("id", "root")
-    return fixpoint.reachable(arcs, seeds, by, backward=True).select(*by, F.col("id").alias("source"))
+    links = stored(fixpoint.links(df, by), "links")
+    seeds = links.filter("u = 'H10' or v = 'H10'").select(*by, F.lit("H10").alias("root")).distinct()
+    return fixpoint.reachable(links, seeds, by, backward=True).select(*by, F.col("id").alias("source"))
 
 
 def local_pairs(spark: SparkSession, d: str) -> DataFrame:

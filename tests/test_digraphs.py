@@ -4,6 +4,7 @@ import random
 
 import pytest
 from drovetrail.operators import fixpoint
+from drovetrail.plans import network_queries
 from pyspark.sql import functions as F
 
 
@@ -77,3 +78,22 @@ def test_reach_sizes_take_no_more_jobs_for_longer_paths(spark):
     got, jobs = jobs_of(spark, lambda: fixpoint.reach_sizes(edges(spark, rows), ("p",)))
     assert {(r["id"], r["reach"]) for r in got} == {(f"n{i:04d}", n + 1 - i) for i in range(n + 1)}
     assert jobs < 12
+
+
+@pytest.mark.parametrize("most", [1 << 21, 50, 0])
+def test_reachable_in_tasks_and_as_tables(spark, mixed, most):
+    rows, near = mixed
+    links = fixpoint.links(edges(spark, rows), ("p",)).cache()
+    roots = [(1, "v3"), (1, "v7"), (1, "v3"), (2, "v5"), (5, "y"), (6, "b"), (7, "none"), (1, "none")]
+    seeds = spark.createDataFrame(roots, "p int, root string")
+    for backward in (False, True):
+        got = [tuple(r) for r in fixpoint.reachable(links, seeds, ("p",), backward, most).collect()]
+        found = lambda p, r: [x for x, n in near.get(p, {}).items() if (r in n if backward else x in near[p].get(r, ()))]  # noqa: E731, B023
+        assert sorted(got) == sorted((p, r, x) for p, r in set(roots) for x in found(p, r) or [r])
+
+
+def test_in_subcomponent_takes_no_more_jobs_for_longer_paths(spark):
+    rows = [(1, f"n{i:04d}", f"n{i + 1:04d}") for i in range(400)] + [(1, "n0400", "H10"), (1, "H10", "after"), (2, "a", "b"), (3, "H10", "H10"), (4, None, "H10")]
+    got, jobs = jobs_of(spark, lambda: network_queries.in_subcomponent(edges(spark, rows), "p"))
+    assert {tuple(r) for r in got} == {(1, f"n{i:04d}") for i in range(401)} | {(1, "H10"), (3, "H10"), (4, "H10")} and len(got) == 404
+    assert jobs < 12
