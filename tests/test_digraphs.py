@@ -97,3 +97,17 @@ def test_in_subcomponent_takes_no_more_jobs_for_longer_paths(spark):
     got, jobs = jobs_of(spark, lambda: network_queries.in_subcomponent(edges(spark, rows), "p"))
     assert {tuple(r) for r in got} == {(1, f"n{i:04d}") for i in range(401)} | {(1, "H10"), (3, "H10"), (4, "H10")} and len(got) == 404
     assert jobs < 12
+
+
+@pytest.mark.parametrize("most", [1 << 21, 50, 0])
+def test_strong_components_in_tasks_and_as_tables(spark, mixed, most):
+    rows, near = mixed
+    got = [tuple(r) for r in fixpoint.strong_components(edges(spark, rows), ("p",), most).collect()]
+    assert sorted(got) == sorted((p, a, min(b for b in n if a in own[b])) for p, own in near.items() for a, n in own.items())
+
+
+def test_strong_components_take_no_more_jobs_for_longer_paths(spark):
+    rows = [(1, f"n{i:04d}", f"n{(i + 1) % 400:04d}") for i in range(400)] + [(1, f"t{i:04d}", f"t{i + 1:04d}") for i in range(400)]
+    got, jobs = jobs_of(spark, lambda: fixpoint.strong_components(edges(spark, rows), ("p",)))
+    assert {(r["id"], r["component"]) for r in got} == {(f"n{i:04d}", "n0000") for i in range(400)} | {(f"t{i:04d}", f"t{i:04d}") for i in range(401)}
+    assert jobs < 12
