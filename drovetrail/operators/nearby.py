@@ -22,43 +22,56 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def near_places(places: DataFrame, lon: str, lat: str, metres: float, max_lat: float, cell_places: int = CELL_PLACES) -> DataFrame:
-    """xa, ya, xb, yb of different places at most so many metres apart, each pair once; ``max_lat`` bounds the latitude's absolute value.
-
-    ``places`` are distinct. They are put into grid cells twice as wide as the distance, whose columns go round the
-    globe; each place meets its own cell and, of half of its neighbours, those whose border is near. The places of a
-    crowded cell are divided into parts of about ``cell_places``, and those of the cells around it meet every part, so no
-    task gets a cell's square.
+def cell_meetings(points: DataFrame, lon: str, lat: str, metres: float, max_lat: float, cell_places: int = CELL_PLACES) -> DataFrame:
+    """Every column of the points twice, ending in a and b, and ``home``: pairs whose latitudes and longitudes don't rule out that they are near.
+
+    Points are put into grid cells twice as wide as the distance, whose columns go round the globe; each meets its own
+    cell (``home``: those pairs come both ways round, and a point meets itself) and, of half of its neighbours, those
+    whose border is near (these pairs come once). The points of a crowded cell are divided into parts of about
+    ``cell_places``, and those of the cells around it meet every part, so no task gets a cell's square. Points are read
+    three times.
     """
+    own = points.columns
     angle = metres / EARTH_RADIUS
     step = math.degrees(angle) * 1.0001
     # How far apart in longitude two places of that distance can be, at the highest latitude.
     bound = math.sin(min(angle, math.pi / 2)) / max(math.cos(math.radians(max_lat)), 1e-9)
     wide = math.degrees(math.asin(bound)) * 1.0001 if bound < 1 else 180.0
     n_columns = max(1, math.floor(180 / wide))
+    n_columns = n_columns if n_columns > 2 else 1  # neighbours to either side must differ
     column, row = 360 / n_columns, 2 * step
     wrap = lambda c: F.pmod(c, F.lit(n_columns))
-    at = places.select(F.col(lon).alias("x"), F.col(lat).alias("y"))
-    gx, gy = (F.col("x") + 180) / column, F.col("y") / row
-    at = at.withColumns({"cx": wrap(F.floor(gx)), "cy": F.floor(gy)})
+    gx, gy = (F.col(lon) + 180) / column, F.col(lat) / row
+    at = points.withColumns({"cx": wrap(F.floor(gx)), "cy": F.floor(gy)})
     east, north, south = (F.floor(gx) + 1 - gx) * column <= wide, (F.floor(gy) + 1 - gy) * row <= step, (gy - F.floor(gy)) * row <= step
-    near = ((0, 0, F.lit(True)), (1, -1, east & south), (1, 0, east), (1, 1, east & north), (0, 1, north))
+    near = ((0, 0, F.lit(True)), (0, 1, north), *(((1, -1, east & south), (1, 0, east), (1, 1, east & north)) if n_columns > 1 else ()))
     around = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, c in near)))
-    left = at.select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(around).alias("o"), "cx", "cy").select("xa", "ya", wrap(F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    right = at.select(F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")
+    ends = lambda end: [F.col(c).alias(f"{c}{end}") for c in own]
+    left = at.select(*ends("a"), F.explode(around).alias("o"), "cx", "cy").withColumns({"home": (F.col("o.i") == 0) & (F.col("o.j") == 0), "cx": wrap(F.col("cx") + F.col("o.i")), "cy": F.col("cy") + F.col("o.j")}).drop("o")
+    right = at.select(*ends("b"), "cx", "cy")
     crowded = cut(at.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > cell_places).select("cx", "cy", F.ceil(F.col("n") / cell_places).cast("int").alias("parts")))
     cell = ["cx", "cy"]
     if not crowded.isEmpty():
         parts = F.coalesce("parts", F.lit(1))
         left = left.join(crowded, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        right = right.join(crowded, cell, "left").withColumn("part", F.pmod(F.xxhash64("xb", "yb"), parts).cast("int")).drop("parts")
+        right = right.join(crowded, cell, "left").withColumn("part", F.pmod(F.xxhash64(*(f"{c}b" for c in own)), parts).cast("int")).drop("parts")
         cell = [*cell, "part"]
-    # The difference in latitude alone rules out most candidates, without trigonometry.
-    close = (F.abs(F.col("ya") - F.col("yb")) <= step) & (great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= metres)
-    # A pair of one cell meets both ways round; so do pairs of neighbours where few columns go round the globe.
+    # The differences in latitude and longitude rule out most candidates, without trigonometry.
+    apart = F.abs(F.col(f"{lon}a") - F.col(f"{lon}b"))
+    return left.join(right, cell).filter((F.abs(F.col(f"{lat}a") - F.col(f"{lat}b")) <= step) & ((apart <= wide) | (apart >= 360 - wide))).drop(*cell)
+
+
+def near_places(places: DataFrame, lon: str, lat: str, metres: float, max_lat: float, cell_places: int = CELL_PLACES) -> DataFrame:
+    """xa, ya, xb, yb of different places at most so many metres apart, each pair once; ``max_lat`` bounds the latitude's absolute value.
+
+    ``places`` are distinct; they meet in cells of a grid (``cell_meetings``).
+    """
+    at = places.select(F.col(lon).alias("x"), F.col(lat).alias("y"))
+    # A pair of one cell meets both ways round.
     before = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (F.col("ya") < F.col("yb")))
     first, second = F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y"))
-    met = left.join(right, cell).filter(((F.col("xa") != F.col("xb")) | (F.col("ya") != F.col("yb"))) & close)
+    other = (F.col("xa") != F.col("xb")) | (F.col("ya") != F.col("yb"))
+    met = cell_meetings(at, "x", "y", metres, max_lat, cell_places).filter(other & (great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= metres))
     ordered = met.select(F.when(before, first).otherwise(second).alias("a"), F.when(before, second).otherwise(first).alias("b"))
     return ordered.select(F.col("a.x").alias("xa"), F.col("a.y").alias("ya"), F.col("b.x").alias("xb"), F.col("b.y").alias("yb")).distinct()
 

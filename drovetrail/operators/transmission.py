@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nearby import great_circle, near_pairs
+from ..runtime import stored
+from .nearby import cell_meetings, great_circle
 
 # Probability of local spread a day by distance in metres, [lower, upper).
 LOCAL_TIERS = ((0.0, 100.0, 0.1), (100.0, 500.0, 0.006), (500.0, 1000.0, 0.002), (1000.0, 2000.0, 0.000015), (2000.0, None, 0.0))
@@ -38,14 +39,20 @@ def movement_spread(moves: DataFrame, q: float, whole_months: bool = True) -> Da
 
 
 def local_spread(holdings: DataFrame, key: str = "id", lon: str = "lon", lat: str = "lat", max_lat: float = 61.0) -> DataFrame:
-    """i, j, p by the tier of the distance; pairs beyond the last tier and holdings without place have 0, so no row."""
+    """i, j, p by the tier of the distance; pairs beyond the last tier and holdings without place have 0, so no row.
+
+    Holdings meet in cells of a grid and pairs leave the join as they are returned: no pair is moved. A holding of several
+    places counts at the least of them.
+    """
     reach = max(low for low, _, p in LOCAL_TIERS if p == 0)
-    at = holdings.select(F.col(key).alias("k"), F.col(lon).alias("x"), F.col(lat).alias("y")).dropna().dropDuplicates(["k"])
-    pairs = near_pairs(at, "k", "x", "y", reach, max_lat)
-    a, b = at.select(F.col("k").alias("key_a"), F.col("x").alias("xa"), F.col("y").alias("ya")), at.select(F.col("k").alias("key_b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    spread = pairs.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", tier(great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb"))).alias("p")).filter("p > 0")
-    both = F.array(F.struct(F.col("key_a").alias("i"), F.col("key_b").alias("j")), F.struct(F.col("key_b").alias("i"), F.col("key_a").alias("j")))
-    return spread.select(F.explode(both).alias("e"), "p").select("e.i", "e.j", "p")
+    known = holdings.select(F.col(key).alias("k"), F.col(lon).alias("x"), F.col(lat).alias("y")).dropna()
+    at = stored(known.groupBy("k").agg(F.min(F.struct("x", "y")).alias("at")).select("k", "at.x", "at.y"), "places")
+    metres = great_circle(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb"))
+    met = cell_meetings(at, "x", "y", reach, max_lat).filter((F.col("ka") != F.col("kb")) & (metres < reach))  # others have 0 in any case
+    spread = met.select("ka", "kb", "home", tier(metres).alias("p")).filter("p > 0")
+    there, back = F.struct(F.col("ka").alias("i"), F.col("kb").alias("j")), F.struct(F.col("kb").alias("i"), F.col("ka").alias("j"))
+    # Pairs of one cell meet both ways round, others once.
+    return spread.select(F.explode(F.when(F.col("home"), F.array(there)).otherwise(F.array(there, back))).alias("e"), "p").select("e.i", "e.j", "p")
 
 
 def combine_routes(routes: list[DataFrame]) -> DataFrame:
