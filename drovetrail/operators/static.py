@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from . import shared
 from .network import endpoints
 from .ranks import average_ranks, quantiles
 
@@ -106,14 +107,12 @@ def transitivity(edges: DataFrame, *by: str) -> DataFrame:
     return full.select(*by, "triangles", "triples", F.try_divide(F.col("triangles") * 3.0, F.col("triples")).alias("transitivity"))
 
 
-def jaccard(edges: DataFrame, *by: str) -> DataFrame:
-    """a < b, jaccard: shared neighbours over all neighbours of both (undirected); pairs without shared ones are left out."""
-    pairs = undirected(edges, *by)
-    near = pairs.select(*by, F.col("u").alias("id"), F.col("v").alias("n")).unionAll(pairs.select(*by, F.col("v").alias("id"), F.col("u").alias("n")))
-    degree = near.groupBy(*by, "id").agg(F.count("*").alias("d"))
-    common = near.select(*by, F.col("id").alias("a"), "n").join(near.select(*by, F.col("id").alias("b"), "n"), [*by, "n"]).filter("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("s"))
-    sized = common.join(degree.select(*by, F.col("id").alias("a"), F.col("d").alias("da")), [*by, "a"]).join(degree.select(*by, F.col("id").alias("b"), F.col("d").alias("db")), [*by, "b"])
-    return sized.select(*by, "a", "b", (F.col("s") / (F.col("da") + F.col("db") - F.col("s"))).alias("jaccard"))
+def jaccard(edges: DataFrame, *by: str, digits: int | None = None) -> DataFrame:
+    """a < b, jaccard: shared neighbours over all neighbours of both (undirected); pairs without shared ones are left out.
+
+    Edges may be repeated. Pairs come from the tasks that find them, without being moved (``shared``).
+    """
+    return shared.jaccard(edges, by, digits)
 
 
 def isolated_share(edges: DataFrame, *by: str) -> DataFrame:

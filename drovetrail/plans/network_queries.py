@@ -203,7 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "degree_ccdf": lambda s, d: rounded(static.degree_ccdf(network.simplify(moves(s, d)))),
     "reciprocity": lambda s, d: rounded(static.reciprocity(dense_edges(s, d), "period")),
     "transitivity": lambda s, d: rounded(static.transitivity(dense_edges(s, d), "period")),
-    "jaccard": lambda s, d: rounded(static.jaccard(network.simplify(moves(s, d)))),
+    "jaccard": lambda s, d: static.jaccard(moves(s, d), digits=DAYS),
     "weak_components": lambda s, d: fixpoint.weak_components(quarters(s, d), by=("period",)),
     "component_sizes": lambda s, d: rounded(static.component_sizes(fixpoint.weak_components(quarters(s, d), by=("period",)), "period")),
     "giant_components": lambda s, d: rounded(fixpoint.giant_components(quarters(s, d), ("period",))),
